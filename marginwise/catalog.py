@@ -709,7 +709,7 @@ def project_equality(spark, sf):
 def _mixed_step(spark, sf) -> DataFrame:
     moved = training.project_equality(_first_step(spark, sf), "step", "projected")
     return moved.withColumn(
-        "alpha", training.stochastic_mix(training.box(F.col("projected"), MODEL.C), F.col("alpha"), ALGO, 1)
+        "alpha", training.stochastic_mix(training.box(F.col("projected"), MODEL.C), F.col("alpha"), ALGO, training.in_batch(ALGO, 1)),
     )
 
 

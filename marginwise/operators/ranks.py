@@ -141,17 +141,21 @@ def values_at(
         before += total
     if not plan:
         return {}
-    spark = hist.sparkSession
-    plan_table = spark.createDataFrame(plan, "bucket int, before bigint, inside array<bigint>")
+    plan_table = hist.sparkSession.createDataFrame(plan, "bucket int, before bigint, inside array<bigint>")
     ordered = Window.partitionBy("bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.col("before") + F.sum("n").over(ordered)
-    found = (
+    reached = (
         binned.join(F.broadcast(plan_table), "bucket")
-        .withColumn("upto", upto)
-        .withColumn(
-            "position",
-            F.explode(F.filter("inside", lambda p: (p <= F.col("upto")) & (p > F.col("upto") - F.col("n")))),
-        )
+        .withColumn("upto", F.col("before") + F.sum("n").over(ordered))
+        .withColumn("last", F.col("upto").cast("double"))
+        .withColumn("first", (F.col("upto") - F.col("n")).cast("double"))
+    )
+    # A value is wanted when more positions lie at or before its last row than before its first.
+    marks = [float(p) for p in wanted]
+    counted = bin_index(bin_index(reached, "last", "n_last", marks), "first", "n_first", marks)
+    hits = F.filter("inside", lambda p: (p <= F.col("upto")) & (p > F.col("upto") - F.col("n")))
+    found = (
+        counted.where(F.col("n_last") > F.col("n_first"))
+        .withColumn("position", F.explode(hits))
         .select("position", value)
     )
     # One row per requested position.
@@ -181,7 +185,9 @@ def shuffled_positions(
     The order is a hash, so equal slices of the hash range are balanced for a group of any size.
     """
     drawn = df.withColumn("_u", uniform(F.lit(seed), F.col(key)))
-    slices = max(1, math.ceil(df.count() / rows_per_bucket))
+    rows = df.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    slices = max(1, math.ceil(rows / rows_per_bucket), min(cores, rows // 10_000))
     sliced = drawn.withColumn("_slice", F.floor(F.col("_u") * slices).cast("int"))
     inside = Window.partitionBy(group, "_slice").orderBy("_u", key)
     numbered = sliced.withColumn("position", F.row_number().over(inside) - 1)

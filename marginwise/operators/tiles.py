@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginwise.functions.columns import squared_distance
@@ -93,13 +93,10 @@ def _evaluator(kernel: Kernel, epsilon: float, triangle: bool, emit: Emit, schem
     return evaluate
 
 
-def _sequence(low: Column, high: Column) -> Column:
-    """low..high, empty when high < low (a plain sequence would count down)."""
-    return F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-
-
-def _partners(ring: Column, low: Column, high: Column) -> Column:
-    return F.transform(_sequence(low, high), lambda t: F.struct(ring.alias("ring"), t.alias("tile")))
+def _partners(ring: str, low: str, high: str) -> str:
+    """SQL for the tiles low..high of a ring; empty when high < low (a plain sequence would count down)."""
+    tiles = f"if({high} >= {low}, sequence({low}, {high}), array())"
+    return f"transform({tiles}, t -> named_struct('ring', {ring}, 'tile', int(t)))"
 
 
 def _tiles(rows: int, tile_rows: int, spread: int) -> int:
@@ -159,24 +156,29 @@ def tile_join(
     left = prepared(left)
     right = left if triangle else prepared(right)
     radius = kernel.radius(epsilon)
+
+    def ring_counts(df: DataFrame) -> dict[int, int]:
+        # At most MAX_RINGS + 1 rows.
+        return {r["ring"]: r["count"] for r in df.groupBy("ring").count().collect()}
+
+    neighbours = False
     if group:
         left, right = left.withColumnRenamed(group, "ring"), right.withColumnRenamed(group, "ring")
-        neighbours = False
+        left_counts = ring_counts(left)
+        right_counts = left_counts if triangle else ring_counts(right)
     else:
+        n_left = left.count()
+        n_right = n_left if triangle else right.count()
         if prune is None:
-            prune = radius is not None and left.count() * right.count() > (4 * tile_rows) ** 2
+            prune = n_left * n_right > (4 * tile_rows) ** 2
         neighbours = bool(prune and radius is not None)
         if neighbours:
             left, right = _rings(left, right, radius)
+            left_counts = ring_counts(left)
+            right_counts = left_counts if triangle else ring_counts(right)
         else:
             left, right = left.withColumn("ring", F.lit(0)), right.withColumn("ring", F.lit(0))
-
-    def ring_counts(df: DataFrame) -> dict[int, int]:
-        # At most MAX_RINGS + 1 rows.
-        return {r["ring"]: r["count"] for r in df.groupBy("ring").count().collect()}
-
-    left_counts = ring_counts(left)
-    right_counts = left_counts if triangle else ring_counts(right)
+            left_counts, right_counts = {0: n_left}, {0: n_right}
     rings = sorted(set(left_counts) | set(right_counts))
     if len(rings) > MAX_RINGS + 1:
         raise ValueError("too many groups")
@@ -199,26 +201,22 @@ def tile_join(
 
     def copies(df: DataFrame, plan: list[tuple], is_left: bool) -> DataFrame:
         plan_table = F.broadcast(spark.createDataFrame(plan, plan_schema))
-        tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-        dealt = df.join(plan_table, "ring").withColumn("tile", tile)
-        ring, zero, last = F.col("ring"), F.lit(0), F.lit(1)
-        before = _partners((ring - 1).cast("int"), zero, F.col("t_prev") - last)
-        after = _partners((ring + 1).cast("int"), zero, F.col("t_next") - last)
-        same = _partners(ring, zero, F.col("t_same") - last)
-        if triangle:
-            # Left copies look up the order of tiles, right copies look down, so a pair meets once.
-            if is_left:
-                partners = F.concat(_partners(ring, F.col("tile"), F.col("t_same") - last), after)
-            else:
-                partners = F.concat(before, _partners(ring, zero, F.col("tile")))
+        dealt = df.join(plan_table, "ring").withColumn("tile", F.expr("int(pmod(xxhash64(id), tiles))"))
+        before = _partners("ring - 1", "0", "t_prev - 1")
+        after = _partners("ring + 1", "0", "t_next - 1")
+        # Left copies look up the order of tiles, right copies look down, so a pair meets once.
+        if triangle and is_left:
+            partners = [_partners("ring", "tile", "t_same - 1"), after]
+        elif triangle:
+            partners = [before, _partners("ring", "0", "tile")]
         else:
-            partners = F.concat(before, same, after)
-        placed = dealt.withColumn("partner", F.explode(partners))
+            partners = [before, _partners("ring", "0", "t_same - 1"), after]
+        placed = dealt.withColumn("partner", F.expr(f"explode(concat({', '.join(partners)}))"))
         mine = ["ring", "tile"]
         theirs = ["partner.ring", "partner.tile"]
         order = mine + theirs if is_left else theirs + mine
-        keys = [F.col(c).alias(k) for c, k in zip(order, _KEYS, strict=True)]
-        return placed.select(*keys, F.lit(is_left).alias("is_left"), "id", "x", "weight")
+        keys = [f"{c} AS {k}" for c, k in zip(order, _KEYS, strict=True)]
+        return placed.selectExpr(*keys, f"{str(is_left).lower()} AS is_left", "id", "x", "weight")
 
     both = copies(left, left_plan, True).unionAll(copies(right, right_plan, False))
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))

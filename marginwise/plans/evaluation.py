@@ -194,7 +194,7 @@ def validate_run(run: Run, evals: EvalSet, max_quantile: int = 99, cell: int = 0
     history = run.history().where(F.col("cell") == cell)
     spark = history.sparkSession
     records = []
-    for iteration in sorted({r[0] for r in run.constants if r[1] == cell}) or [0]:
+    for iteration in range(1, run.last[cell] + 1) or [0]:
         alphas = history.where(F.col("iteration") == iteration).select(
             "id", "vid", "label", F.col("alpha_after").alias("alpha")
         )

@@ -18,19 +18,44 @@ from marginwise.session import settle
 PairBuilder = Callable[[DataFrame, Kernel, float], DataFrame]
 
 
-def collapse(rows: DataFrame, distinct: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``vid`` and without ``x``, distinct vectors (id, x)).
+@dataclass(frozen=True)
+class Collapsed:
+    """rows with ``vid`` and without ``x``; distinct vectors (id, x); their counts."""
+
+    rows: DataFrame
+    vectors: DataFrame
+    n_rows: int
+    n_vectors: int
 
-    ``vid`` is a hash of the vector; two vectors with one hash are detected and hashed anew.
-    ``distinct=False`` keeps every row as its own vector.
+
+def collapse(rows: DataFrame, distinct: bool = True) -> Collapsed:
+    """Name every vector by a hash; two vectors with one hash are detected and hashed anew.
+
+    Without copies, or with ``distinct=False``, every row keeps its own id as vector id.
+    Labels other than -1 and +1 are refused.
     """
-    if not distinct:
-        return rows.withColumn("vid", F.col("id")).drop("x"), rows.select("id", "x")
+    bad = F.count_if(~F.coalesce(F.col("label").isin(-1, 1), F.lit(False)))
     for salt in range(8):
         named = rows.withColumn("vid", F.xxhash64("x", F.lit(salt)))
-        vectors = settle(named.groupBy("vid").agg(F.min("x").alias("x"), F.max("x").alias("other")))
-        if vectors.where(F.col("x") != F.col("other")).isEmpty():
-            return named.drop("x"), vectors.select(F.col("vid").alias("id"), "x")
+        vectors = settle(
+            named.groupBy("vid").agg(
+                F.min("x").alias("x"), F.max("x").alias("other"), F.count(F.lit(1)).alias("n"), bad.alias("bad")
+            )
+        )
+        found = vectors.agg(
+            F.count(F.lit(1)).alias("n_vectors"),
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+            F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"),
+            F.count_if(F.col("x") != F.col("other")).alias("clashes"),
+        ).first()
+        if found["bad"]:
+            raise ValueError("labels must be -1 or +1")
+        if not distinct or found["n_vectors"] == found["n_rows"]:
+            own = rows.withColumn("vid", F.col("id")).drop("x")
+            return Collapsed(own, rows.select("id", "x"), found["n_rows"], found["n_rows"])
+        if not found["clashes"]:
+            distinct_vectors = vectors.select(F.col("vid").alias("id"), "x")
+            return Collapsed(named.drop("x"), distinct_vectors, found["n_rows"], found["n_vectors"])
     raise RuntimeError("hash collisions between vectors persist")
 
 
@@ -46,6 +71,10 @@ class Problem:
     kernel: Kernel
     epsilon: float
 
+    @property
+    def has_copies(self) -> bool:
+        return self.n_vectors < self.n_rows
+
 
 @dataclass(frozen=True)
 class EvalSet:
@@ -65,22 +94,14 @@ def prepare(
     distinct: bool = True,
 ) -> Problem:
     """Build and store the pair table of (id, label, x, ...)."""
-    _check_labels(train)
     kxx = kernel.expr(F.col("x"), F.col("x"))
-    rows, vectors = collapse(train.withColumn("kxx", kxx), distinct)
-    rows = settle(rows)
-    pairs = settle(mirror((builder or kernel_pairs)(vectors, kernel, epsilon)))
-    return Problem(rows, vectors, pairs, rows.count(), vectors.count(), kernel, epsilon)
+    found = collapse(train.withColumn("kxx", kxx), distinct)
+    pairs = settle(mirror((builder or kernel_pairs)(found.vectors, kernel, epsilon)))
+    return Problem(settle(found.rows), found.vectors, pairs, found.n_rows, found.n_vectors, kernel, epsilon)
 
 
 def prepare_eval(problem: Problem, evals: DataFrame, distinct: bool = True) -> EvalSet:
     """Build and store the pairs between the training vectors and an evaluation table."""
-    rows, vectors = collapse(evals, distinct)
-    rows = settle(rows.select("id", "vid", "label"))
-    pairs = settle(kernel_pairs_between(problem.vectors, vectors, problem.kernel, problem.epsilon))
-    return EvalSet(rows, pairs, rows.count(), vectors.count())
-
-
-def _check_labels(rows: DataFrame) -> None:
-    if not rows.where(~F.coalesce(F.col("label").isin(-1, 1), F.lit(False))).isEmpty():
-        raise ValueError("labels must be -1 or +1")
+    found = collapse(evals, distinct)
+    pairs = settle(kernel_pairs_between(problem.vectors, found.vectors, problem.kernel, problem.epsilon))
+    return EvalSet(settle(found.rows.select("id", "vid", "label")), pairs, found.n_rows, found.n_vectors)

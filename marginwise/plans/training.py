@@ -8,9 +8,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginwise.functions.columns import uniform
-from marginwise.operators.joins import fits_broadcast, keyed_join
+from marginwise.operators.joins import keyed_join
 from marginwise.params import AlgoParams, ModelParams
 from marginwise.plans.problem import Problem
 from marginwise.session import scratch_table
@@ -60,23 +61,21 @@ def gradient(problem: Problem, state: DataFrame, linear_term: bool = True, n_cel
     The diagonal always counts; other copies of the same vector count when k(x, x) exceeds the
     threshold, like any other pair.
     """
-    z = vector_coefficients(state)
-    sums = pair_sums(problem, z, n_cells)
-    per_vector = z.join(sums, ["cell", "vid"], "left")
-    joined = keyed_join(
-        state,
-        per_vector,
-        ["cell", "vid"],
-        left_rows=problem.n_rows * n_cells,
-        right_rows=problem.n_vectors * n_cells,
-        right_width=2,
-    )
-    y, kxx = F.col("label"), F.col("kxx")
-    own = F.when((kxx > problem.epsilon) & ~F.isnan(kxx), F.col("z")).otherwise(F.col("alpha") * y)
-    value = y * (F.coalesce("s", F.lit(0.0)) + own * kxx)
+    y, kxx, s = F.col("label"), F.col("kxx"), F.coalesce("s", F.lit(0.0))
+    sizes = {"left_rows": problem.n_rows * n_cells, "right_rows": problem.n_vectors * n_cells, "right_width": 2}
+    if problem.has_copies:
+        z = vector_coefficients(state)
+        per_vector = z.join(pair_sums(problem, z, n_cells), ["cell", "vid"], "left")
+        joined = keyed_join(state, per_vector, ["cell", "vid"], **sizes)
+        own = F.when((kxx > problem.epsilon) & ~F.isnan(kxx), F.col("z")).otherwise(F.col("alpha") * y)
+    else:
+        z = state.select("cell", "vid", (F.col("alpha") * y).alias("z"))
+        joined = keyed_join(state, pair_sums(problem, z, n_cells), ["cell", "vid"], "left", **sizes)
+        own = F.col("alpha") * y
+    value = y * (s + own * kxx)
     if linear_term:
         value = value - 1.0
-    return joined.withColumn("gradient", value).drop("z", "s")
+    return joined.withColumn("gradient", value)
 
 
 def gradient_from_pairs(
@@ -100,10 +99,14 @@ def project_equality(df: DataFrame, value: str, output: str) -> DataFrame:
     return df.withColumn(output, F.col(value) - y * shift)
 
 
-def stochastic_mix(updated: Column, alpha: Column, algo: AlgoParams, iteration: Column | int) -> Column:
+def in_batch(algo: AlgoParams, iteration: int) -> Column:
+    """Whether the row takes part in the batch of this iteration."""
+    return uniform(F.lit(algo.seed), F.col("id"), F.lit(iteration)) < algo.batch_prob
+
+
+def stochastic_mix(updated: Column, alpha: Column, algo: AlgoParams, batch: Column) -> Column:
     """The updated coefficient for rows of the batch, the shrunken old one for the others."""
-    draw = uniform(F.lit(algo.seed), F.col("id"), iteration if isinstance(iteration, Column) else F.lit(iteration))
-    return F.when(draw < algo.batch_prob, updated).otherwise(algo.decline * alpha)
+    return F.when(batch, updated).otherwise(algo.decline * alpha)
 
 
 def momentum_update(df: DataFrame) -> DataFrame:
@@ -121,95 +124,152 @@ def momentum_update(df: DataFrame) -> DataFrame:
     )
 
 
+def _per_cell(values: list[float | None], index: Column) -> Column:
+    """The value at ``index`` of a short constant list; a fixed array needs no join."""
+    listed = ", ".join("NULL" if v is None else f"{v!r}D" for v in values)
+    return F.element_at(F.expr(f"CAST(array({listed}) AS array<double>)"), index + 1)
+
+
+_STEP_COLUMNS = [T.StructField("step", T.DoubleType()), T.StructField("in_batch", T.BooleanType())]
+
+
 @dataclass
 class Run:
-    """Stored steps of a training run and the few numbers that turn a step into coefficients."""
+    """Stored steps of a training run and the few numbers that turn a step into coefficients.
+
+    Step ``n`` is the table ``path/iteration=n``: the coefficients before the iteration, the
+    gradient step, and whether the row is in the batch. Cells are numbered 0, 1, ...
+    """
 
     problem: Problem
     cells: list[Cell]
     algo: AlgoParams
     path: str
     initial: DataFrame
-    # (iteration, cell, C, shift, momentum); momentum is None when the old norm was near zero.
-    constants: list[tuple] = field(default_factory=list)
+    # Per iteration: {cell: shift} and {cell: momentum}; no momentum when the old norm was near zero.
+    shifts: list[dict[int, float]] = field(default_factory=list)
+    momenta: list[dict[int, float | None]] = field(default_factory=list)
     # Per cell: last iteration that ran.
     last: dict[int, int] = field(default_factory=dict)
 
-    def _constants(self, iterations: list[int] | None = None) -> DataFrame:
-        rows = [r for r in self.constants if iterations is None or r[0] in iterations]
-        schema = "iteration int, cell int, C double, shift double, momentum double"
-        # One row per iteration and cell of the run.
-        return F.broadcast(self.initial.sparkSession.createDataFrame(rows, schema))
-
-    def _mixed(self, steps: DataFrame, constants: DataFrame) -> DataFrame:
-        joined = steps.join(constants, ["iteration", "cell"])
-        moved = box(F.col("step") - F.col("label") * F.col("shift"), F.col("C"))
-        return joined.withColumn("pre", stochastic_mix(moved, F.col("alpha"), self.algo, F.col("iteration")))
-
-    def _advanced(self, mixed: DataFrame) -> DataFrame:
-        m, pre, old = F.col("momentum"), F.col("pre"), F.col("alpha_old")
-        return mixed.withColumn("next_alpha", F.coalesce(pre + m * old, pre)).withColumn(
-            "next_old", F.when(m.isNull(), old).otherwise(pre)
-        )
+    def _column(self, per_iteration: list[dict], index: Column) -> Column:
+        return _per_cell([numbers.get(c.cell) for numbers in per_iteration for c in self.cells], index)
 
-    def _step(self, iteration: int) -> DataFrame:
-        spark = self.initial.sparkSession
-        return spark.read.parquet(f"{self.path}/iteration={iteration}").withColumn("iteration", F.lit(iteration))
+    def _pre(self, shifts: list[dict], index: Column) -> Column:
+        """The coefficient before momentum."""
+        C = _per_cell([c.model.C for c in self.cells], F.col("cell"))
+        moved = box(F.col("step") - F.col("label") * self._column(shifts, index), C)
+        return stochastic_mix(moved, F.col("alpha"), self.algo, F.col("in_batch"))
+
+    def _after(self, pre: Column, momenta: list[dict], index: Column) -> tuple[Column, Column]:
+        """alpha and alpha_old after momentum."""
+        m, old = self._column(momenta, index), F.col("alpha_old")
+        return F.coalesce(pre + m * old, pre), F.when(m.isNull(), old).otherwise(pre)
+
+    def step(self, iteration: int | None = None) -> DataFrame:
+        """The stored step of one iteration, or of all with an ``iteration`` column."""
+        fields = [*self.initial.schema.fields, *_STEP_COLUMNS]
+        if iteration is None:
+            fields.append(T.StructField("iteration", T.IntegerType()))
+        path = self.path if iteration is None else f"{self.path}/iteration={iteration}"
+        return self.initial.sparkSession.read.schema(T.StructType(fields)).parquet(path)
 
     def history(self) -> DataFrame:
         """(cell, iteration, id, vid, label, alpha, alpha_after): before and after momentum."""
-        if not self.constants:
-            return self.initial.select(
-                "cell", F.lit(0).alias("iteration"), "id", "vid", "label", "alpha", F.col("alpha").alias("alpha_after")
-            )
-        steps = self.initial.sparkSession.read.parquet(self.path)
-        advanced = self._advanced(self._mixed(steps, self._constants()))
-        return advanced.select(
-            "cell", "iteration", "id", "vid", "label", F.col("pre").alias("alpha"), F.col("next_alpha").alias("alpha_after")
-        )
+        keys = ["cell", "iteration", "id", "vid", "label"]
+        if not self.shifts:
+            initial = self.initial.withColumn("iteration", F.lit(0))
+            return initial.select(*keys, "alpha", F.col("alpha").alias("alpha_after"))
+        index = (F.col("iteration") - 1) * len(self.cells) + F.col("cell")
+        pre = self._pre(self.shifts, index)
+        after, _ = self._after(F.col("pre"), self.momenta, index)
+        mixed = self.step().withColumn("pre", pre)
+        return mixed.select(*keys, F.col("pre").alias("alpha"), after.alias("alpha_after"))
 
     def state(self, iteration: int) -> DataFrame:
         """Coefficients after ``iteration`` for the cells that took part in it."""
         if iteration == 0:
             return self.initial
-        advanced = self._advanced(self._mixed(self._step(iteration), self._constants([iteration])))
-        kept = [c for c in self.initial.columns if c not in ("alpha", "alpha_old")]
-        return advanced.select(*kept, F.col("next_alpha").alias("alpha"), F.col("next_old").alias("alpha_old"))
+        index = F.col("cell")
+        mixed = self.step(iteration).withColumn("pre", self._pre(self.shifts[iteration - 1 : iteration], index))
+        alpha, old = self._after(F.col("pre"), self.momenta[iteration - 1 : iteration], index)
+        computed = {"alpha": alpha.alias("alpha"), "alpha_old": old.alias("alpha_old")}
+        return mixed.select(*[computed.get(c, F.col(c)) for c in self.initial.columns])
 
     def final(self) -> DataFrame:
         """The last state of every cell."""
         parts = []
         for iteration in sorted(set(self.last.values())):
             done = [c for c, last in self.last.items() if last == iteration]
-            parts.append(self.state(iteration).where(F.col("cell").isin(done)))
+            state = self.state(iteration)
+            parts.append(state if len(done) == len(self.last) else state.where(F.col("cell").isin(done)))
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
         return out
 
-
-def _cell_table(spark, rows: list[tuple], schema: str) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    def advance(self, state: DataFrame, active: list[int], iteration: int) -> dict[int, tuple[float, float]]:
+        """One iteration of the active cells: store the gradient step, then fix its constants.
+
+        Gives the L1 change and the share of zero coefficients (percent) of each cell afterwards.
+        """
+        sizes = [c.model.step_size(self.algo, iteration) for c in self.cells]
+        size = F.lit(sizes[0]) if len(set(sizes)) == 1 else _per_cell(sizes, F.col("cell"))
+        graded = gradient(self.problem, state, self.algo.linear_term, len(self.cells))
+        stored = graded.select(
+            *self.initial.columns,
+            (F.col("alpha") - size * F.col("gradient")).alias("step"),
+            in_batch(self.algo, iteration).alias("in_batch"),
+        )
+        # Overwriting makes a repeated write of the same iteration harmless.
+        stored.write.mode("overwrite").parquet(f"{self.path}/iteration={iteration}")
+
+        step = self.step(iteration)
+        y = F.col("label")
+        sums = step.groupBy("cell").agg((F.sum(y * F.col("step")) / F.sum(y * y)).alias("shift")).collect()
+        shifts = {r["cell"]: r["shift"] for r in sums}
+        mixed = step.select("cell", "alpha_old", self._pre([shifts], F.col("cell")).alias("pre"))
+        a, old = F.col("pre"), F.col("alpha_old")
+        numbers = (
+            mixed.groupBy("cell")
+            .agg(
+                F.sum(a * (a - old)).alias("along"),
+                F.sum(old * old).alias("norm2"),
+                F.sum(F.abs(a - old)).alias("delta"),
+                F.sum(F.abs(old)).alias("old_l1"),
+                F.avg(F.when(a == 0, 1.0).otherwise(0.0)).alias("zero"),
+                F.avg(F.when((a == 0) & (old == 0), 1.0).otherwise(0.0)).alias("both_zero"),
+            )
+            .collect()
+        )
+        momenta: dict[int, float | None] = {}
+        health = {}
+        for r in numbers:
+            m = max(0.0, r["along"] / r["norm2"]) if r["norm2"] > 0.001 else None
+            momenta[r["cell"]] = m
+            # After a momentum step the change is m * alpha_old; coefficients are never negative.
+            delta = r["delta"] if m is None else m * r["old_l1"]
+            health[r["cell"]] = (delta, 100.0 * (r["both_zero"] if m else r["zero"]))
+        self.shifts.append(shifts)
+        self.momenta.append(momenta)
+        for c in active:
+            self.last[c] = iteration
+        return health
 
 
 def initial_state(problem: Problem, cells: list[Cell], algo: AlgoParams) -> DataFrame:
     """Coefficients of every cell; rows of the held-out fold do not take part."""
-    spark = problem.rows.sparkSession
-    grid = [(c.cell, c.model.C, c.fold) for c in cells]
     if len(cells) == 1 and cells[0].fold is None:
-        rows = problem.rows.withColumn("cell", F.lit(cells[0].cell)).withColumn("C", F.lit(cells[0].model.C))
+        rows = problem.rows.withColumn("cell", F.lit(cells[0].cell))
     else:
         entries = F.array(
-            *[
-                F.struct(F.lit(c).alias("cell"), F.lit(cost).alias("C"), F.lit(fold).cast("int").alias("held_out"))
-                for c, cost, fold in grid
-            ]
+            *[F.struct(F.lit(c.cell).alias("cell"), F.lit(c.fold).cast("int").alias("held_out")) for c in cells]
         )
         rows = problem.rows.withColumn("_cell", F.explode(entries)).select("*", "_cell.*").drop("_cell")
         if "fold" in problem.rows.columns:
             rows = rows.where(F.col("held_out").isNull() | (F.col("fold") != F.col("held_out")))
         rows = rows.drop("held_out")
-    return init_alphas(rows, F.col("C"), algo.seed).drop("C")
+    return init_alphas(rows, _per_cell([c.model.C for c in cells], F.col("cell")), algo.seed)
 
 
 def _health(state: DataFrame) -> dict[int, tuple[float, float]]:
@@ -228,13 +288,13 @@ def train(
     ``strict`` stops with an error when 99 % of the coefficients of a cell are zero; otherwise
     the cell keeps its last state.
     """
-    spark = problem.rows.sparkSession
+    if [c.cell for c in cells] != list(range(len(cells))):
+        raise ValueError("cells must be numbered 0, 1, ...")
     state = initial if initial is not None else initial_state(problem, cells, algo)
-    run = Run(problem, cells, algo, scratch_table(spark, "training"), state)
-    by_id = {c.cell: c for c in cells}
-    run.last = {c: 0 for c in by_id}
+    run = Run(problem, cells, algo, scratch_table(problem.rows.sparkSession, "training"), state)
+    run.last = {c.cell: 0 for c in cells}
     health = _health(state)
-    active = sorted(by_id)
+    active = [c.cell for c in cells]
     for iteration in range(1, algo.max_iter + 1):
         going = []
         for c in active:
@@ -251,57 +311,10 @@ def train(
         if len(going) < len(active):
             state = state.where(F.col("cell").isin(going))
         active = going
-        state, health = _advance(run, state, [by_id[c] for c in active], iteration)
-        for c in active:
-            run.last[c] = iteration
+        health = run.advance(state, active, iteration)
+        state = run.state(iteration)
     return run
 
 
-def _advance(run: Run, state: DataFrame, cells: list[Cell], iteration: int):
-    """One iteration for all active cells: store the gradient step, then fix its constants."""
-    spark, algo = state.sparkSession, run.algo
-    sizes = {c.cell: c.model.step_size(algo, iteration) for c in cells}
-    if len(set(sizes.values())) == 1:
-        stepped = state.withColumn("_size", F.lit(next(iter(sizes.values()))))
-    else:
-        table = _cell_table(spark, list(sizes.items()), "cell int, _size double")
-        stepped = state.join(table, "cell")
-    graded = gradient(run.problem, stepped, algo.linear_term, len(cells))
-    stored = graded.withColumn("step", F.col("alpha") - F.col("_size") * F.col("gradient")).drop("_size", "gradient")
-    # Overwriting makes a repeated write of the same iteration harmless.
-    stored.write.mode("overwrite").parquet(f"{run.path}/iteration={iteration}")
-    step = run._step(iteration)
-
-    y = F.col("label")
-    sums = step.groupBy("cell").agg((F.sum(y * F.col("step")) / F.sum(y * y)).alias("shift")).collect()
-    shift = {r["cell"]: r["shift"] for r in sums}
-    schema = "iteration int, cell int, C double, shift double"
-    table = _cell_table(spark, [(iteration, c.cell, c.model.C, shift[c.cell]) for c in cells], schema)
-    mixed = run._mixed(step, table)
-    a, old = F.col("pre"), F.col("alpha_old")
-    both_zero = F.avg(F.when((a == 0) & (old == 0), 1.0).otherwise(0.0))
-    numbers = (
-        mixed.groupBy("cell")
-        .agg(
-            F.sum(a * (a - old)).alias("along"),
-            F.sum(old * old).alias("norm2"),
-            F.sum(F.abs(a - old)).alias("delta"),
-            F.sum(F.abs(old)).alias("old_l1"),
-            F.avg(F.when(a == 0, 1.0).otherwise(0.0)).alias("zero"),
-            both_zero.alias("both_zero"),
-        )
-        .collect()
-    )
-    health = {}
-    for r in numbers:
-        c = r["cell"]
-        m = max(0.0, r["along"] / r["norm2"]) if r["norm2"] > 0.001 else None
-        run.constants.append((iteration, c, next(x.model.C for x in cells if x.cell == c), shift[c], m))
-        # After a momentum step the change is m * alpha_old; coefficients are never negative.
-        delta = r["delta"] if m is None else m * r["old_l1"]
-        health[c] = (delta, 100.0 * (r["both_zero"] if m else r["zero"]))
-    return run.state(iteration), health
-
-
 def train_one(problem: Problem, model: ModelParams, algo: AlgoParams, initial: DataFrame | None = None) -> Run:
     return train(problem, [Cell(0, model)], algo, initial)
