@@ -59,7 +59,7 @@ def vectors(spark, sf) -> DataFrame:
 
 
 def split_vectors(spark, sf) -> DataFrame:
-    return tables.split_by_ratio(vectors(spark, sf)).drop("position")
+    return tables.split_by_ratio(vectors(spark, sf))
 
 
 def of(df: DataFrame, split: str) -> DataFrame:
@@ -206,7 +206,7 @@ def split_sizes(spark, sf):
 @query(sql.SPLIT_BY_RATIO)
 def split_by_ratio(spark, sf):
     rows = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    return tables.split_by_ratio(rows).select("id", "position", "split")
+    return tables.split_by_ratio(rows)
 
 
 @query(sql.UPPER_TRIANGLE)

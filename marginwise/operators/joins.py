@@ -14,27 +14,32 @@ def fits_broadcast(rows: int | None, width: int = 1) -> bool:
     return rows is not None and rows * width <= BROADCAST_ROWS
 
 
-def salted(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a ``salt`` column: rows of a hot left key are dealt over several salts,
-    the matching right rows are repeated once per salt. Joining on keys + salt gives the same rows.
-    """
-    # At most count(left) / hot_rows keys qualify.
-    hot = (
-        left.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n_left"))
-        .where(F.col("n_left") > hot_rows)
-        .select(*keys, F.ceil(F.col("n_left") / F.lit(hot_rows)).cast("int").alias("n_salts"))
-    )
+def hot_keys(left: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(keys, n_salts) of the keys with more than ``hot_rows`` rows: at most count / hot_rows keys."""
+    counted = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return salts_of(counted, keys, hot_rows)
+
+
+def salts_of(counted: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The same from a table of keys and their row counts ``n``."""
+    n_salts = F.ceil(F.col("n") / F.lit(hot_rows)).cast("int")
+    return counted.where(F.col("n") > hot_rows).select(*keys, n_salts.alias("n_salts"))
+
+
+def salt_left(left: DataFrame, hot: DataFrame) -> DataFrame:
+    """Adds ``salt``: rows of a hot key are dealt over its salts by a hash of their other columns."""
+    keys = [c for c in hot.columns if c != "n_salts"]
     rest = [F.col(c) for c in left.columns if c not in keys]
-    spread = F.pmod(F.xxhash64(*rest) if rest else F.spark_partition_id(), F.col("n_salts"))
-    salted_left = (
-        left.join(F.broadcast(hot), keys, "left")
-        .withColumn("salt", F.when(F.col("n_salts").isNull(), 0).otherwise(spread.cast("int")))
-        .drop("n_salts")
-    )
+    spread = F.pmod(F.xxhash64(*rest) if rest else F.spark_partition_id(), F.col("n_salts")).cast("int")
+    joined = left.join(F.broadcast(hot), keys, "left")
+    return joined.withColumn("salt", F.when(F.col("n_salts").isNull(), 0).otherwise(spread)).drop("n_salts")
+
+
+def salt_right(right: DataFrame, hot: DataFrame) -> DataFrame:
+    """Adds ``salt``: rows of a hot key are repeated once per salt."""
+    keys = [c for c in hot.columns if c != "n_salts"]
     salts = F.sequence(F.lit(0), F.coalesce(F.col("n_salts"), F.lit(1)) - 1)
-    salted_right = right.join(F.broadcast(hot), keys, "left").withColumn("salt", F.explode(salts)).drop("n_salts")
-    return salted_left, salted_right
+    return right.join(F.broadcast(hot), keys, "left").withColumn("salt", F.explode(salts)).drop("n_salts")
 
 
 def keyed_join(
@@ -45,10 +50,12 @@ def keyed_join(
     left_rows: int | None = None,
     right_rows: int | None = None,
     right_width: int = 1,
+    hot: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Inner or left equi-join. The right side is broadcast only when its known size allows it;
-    otherwise hot left keys are salted unless the left side is known to be small.
+    otherwise hot left keys are salted unless the left side is known to be small. ``hot`` gives
+    the hot keys when they are already known.
     """
     if how not in ("inner", "left"):
         raise ValueError("keyed_join supports inner and left joins")
@@ -56,5 +63,6 @@ def keyed_join(
         return left.join(F.broadcast(right), keys, how)
     if left_rows is not None and left_rows <= hot_rows:
         return left.join(right, keys, how)
-    salted_left, salted_right = salted(left, right, keys, hot_rows)
-    return salted_left.join(salted_right, [*keys, "salt"], how).drop("salt")
+    if hot is None:
+        hot = hot_keys(left, keys, hot_rows)
+    return salt_left(left, hot).join(salt_right(right, hot), [*keys, "salt"], how).drop("salt")

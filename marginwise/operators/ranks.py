@@ -15,7 +15,7 @@ from marginwise.operators.joins import keyed_join
 from marginwise.session import settle
 
 ROWS_PER_BUCKET = 250_000
-MAX_BUCKETS = 1024
+MAX_BUCKETS = 4096
 
 
 def histogram(df: DataFrame, value: str, **sums) -> DataFrame:
@@ -28,7 +28,7 @@ def _splits(df: DataFrame, value: str, rows: int, rows_per_bucket: int) -> list[
     buckets = min(MAX_BUCKETS, math.ceil(rows / rows_per_bucket))
     if buckets <= 1:
         return []
-    cuts = df.approxQuantile(value, [k / buckets for k in range(1, buckets)], 0.2 / buckets)
+    cuts = df.approxQuantile(value, [k / buckets for k in range(1, buckets)], 0.5 / buckets)
     return sorted(set(cuts))
 
 
@@ -123,13 +123,23 @@ def wanted_positions(rows: int, quantile: float) -> tuple[int, int]:
 
 
 def values_at(
-    df: DataFrame, value: str, wanted: list[int], rows_per_bucket: int = ROWS_PER_BUCKET, hist: DataFrame | None = None
+    df: DataFrame,
+    value: str,
+    wanted: list[int],
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    hist: DataFrame | None = None,
+    unique: bool = False,
 ) -> dict[int, float]:
-    """The values at 1-based ascending positions. Only value ranges that hold one are ordered."""
+    """The values at 1-based ascending positions. Only value ranges that hold one are ordered.
+
+    ``unique`` values of a stored table need no counting and no shuffle beforehand.
+    """
     wanted = sorted(set(wanted))
     if not wanted:
         return {}
-    if hist is None:
+    if unique:
+        hist = df.select(value, F.lit(1).cast("bigint").alias("n"))
+    elif hist is None:
         hist = settle(histogram(df, value))
     binned, n_buckets = _bucketed(hist, value, hist.count(), rows_per_bucket)
     totals = _bucket_totals(binned, ["n"])

@@ -2,9 +2,9 @@
 
 Rows are dealt into tiles of a bounded size. Each pair of tiles is one group; a row is copied
 once per partner tile, and the group evaluates one matrix product. When the kernel bounds the
-distance at which it can exceed the threshold, rows are first sorted into rings around a centre
-whose width is at least that distance, and only tiles of the same or neighbouring rings meet
-(triangle inequality, so nothing is lost). A crowded ring simply gets more tiles.
+distance at which it can exceed the threshold, rows are first sorted into the cells of a grid
+over one or two directions. A cell is at least that distance wide, so only tiles of the same or
+touching cells meet and nothing is lost. A crowded cell simply gets more tiles.
 """
 
 import math
@@ -16,17 +16,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginwise.functions.columns import squared_distance
+from marginwise.functions.columns import dot
 from marginwise.functions.kernels import Kernel
 
 TILE_ROWS = 2048
-MAX_RINGS = 1024
+MAX_CELLS = 1024
+# Rows looked at to choose the directions of the grid; the choice only affects speed.
+PROBE_ROWS = 1000
 # Rows of the left side evaluated in one matrix product.
 STRIP_ROWS = 512
 # Kernel values this close to the threshold are recomputed by the direct formula.
 BAND = 1e-9
 
-_KEYS = ["a_ring", "a_tile", "b_ring", "b_tile"]
+_KEYS = ["a_cell", "a_tile", "b_cell", "b_tile"]
 
 
 @dataclass(frozen=True)
@@ -75,7 +77,7 @@ def _evaluator(kernel: Kernel, epsilon: float, triangle: bool, emit: Emit, schem
             sides.append((part["id"].to_numpy(), _matrix(chunk), part["weight"].to_numpy()))
         (left_id, X, left_weight), (right_id, Y, right_weight) = sides
         one_tile = triangle and (
-            table["a_ring"][0] == table["b_ring"][0] and table["a_tile"][0] == table["b_tile"][0]
+            table["a_cell"][0] == table["b_cell"][0] and table["a_tile"][0] == table["b_tile"][0]
         )
         for start in range(0, len(left_id), STRIP_ROWS):
             cut = slice(start, start + STRIP_ROWS)
@@ -93,37 +95,49 @@ def _evaluator(kernel: Kernel, epsilon: float, triangle: bool, emit: Emit, schem
     return evaluate
 
 
-def _partners(ring: str, low: str, high: str) -> str:
-    """SQL for the tiles low..high of a ring; empty when high < low (a plain sequence would count down)."""
-    tiles = f"if({high} >= {low}, sequence({low}, {high}), array())"
-    return f"transform({tiles}, t -> named_struct('ring', {ring}, 'tile', int(t)))"
-
-
 def _tiles(rows: int, tile_rows: int, spread: int) -> int:
     if rows == 0:
         return 0
     return max(math.ceil(rows / tile_rows), min(spread, math.ceil(rows / 64)))
 
 
-def _centre(df: DataFrame) -> list[float]:
-    """Mean of every component: one row per component."""
-    rows = (
-        df.select(F.posexplode("x").alias("dim", "v")).groupBy("dim").agg(F.avg("v").alias("v")).orderBy("dim").collect()
-    )
-    return [r["v"] for r in rows]
+def _directions(df: DataFrame) -> np.ndarray:
+    """One or two orthogonal unit vectors along which a few rows spread most."""
+    probe = df.select("x").limit(PROBE_ROWS).toArrow().combine_chunks()
+    X = _matrix(probe["x"].chunk(0)) if probe.num_rows else np.zeros((1, 1))
+    _, _, axes = np.linalg.svd(X - X.mean(axis=0), full_matrices=False)
+    return axes[:2]
 
 
-def _rings(left: DataFrame, right: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
-    """Both sides with ``ring``: the distance to the centre in steps of at least ``radius``."""
-    centre = F.array(*[F.lit(float(v)) for v in _centre(left)])
-    from_centre = F.sqrt(squared_distance(F.col("x"), centre))
-    left, right = left.withColumn("_far", from_centre), right.withColumn("_far", from_centre)
-    span = left.select("_far").unionAll(right.select("_far")).agg(F.min("_far"), F.max("_far")).first()
-    low, high = span[0], span[1]
-    # The margin covers rounding in the distance itself.
-    width = max(radius * (1 + 1e-9) + 1e-9 * max(1.0, high), (high - low) / MAX_RINGS)
-    ring = F.least(F.floor((F.col("_far") - F.lit(low)) / F.lit(width)), F.lit(MAX_RINGS)).cast("int")
-    return left.withColumn("ring", ring).drop("_far"), right.withColumn("ring", ring).drop("_far")
+def _into_cells(left: DataFrame, right: DataFrame, radius: float) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides with ``cell`` = row * columns + column of the grid, and the number of columns.
+
+    A projection on a unit vector never exceeds the distance, so rows within ``radius`` differ by
+    at most one grid step per direction.
+    """
+    places = [dot(F.col("x"), F.array(*[F.lit(float(v)) for v in axis])) for axis in _directions(left)]
+    names = [f"_p{k}" for k in range(len(places))]
+    left = left.select("*", *[p.alias(n) for p, n in zip(places, names, strict=True)])
+    right = right.select("*", *[p.alias(n) for p, n in zip(places, names, strict=True)])
+    ends = [f(n) for n in names for f in (F.min, F.max)]
+    found = left.select(*names).unionAll(right.select(*names)).agg(*ends).first()
+    index, columns, room = F.lit(0), 1, MAX_CELLS
+    for k, name in enumerate(names):
+        low, high = found[2 * k], found[2 * k + 1]
+        # The margin covers rounding in the projection itself.
+        width = max(radius * (1 + 1e-9) + 1e-9 * max(1.0, abs(low), abs(high)), (high - low) / room)
+        steps = max(1, min(room, math.ceil((high - low) / width)))
+        step = F.least(F.floor((F.col(name) - F.lit(low)) / F.lit(width)), F.lit(steps - 1))
+        index, columns, room = index * steps + step, steps, max(1, room // steps)
+    cell = index.cast("int").alias("cell")
+    return left.select("*", cell).drop(*names), right.select("*", cell).drop(*names), columns
+
+
+def _touching(cell: int, columns: int) -> list[int]:
+    row, column = divmod(cell, columns)
+    return [
+        r * columns + c for r in (row - 1, row, row + 1) for c in (column - 1, column, column + 1) if r >= 0 and 0 <= c < columns
+    ]
 
 
 def tile_join(
@@ -141,7 +155,7 @@ def tile_join(
     """Run ``emit`` on every strip of every tile pair.
 
     left, right: (id BIGINT, x ARRAY<DOUBLE>[, weight DOUBLE]). ``right=None`` pairs the left table
-    with itself, each unordered pair once. ``group`` names an integer column (at most MAX_RINGS
+    with itself, each unordered pair once. ``group`` names an integer column (at most MAX_CELLS
     values); rows then meet only inside equal groups. ``prune=None`` decides by input size.
     """
     triangle = right is None
@@ -153,67 +167,64 @@ def tile_join(
             df = df.withColumn("weight", F.lit(1.0))
         return df.select(*columns)
 
+    def cell_counts(df: DataFrame) -> dict[int, int]:
+        # At most MAX_CELLS rows.
+        return {r["cell"]: r["count"] for r in df.groupBy("cell").count().collect()}
+
     left = prepared(left)
     right = left if triangle else prepared(right)
     radius = kernel.radius(epsilon)
-
-    def ring_counts(df: DataFrame) -> dict[int, int]:
-        # At most MAX_RINGS + 1 rows.
-        return {r["ring"]: r["count"] for r in df.groupBy("ring").count().collect()}
-
-    neighbours = False
+    grid_columns = None
     if group:
-        left, right = left.withColumnRenamed(group, "ring"), right.withColumnRenamed(group, "ring")
-        left_counts = ring_counts(left)
-        right_counts = left_counts if triangle else ring_counts(right)
+        left, right = left.withColumnRenamed(group, "cell"), right.withColumnRenamed(group, "cell")
     else:
         n_left = left.count()
         n_right = n_left if triangle else right.count()
         if prune is None:
             prune = n_left * n_right > (4 * tile_rows) ** 2
-        neighbours = bool(prune and radius is not None)
-        if neighbours:
-            left, right = _rings(left, right, radius)
-            left_counts = ring_counts(left)
-            right_counts = left_counts if triangle else ring_counts(right)
+        if prune and radius is not None and n_left and n_right:
+            left, right, grid_columns = _into_cells(left, right, radius)
         else:
-            left, right = left.withColumn("ring", F.lit(0)), right.withColumn("ring", F.lit(0))
+            left, right = left.withColumn("cell", F.lit(0)), right.withColumn("cell", F.lit(0))
             left_counts, right_counts = {0: n_left}, {0: n_right}
-    rings = sorted(set(left_counts) | set(right_counts))
-    if len(rings) > MAX_RINGS + 1:
+    if group or grid_columns:
+        left_counts = cell_counts(left)
+        right_counts = left_counts if triangle else cell_counts(right)
+    cells = sorted(set(left_counts) | set(right_counts))
+    if len(cells) > MAX_CELLS:
         raise ValueError("too many groups")
     cores = spark.sparkContext.defaultParallelism
-    spread = math.ceil(math.sqrt(2 * cores / max(1, len(rings))))
-    left_tiles = {r: _tiles(left_counts.get(r, 0), tile_rows, spread) for r in rings}
-    right_tiles = {r: _tiles(right_counts.get(r, 0), tile_rows, spread) for r in rings}
-
-    def around(tiles: dict[int, int], ring: int) -> tuple[int, int, int]:
-        if not neighbours:
-            return 0, tiles.get(ring, 0), 0
-        return tiles.get(ring - 1, 0), tiles.get(ring, 0), tiles.get(ring + 1, 0)
-
-    plan_schema = "ring int, tiles int, t_prev int, t_same int, t_next int"
-    left_plan = [(r, left_tiles[r], *around(right_tiles, r)) for r in rings if left_tiles[r]]
-    right_plan = [(r, right_tiles[r], *around(left_tiles, r)) for r in rings if right_tiles[r]]
-    tile_pairs = sum(t * (p + s + n) for _, t, p, s, n in left_plan)
-    if not left_plan or not right_plan:
+    spread = math.ceil(math.sqrt(2 * cores / max(1, len(cells))))
+    left_tiles = {c: t for c in cells if (t := _tiles(left_counts.get(c, 0), tile_rows, spread))}
+    right_tiles = {c: t for c in cells if (t := _tiles(right_counts.get(c, 0), tile_rows, spread))}
+
+    def partners(cell: int, tiles: dict[int, int]) -> list[tuple[int, int]]:
+        near = _touching(cell, grid_columns) if grid_columns else [cell]
+        return [(c, tiles[c]) for c in near if c in tiles]
+
+    # Per cell: its tiles and (cell, tiles) of every cell it meets. In a triangle the left copies
+    # meet later cells and the right copies earlier ones, so two cells meet once.
+    left_plan = [(c, t, partners(c, right_tiles)) for c, t in left_tiles.items()]
+    right_plan = [(c, t, partners(c, left_tiles)) for c, t in right_tiles.items()]
+    if triangle:
+        left_plan = [(c, t, [p for p in near if p[0] >= c]) for c, t, near in left_plan]
+        right_plan = [(c, t, [p for p in near if p[0] <= c]) for c, t, near in right_plan]
+    tile_pairs = sum(t * sum(n for _, n in near) for _, t, near in left_plan)
+    if not left_plan or not right_plan or not tile_pairs:
         return spark.createDataFrame([], schema)
 
     def copies(df: DataFrame, plan: list[tuple], is_left: bool) -> DataFrame:
-        plan_table = F.broadcast(spark.createDataFrame(plan, plan_schema))
-        dealt = df.join(plan_table, "ring").withColumn("tile", F.expr("int(pmod(xxhash64(id), tiles))"))
-        before = _partners("ring - 1", "0", "t_prev - 1")
-        after = _partners("ring + 1", "0", "t_next - 1")
-        # Left copies look up the order of tiles, right copies look down, so a pair meets once.
+        plan_table = spark.createDataFrame(plan, "cell int, tiles int, near array<struct<cell: int, tiles: int>>")
+        dealt = df.join(F.broadcast(plan_table), "cell").withColumn("tile", F.expr("int(pmod(xxhash64(id), tiles))"))
+        # Inside its own cell a triangle row meets later (left) or earlier (right) tiles only.
+        first, last = "0", "p.tiles - 1"
         if triangle and is_left:
-            partners = [_partners("ring", "tile", "t_same - 1"), after]
+            first = "if(p.cell = cell, tile, 0)"
         elif triangle:
-            partners = [before, _partners("ring", "0", "tile")]
-        else:
-            partners = [before, _partners("ring", "0", "t_same - 1"), after]
-        placed = dealt.withColumn("partner", F.expr(f"explode(concat({', '.join(partners)}))"))
-        mine = ["ring", "tile"]
-        theirs = ["partner.ring", "partner.tile"]
+            last = "if(p.cell = cell, tile, p.tiles - 1)"
+        met = f"transform(sequence({first}, {last}), t -> named_struct('cell', p.cell, 'tile', int(t)))"
+        placed = dealt.withColumn("partner", F.expr(f"explode(flatten(transform(near, p -> {met})))"))
+        mine, theirs = ["cell", "tile"], ["partner.cell", "partner.tile"]
         order = mine + theirs if is_left else theirs + mine
         keys = [f"{c} AS {k}" for c, k in zip(order, _KEYS, strict=True)]
         return placed.selectExpr(*keys, f"{str(is_left).lower()} AS is_left", "id", "x", "weight")

@@ -198,7 +198,7 @@ SCAN_LABELED = with_(INST) + f"SELECT id, label, {_LONG} FROM inst"
 ROW_LOOKUP = with_(SPLIT) + f"SELECT id, label, {_LONG} FROM data WHERE split = 'train' AND id = 7"
 LABELS_OF_SPLIT = with_(SPLIT) + "SELECT id, label FROM data WHERE split = 'validation'"
 SPLIT_SIZES = with_(SPLIT) + "SELECT split, count(*) AS n, max(len(x))::BIGINT AS d FROM data GROUP BY split"
-SPLIT_BY_RATIO = f"""SELECT id, pos AS position, {split_case('pos', 'n')} AS split FROM (SELECT o_orderkey AS id,
+SPLIT_BY_RATIO = f"""SELECT id, {split_case('pos', 'n')} AS split FROM (SELECT o_orderkey AS id,
   row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM orders)"""
 UPPER_TRIANGLE = """WITH r AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS n FROM supplier)
 SELECT a.n AS i, b.n AS j FROM r a JOIN r b ON a.n < b.n"""

@@ -57,6 +57,7 @@ def score_training(problem: Problem, alphas: DataFrame) -> DataFrame:
         left_rows=problem.n_rows,
         right_rows=problem.n_vectors,
         right_width=2,
+        hot=problem.hot_vectors,
     )
     kxx = F.col("kxx")
     own = F.when((kxx > problem.epsilon) & ~F.isnan(kxx), F.col("z")).otherwise(F.col("alpha") * F.col("label"))
@@ -68,7 +69,8 @@ def score_eval(evals: EvalSet, alphas: DataFrame, n_vectors: int | None = None,
     z = alphas.groupBy(F.col("vid").alias("id")).agg(F.sum(F.col("alpha") * F.col("label")).alias("z"))
     vectors = evals.rows.select(F.col("vid").alias("id")).distinct()
     scores = score_join(evals.pairs, z, vectors, n_vectors, bias).withColumnRenamed("id", "vid")
-    joined = keyed_join(evals.rows, scores, ["vid"], "left", left_rows=evals.n_rows, right_rows=evals.n_vectors)
+    sizes = {"left_rows": evals.n_rows, "right_rows": evals.n_vectors, "hot": evals.hot_vectors}
+    joined = keyed_join(evals.rows, scores, ["vid"], "left", **sizes)
     return joined.select("id", "label", "score")
 
 

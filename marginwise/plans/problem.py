@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginwise.functions.kernels import Kernel
+from marginwise.operators.joins import fits_broadcast, hot_keys, salt_left, salts_of
 from marginwise.operators.pairs import kernel_pairs, kernel_pairs_between, mirror
 from marginwise.session import settle
 
@@ -20,48 +21,63 @@ PairBuilder = Callable[[DataFrame, Kernel, float], DataFrame]
 
 @dataclass(frozen=True)
 class Collapsed:
-    """rows with ``vid`` and without ``x``; distinct vectors (id, x); their counts."""
+    """rows with ``vid`` and without ``x``; distinct vectors (id, x); their counts; hot vectors."""
 
     rows: DataFrame
     vectors: DataFrame
     n_rows: int
     n_vectors: int
+    hot: DataFrame | None
 
 
 def collapse(rows: DataFrame, distinct: bool = True) -> Collapsed:
-    """Name every vector by a hash; two vectors with one hash are detected and hashed anew.
+    """Name every vector by a hash and count its copies.
 
-    Without copies, or with ``distinct=False``, every row keeps its own id as vector id.
-    Labels other than -1 and +1 are refused.
+    A second hash detects two vectors with one name; they are then hashed anew. Without copies,
+    or with ``distinct=False``, every row keeps its own id as vector id. Labels other than -1
+    and +1 are refused.
     """
     bad = F.count_if(~F.coalesce(F.col("label").isin(-1, 1), F.lit(False)))
     for salt in range(8):
         named = rows.withColumn("vid", F.xxhash64("x", F.lit(salt)))
-        vectors = settle(
+        check = F.xxhash64("x", F.lit(salt + 1000))
+        counted = settle(
             named.groupBy("vid").agg(
-                F.min("x").alias("x"), F.max("x").alias("other"), F.count(F.lit(1)).alias("n"), bad.alias("bad")
+                F.min("id").alias("id"),
+                F.count(F.lit(1)).alias("n"),
+                bad.alias("bad"),
+                (F.min(check) != F.max(check)).alias("clash"),
             )
         )
-        found = vectors.agg(
+        found = counted.agg(
             F.count(F.lit(1)).alias("n_vectors"),
             F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
             F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"),
-            F.count_if(F.col("x") != F.col("other")).alias("clashes"),
+            F.count_if("clash").alias("clashes"),
         ).first()
+        n_rows, n_vectors = found["n_rows"], found["n_vectors"]
         if found["bad"]:
             raise ValueError("labels must be -1 or +1")
-        if not distinct or found["n_vectors"] == found["n_rows"]:
-            own = rows.withColumn("vid", F.col("id")).drop("x")
-            return Collapsed(own, rows.select("id", "x"), found["n_rows"], found["n_rows"])
+        if not distinct or n_vectors == n_rows:
+            return Collapsed(rows.withColumn("vid", F.col("id")).drop("x"), rows.select("id", "x"), n_rows, n_rows, None)
         if not found["clashes"]:
-            distinct_vectors = vectors.select(F.col("vid").alias("id"), "x")
-            return Collapsed(named.drop("x"), distinct_vectors, found["n_rows"], found["n_vectors"])
+            # The row with the smallest id stands for its copies.
+            chosen = counted.select("id", "vid")
+            vectors = rows.select("id", "x").join(chosen, "id")
+            hot = salts_of(counted, ["vid"])
+            return Collapsed(
+                named.drop("x"), vectors.select(F.col("vid").alias("id"), "x"), n_rows, n_vectors, hot
+            )
     raise RuntimeError("hash collisions between vectors persist")
 
 
 @dataclass(frozen=True)
 class Problem:
-    """rows (id, vid, label, kxx, ...), pairs (i, j, k) in both directions between distinct vectors."""
+    """rows (id, vid, label, kxx, ...), pairs (i, j, k) in both directions between distinct vectors.
+
+    With more vectors than fit a broadcast, the pairs carry a ``salt`` for crowded partners j
+    (``hot_partners``) and are stored by (j, salt), so an iteration does not move them.
+    """
 
     rows: DataFrame
     vectors: DataFrame
@@ -70,6 +86,8 @@ class Problem:
     n_vectors: int
     kernel: Kernel
     epsilon: float
+    hot_vectors: DataFrame | None = None
+    hot_partners: DataFrame | None = None
 
     @property
     def has_copies(self) -> bool:
@@ -84,6 +102,7 @@ class EvalSet:
     pairs: DataFrame
     n_rows: int
     n_vectors: int
+    hot_vectors: DataFrame | None = None
 
 
 def prepare(
@@ -92,16 +111,34 @@ def prepare(
     epsilon: float,
     builder: PairBuilder | None = None,
     distinct: bool = True,
+    cells: int = 1,
+    broadcast: bool | None = None,
 ) -> Problem:
-    """Build and store the pair table of (id, label, x, ...)."""
+    """Build and store the pair table of (id, label, x, ...).
+
+    ``cells`` models will be trained at once; ``broadcast`` overrides the size check that
+    decides how the pairs are laid out.
+    """
     kxx = kernel.expr(F.col("x"), F.col("x"))
     found = collapse(train.withColumn("kxx", kxx), distinct)
-    pairs = settle(mirror((builder or kernel_pairs)(found.vectors, kernel, epsilon)))
-    return Problem(settle(found.rows), found.vectors, pairs, found.n_rows, found.n_vectors, kernel, epsilon)
+    pairs = mirror((builder or kernel_pairs)(found.vectors, kernel, epsilon))
+    hot_partners = None
+    if broadcast is None:
+        broadcast = fits_broadcast(found.n_vectors * cells, 2)
+    pairs = settle(pairs)
+    if not broadcast:
+        hot_partners = settle(hot_keys(pairs, ["j"]))
+        spark = train.sparkSession
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        pairs = settle(salt_left(pairs, hot_partners).repartition(parts, "j", "salt"))
+    return Problem(
+        settle(found.rows), found.vectors, pairs, found.n_rows, found.n_vectors, kernel, epsilon, found.hot, hot_partners
+    )
 
 
 def prepare_eval(problem: Problem, evals: DataFrame, distinct: bool = True) -> EvalSet:
     """Build and store the pairs between the training vectors and an evaluation table."""
     found = collapse(evals, distinct)
     pairs = settle(kernel_pairs_between(problem.vectors, found.vectors, problem.kernel, problem.epsilon))
-    return EvalSet(settle(found.rows.select("id", "vid", "label")), pairs, found.n_rows, found.n_vectors)
+    rows = settle(found.rows.select("id", "vid", "label"))
+    return EvalSet(rows, pairs, found.n_rows, found.n_vectors, found.hot)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginwise.functions.columns import uniform
-from marginwise.operators.joins import keyed_join
+from marginwise.operators.joins import keyed_join, salt_right
 from marginwise.params import AlgoParams, ModelParams
 from marginwise.plans.problem import Problem
 from marginwise.session import scratch_table
@@ -46,7 +46,10 @@ def box(alpha: Column, C: Column | float) -> Column:
 def pair_sums(problem: Problem, z: DataFrame, n_cells: int = 1) -> DataFrame:
     """(cell, vid, s): sum over the pairs of k * z of the partner vector; z is (cell, vid, z)."""
     partner = z.where(F.col("z") != 0).select("cell", F.col("vid").alias("j"), "z")
-    joined = keyed_join(problem.pairs, partner, ["j"], right_rows=problem.n_vectors * n_cells, right_width=2)
+    if problem.hot_partners is None:
+        joined = keyed_join(problem.pairs, partner, ["j"], right_rows=problem.n_vectors * n_cells, right_width=2)
+    else:
+        joined = problem.pairs.join(salt_right(partner, problem.hot_partners), ["j", "salt"])
     return joined.groupBy("cell", F.col("i").alias("vid")).agg(F.sum(F.col("k") * F.col("z")).alias("s"))
 
 
@@ -63,6 +66,7 @@ def gradient(problem: Problem, state: DataFrame, linear_term: bool = True, n_cel
     """
     y, kxx, s = F.col("label"), F.col("kxx"), F.coalesce("s", F.lit(0.0))
     sizes = {"left_rows": problem.n_rows * n_cells, "right_rows": problem.n_vectors * n_cells, "right_width": 2}
+    sizes["hot"] = problem.hot_vectors
     if problem.has_copies:
         z = vector_coefficients(state)
         per_vector = z.join(pair_sums(problem, z, n_cells), ["cell", "vid"], "left")

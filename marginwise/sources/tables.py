@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginwise.operators.ranks import positions
+from marginwise.operators.ranks import values_at
 from marginwise.params import SplitRatios
 
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
@@ -53,16 +53,17 @@ def label_table(df: DataFrame) -> DataFrame:
 def split_by_ratio(
     df: DataFrame, ratios: SplitRatios | None = None, order: str = "id", strict: bool = False
 ) -> DataFrame:
-    """Adds ``position`` (0-based in ``order``) and the positional ``split``."""
-    ratios = ratios or SplitRatios()
-    n_train, n_validation, _ = ratios.sizes(df.count(), strict)
-    position = F.col("position")
-    return positions(df, order).withColumn(
-        "split",
-        F.when(position < n_train, TRAIN)
-        .when(position < n_train + n_validation, VALIDATION)
-        .otherwise(TEST),
-    )
+    """Adds the positional ``split`` in ascending order of a unique numeric column.
+
+    Only the two boundary values are looked up, so the rows themselves are not moved.
+    """
+    n_train, n_validation, _ = (ratios or SplitRatios()).sizes(df.count(), strict)
+    ends = [n_train, n_train + n_validation]
+    found = values_at(df, order, [p for p in ends if p > 0], unique=True)
+    lowest = float("-inf")
+    train_end, validation_end = (F.lit(found.get(p, lowest)) for p in ends)
+    split = F.when(F.col(order) <= train_end, TRAIN).when(F.col(order) <= validation_end, VALIDATION).otherwise(TEST)
+    return df.withColumn("split", split)
 
 
 def head_rows(df: DataFrame, max_rows: int) -> DataFrame:
