@@ -78,7 +78,7 @@ def running_totals(
     out = binned.join(F.broadcast(offset_table), "bucket")
     for c in sums:
         out = out.withColumn(f"{c}_upto", F.col(f"{c}_upto") + F.col(f"before_{c}"))
-    return out.drop("bucket", *[f"before_{c}" for c in sums])
+    return out.select(*hist.columns, *[f"{c}_upto" for c in sums])
 
 
 def positions(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -96,7 +96,8 @@ def score_rank(df: DataFrame, score: str = "score", rows_per_bucket: int = ROWS_
         .select(score, "rank")
     )
     ranked = ranked.withColumn("max_rank", ranked.agg(F.max("rank")).scalar())
-    return keyed_join(df, ranked, [score], right_rows=hist.count(), right_width=2)
+    joined = keyed_join(df, ranked, [score], right_rows=hist.count(), right_width=2)
+    return joined.select(*df.columns, "rank", "max_rank")
 
 
 def score_quantile(df: DataFrame, score: str = "score", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -208,5 +209,4 @@ def shuffled_positions(
         numbered = numbered.join(offsets, [group, "_slice"]).withColumn(
             "position", F.col("position") + F.col("_before")
         )
-        numbered = numbered.drop("_before")
-    return numbered.drop("_u", "_slice")
+    return numbered.select(*df.columns, "position")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from marginwise.functions.kernels import Kernel
 from marginwise.operators.joins import fits_broadcast, hot_keys, salt_left, salts_of
 from marginwise.operators.pairs import kernel_pairs, kernel_pairs_between, mirror
-from marginwise.session import settle
+from marginwise.session import bucketed, settle
 
 PairBuilder = Callable[[DataFrame, Kernel, float], DataFrame]
 
@@ -76,7 +76,7 @@ class Problem:
     """rows (id, vid, label, kxx, ...), pairs (i, j, k) in both directions between distinct vectors.
 
     With more vectors than fit a broadcast, the pairs carry a ``salt`` for crowded partners j
-    (``hot_partners``) and are stored by (j, salt), so an iteration does not move them.
+    (``hot_partners``) and are stored in buckets of (j, salt), so an iteration does not move them.
     """
 
     rows: DataFrame
@@ -128,9 +128,7 @@ def prepare(
     pairs = settle(pairs)
     if not broadcast:
         hot_partners = settle(hot_keys(pairs, ["j"]))
-        spark = train.sparkSession
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-        pairs = settle(salt_left(pairs, hot_partners).repartition(parts, "j", "salt"))
+        pairs = bucketed(salt_left(pairs, hot_partners), ["j", "salt"], pairs.count())
     return Problem(
         settle(found.rows), found.vectors, pairs, found.n_rows, found.n_vectors, kernel, epsilon, found.hot, hot_partners
     )

@@ -57,3 +57,18 @@ def settle(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BUCKET_ROWS = 8_000_000
+
+
+def bucketed(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """``df`` as a table bucketed by ``keys`` below the shared folder: joins on them do not move it."""
+    spark = df.sparkSession
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(shuffle, spark.sparkContext.defaultParallelism, rows // BUCKET_ROWS)
+    name = f"bucketed_{uuid.uuid4().hex}"
+    # Partitioned like the buckets, so every task writes one file.
+    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys)
+    writer.option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
