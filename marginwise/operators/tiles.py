@@ -214,8 +214,14 @@ def tile_join(
         return spark.createDataFrame([], schema)
 
     def copies(df: DataFrame, plan: list[tuple], is_left: bool) -> DataFrame:
-        plan_table = spark.createDataFrame(plan, "cell int, tiles int, near array<struct<cell: int, tiles: int>>")
-        dealt = df.join(F.broadcast(plan_table), "cell").withColumn("tile", F.expr("int(pmod(xxhash64(id), tiles))"))
+        if len(plan) == 1:
+            _, tiles, near = plan[0]
+            listed = ", ".join(f"named_struct('cell', {c}, 'tiles', {t})" for c, t in near)
+            planned = df.where(F.col("cell") == plan[0][0]).selectExpr("*", f"{tiles} AS tiles", f"array({listed}) AS near")
+        else:
+            kinds = "cell int, tiles int, near array<struct<cell: int, tiles: int>>"
+            planned = df.join(F.broadcast(spark.createDataFrame(plan, kinds)), "cell")
+        dealt = planned.withColumn("tile", F.expr("int(pmod(xxhash64(id), tiles))"))
         # Inside its own cell a triangle row meets later (left) or earlier (right) tiles only.
         first, last = "0", "p.tiles - 1"
         if triangle and is_left:
