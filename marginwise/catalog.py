@@ -741,7 +741,7 @@ def _prepared(spark, sf):
 
 def _sweep(spark, sf) -> DataFrame:
     problem, evals = _prepared(spark, sf)
-    return evaluation.sparsity_sweep(start(problem.rows), evals, 99, problem.n_vectors)
+    return evaluation.sparsity_sweep(start(problem.rows), evals, 99, problem.n_rows)
 
 
 @query(sql.SPARSITY_SWEEP)

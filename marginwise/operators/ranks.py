@@ -143,7 +143,8 @@ def values_at(
     elif hist is None:
         hist = settle(histogram(df, value))
     binned, n_buckets = _bucketed(hist, value, hist.count(), rows_per_bucket)
-    totals = _bucket_totals(binned, ["n"])
+    # One range needs no totals: every wanted position is inside it or does not exist.
+    totals = _bucket_totals(binned, ["n"]) if n_buckets > 1 else [(0, max(wanted))]
     plan, before = [], 0
     for bucket, total in totals:
         inside = [p for p in wanted if before < p <= before + total]

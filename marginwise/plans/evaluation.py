@@ -80,7 +80,7 @@ def score_rows(
     """(id, score) of new rows (id, x) without a stored pair table; support: (id, x, z).
 
     A model within MODEL_BYTES goes to every executor and the rows are not shuffled; a larger
-    one is evaluated tile by tile. Streaming ``rows`` work with the first form.
+    one is evaluated tile by tile.
     """
     active = settle(support.where(F.col("z") != 0).select("id", "x", "z"))
     size = active.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).first()
@@ -115,64 +115,84 @@ def score_rows(
 
 
 def sparsity_sweep(
-    alphas: DataFrame, evals: EvalSet, max_quantile: int = 99, n_vectors: int | None = None
+    alphas: DataFrame, evals: EvalSet, max_quantile: int = 99, n_rows: int | None = None
 ) -> DataFrame:
-    """(q, correct) for q = 0..max_quantile-1: correct predictions with alphas below the q % quantile set to 0.
+    """(q, correct) for q = 0..max_quantile-1: correct predictions with alphas below the q % quantile set to 0."""
+    return sparsity_sweeps({0: alphas}, evals, max_quantile, n_rows).drop("iteration")
+
+
+def sparsity_sweeps(
+    alphas: dict[int, DataFrame], evals: EvalSet, max_quantile: int = 99, n_rows: int | None = None
+) -> DataFrame:
+    """(iteration, q, correct) for the coefficients (id, vid, label, alpha) of several iterations.
 
     Thresholds grow with q, so a coefficient counts for all q up to one largest q. Sums are
     formed per (row, largest q) and added from the top; a row's sign then holds for a range of
-    q, recorded by its two ends. The pair table is read once, not once per q.
+    q, recorded by its two ends. The pair table is read once, not once per q and iteration.
+    ``n_rows`` is the number of coefficients of one iteration, when known.
     """
-    spark = alphas.sparkSession
+    spark = evals.rows.sparkSession
     levels = [0.01 * q for q in range(max_quantile)]
-    found = order_statistics(alphas, "alpha", levels)
-    thresholds = [found[level] for level in levels]
-    # Equal thresholds act alike: the largest q among them stands for all.
-    largest = {t: q for q, t in enumerate(thresholds)}
-    cuts = sorted(largest)
-    binned = bin_index(alphas, "alpha", "bin", cuts)
-    q_of_bin = F.array(F.lit(-1), *[F.lit(largest[c]) for c in cuts])
+    parts = []
+    for iteration, table in alphas.items():
+        found = order_statistics(table, "alpha", levels)
+        # Equal thresholds act alike: the largest q among them stands for all.
+        largest = {found[level]: q for q, level in enumerate(levels)}
+        cuts = sorted(largest)
+        q_of_bin = F.expr(f"array({', '.join(str(q) for q in [-1, *(largest[c] for c in cuts)])})")
+        binned = bin_index(table, "alpha", "bin", cuts)
+        parts.append(
+            binned.select(
+                F.lit(iteration).alias("iteration"),
+                F.col("vid").alias("i"),
+                F.element_at(q_of_bin, F.col("bin") + 1).alias("q_max"),
+                (F.col("alpha") * F.col("label")).alias("z"),
+            )
+        )
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
     z = (
-        binned.withColumn("q_max", F.element_at(q_of_bin, F.col("bin") + 1))
-        .where((F.col("q_max") >= 0) & (F.col("alpha") != 0))
-        .groupBy(F.col("vid").alias("i"), "q_max")
-        .agg(F.sum(F.col("alpha") * F.col("label")).alias("z"))
+        union.where((F.col("q_max") >= 0) & (F.col("z") != 0))
+        .groupBy("iteration", "i", "q_max")
+        .agg(F.sum("z").alias("z"))
     )
+    z_rows = None if n_rows is None else n_rows * len(parts)
     sums = (
-        keyed_join(evals.pairs, z, ["i"], right_rows=None if n_vectors is None else n_vectors * max_quantile, right_width=2)
-        .groupBy(F.col("j").alias("vid"), "q_max")
+        keyed_join(evals.pairs, z, ["i"], right_rows=z_rows, right_width=2)
+        .groupBy("iteration", F.col("j").alias("vid"), "q_max")
         .agg(F.sum(F.col("k") * F.col("z")).alias("part"))
     )
-    # At most max_quantile rows per vector.
-    from_top = Window.partitionBy("vid").orderBy(F.col("q_max").desc())
-    ranged = (
-        sums.withColumn("score", F.sum("part").over(from_top.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .withColumn("low", F.coalesce(F.lead("q_max").over(from_top), F.lit(-1)) + 1)
-        .select("vid", "score", "low", F.col("q_max").alias("high"))
+    # At most max_quantile rows per vector and iteration.
+    from_top = Window.partitionBy("iteration", "vid").orderBy(F.col("q_max").desc())
+    ranged = sums.select(
+        "iteration",
+        "vid",
+        F.sum("part").over(from_top.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("score"),
+        (F.coalesce(F.lead("q_max").over(from_top), F.lit(-1)) + 1).alias("low"),
+        F.col("q_max").alias("high"),
     )
     # Rows per evaluation vector and class, so copies are counted, not repeated.
     y = F.col("label")
-    classes = evals.rows.groupBy("vid").agg(
-        F.sum(F.when(y > 0, 1).otherwise(0)).alias("pos"), F.sum(F.when(y < 0, 1).otherwise(0)).alias("neg")
-    )
-    hits = F.when(F.col("score") > 0, F.col("pos")).when(F.col("score") < 0, F.col("neg")).otherwise(0)
+    classes = evals.rows.groupBy("vid").agg(F.count_if(y > 0).alias("pos"), F.count_if(y < 0).alias("neg"))
+    hits = F.when(F.col("score") > 0, F.col("pos")).when(F.col("score") < 0, F.col("neg")).otherwise(F.lit(0))
     ends = F.array(
         F.struct(F.col("low").alias("q"), F.col("hits").alias("change")),
         F.struct((F.col("high") + 1).alias("q"), (-F.col("hits")).alias("change")),
     )
+    # At most max_quantile + 1 rows per iteration.
     changes = (
         ranged.join(classes, "vid")
         .withColumn("hits", hits)
-        .select(F.explode(ends).alias("e"))
-        .groupBy(F.col("e.q").alias("q"))
+        .select("iteration", F.explode(ends).alias("e"))
+        .groupBy("iteration", F.col("e.q").alias("q"))
         .agg(F.sum("e.change").alias("change"))
     )
-    grid = spark.range(max_quantile).select(F.col("id").cast("int").alias("q"))
-    # max_quantile rows.
-    upto = Window.partitionBy(F.lit(0)).orderBy("q").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        grid.join(F.broadcast(changes), "q", "left")
-        .select("q", F.sum(F.coalesce("change", F.lit(0))).over(upto).alias("correct"))
+    iterations = spark.createDataFrame([(n,) for n in alphas], "iteration int")
+    grid = iterations.select("iteration", F.explode(F.sequence(F.lit(0), F.lit(max_quantile - 1))).alias("q"))
+    upto = Window.partitionBy("iteration").orderBy("q").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return grid.join(F.broadcast(changes), ["iteration", "q"], "left").select(
+        "iteration", "q", F.sum(F.coalesce("change", F.lit(0))).over(upto).alias("correct")
     )
 
 
@@ -194,17 +214,14 @@ def validation_eval(alphas: DataFrame, evals: EvalSet, epsilon: float, iteration
 def validate_run(run: Run, evals: EvalSet, max_quantile: int = 99, cell: int = 0) -> DataFrame:
     """(iteration, sparsity, correct): the best sparsity of every iteration of one cell."""
     history = run.history().where(F.col("cell") == cell)
-    spark = history.sparkSession
-    records = []
-    for iteration in range(1, run.last[cell] + 1) or [0]:
-        alphas = history.where(F.col("iteration") == iteration).select(
+    alphas = {
+        iteration: history.where(F.col("iteration") == iteration).select(
             "id", "vid", "label", F.col("alpha_after").alias("alpha")
         )
-        sweep = sparsity_sweep(alphas, evals, max_quantile, run.problem.n_vectors)
-        best = metrics.best_sparsity(sweep).first()
-        records.append((iteration, best["sparsity"], best["correct"]))
-    # One row per iteration.
-    return spark.createDataFrame(records, "iteration int, sparsity int, correct bigint")
+        for iteration in range(1, run.last[cell] + 1) or [0]
+    }
+    sweeps = sparsity_sweeps(alphas, evals, max_quantile, run.problem.n_rows)
+    return settle(metrics.best_sparsity(sweeps))
 
 
 def select_model(run: Run, records: DataFrame, cell: int = 0) -> DataFrame:

@@ -1,0 +1 @@
+"""No streaming operators: the data sets of this engine are stored tables."""
