@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginwise.operators.ranks import histogram, running_totals
+from marginwise.operators.ranks import histogram, max_rank, running_totals
 from marginwise.session import settle
 
 
@@ -80,7 +80,7 @@ def roc_table(df: DataFrame, score: str = "score", label: str = "label") -> Data
     y = F.col(label)
     hist = settle(histogram(df, score, pos=F.count_if(y > 0), neg=F.count_if(y < 0)))
     ranked = running_totals(hist, score, ["n"], descending=True).withColumn("rank", F.col("n_upto") - F.col("n"))
-    ranked = ranked.withColumn("max_rank", ranked.agg(F.max("rank")).scalar())
+    ranked = ranked.withColumn("max_rank", max_rank(hist, score))
     quantile = F.when(F.col("max_rank") > 0, F.col("rank") / F.col("max_rank")).otherwise(
         F.raise_error(F.lit("all scores are equal, quantiles are undefined")).cast("double")
     )
@@ -127,6 +127,14 @@ def roc_table(df: DataFrame, score: str = "score", label: str = "label") -> Data
     )
 
 
+def best_cutoff(rates: DataFrame) -> DataFrame:
+    """The cut-off of a rate table with the highest accuracy; ties go to the smallest cut-off."""
+    return rates.agg(
+        F.min_by("cutoff", F.struct(-F.col("accuracy"), F.col("cutoff"))).alias("cutoff"),
+        F.max("accuracy").alias("accuracy"),
+    )
+
+
 def confusion_matrix(df: DataFrame, prediction: str, label: str, classes: list[int]) -> DataFrame:
     """Predicted classes as rows, actual classes as columns ``actual_<class>`` (``m`` for minus)."""
     named = {c: f"actual_{c}".replace("-", "m") for c in classes}

@@ -7,7 +7,7 @@ total of the ranges before it is the exact global running total.
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginwise.functions.columns import bin_index, uniform
@@ -87,6 +87,11 @@ def positions(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET) -
     return numbered.withColumn("position", F.col("_one_upto") - 1).drop("_one", "_one_upto")
 
 
+def max_rank(hist: DataFrame, score: str) -> Column:
+    """The largest descending rank: all rows but those of the lowest value."""
+    return hist.agg(F.sum("n") - F.min_by("n", score)).scalar()
+
+
 def score_rank(df: DataFrame, score: str = "score", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Adds ``rank``: 0-based, descending, ties share the lowest position; and the largest rank."""
     hist = settle(histogram(df, score))
@@ -95,7 +100,7 @@ def score_rank(df: DataFrame, score: str = "score", rows_per_bucket: int = ROWS_
         .withColumn("rank", F.col("n_upto") - F.col("n"))
         .select(score, "rank")
     )
-    ranked = ranked.withColumn("max_rank", ranked.agg(F.max("rank")).scalar())
+    ranked = ranked.withColumn("max_rank", max_rank(hist, score))
     joined = keyed_join(df, ranked, [score], right_rows=hist.count(), right_width=2)
     return joined.select(*df.columns, "rank", "max_rank")
 

@@ -66,12 +66,15 @@ def score_training(problem: Problem, alphas: DataFrame) -> DataFrame:
 
 def score_eval(evals: EvalSet, alphas: DataFrame, n_vectors: int | None = None, bias: float = 0.0) -> DataFrame:
     """(id, label, score) of an evaluation set; alphas: (vid, label, alpha)."""
-    z = alphas.groupBy(F.col("vid").alias("id")).agg(F.sum(F.col("alpha") * F.col("label")).alias("z"))
-    vectors = evals.rows.select(F.col("vid").alias("id")).distinct()
-    scores = score_join(evals.pairs, z, vectors, n_vectors, bias).withColumnRenamed("id", "vid")
+    z = alphas.groupBy(F.col("vid").alias("i")).agg(F.sum(F.col("alpha") * F.col("label")).alias("z"))
+    sums = (
+        keyed_join(evals.pairs, z.where(F.col("z") != 0), ["i"], right_rows=n_vectors)
+        .groupBy(F.col("j").alias("vid"))
+        .agg(F.sum(F.col("k") * F.col("z")).alias("score"))
+    )
     sizes = {"left_rows": evals.n_rows, "right_rows": evals.n_vectors, "hot": evals.hot_vectors}
-    joined = keyed_join(evals.rows, scores, ["vid"], "left", **sizes)
-    return joined.select("id", "label", "score")
+    joined = keyed_join(evals.rows, sums, ["vid"], "left", **sizes)
+    return joined.select("id", "label", (F.coalesce("score", F.lit(0.0)) + F.lit(bias)).alias("score"))
 
 
 def score_rows(
@@ -270,11 +273,15 @@ def predict_distributed(
     labels: DataFrame,
     epsilon: float,
     threshold: float | None = None,
+    clip_quantile: float = 0.0,
 ) -> DataFrame:
     """Prediction as a matrix product: the row vector alpha * y times the (i, j, value) kernel matrix.
 
-    Sign of the score, or +1 below the raw ``threshold``.
+    Coefficients below their ``clip_quantile`` are left out first. Sign of the score, or +1 below
+    the raw ``threshold``.
     """
+    if clip_quantile > 0.0:
+        alphas = clip_alphas(alphas, order_statistics(alphas, "alpha", [clip_quantile])[clip_quantile])
     cut = effective_epsilon(alphas, epsilon)
     vector = alphas.select(F.col("id").alias("i"), (F.col("alpha") * F.col("label")).alias("value"))
     product = matmul(sparse_vector_to_entries(vector, cut), kernel_entries)

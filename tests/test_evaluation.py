@@ -148,7 +148,10 @@ def test_roc(spark, case):
     }[case]
     if case == "one class":
         labels = np.ones(n, dtype=int)
-    got = evaluation.predict(scored(spark, scores, labels), "auc").orderBy("cutoff").collect()
+    rates = evaluation.predict(scored(spark, scores, labels), "auc")
+    got = rates.orderBy("cutoff").collect()
+    top = max(r["accuracy"] for r in got)
+    assert tuple(metrics.best_cutoff(rates).first()) == (min(r["cutoff"] for r in got if r["accuracy"] == top), top)
     assert [(r["cutoff"], r["true_positive"], r["false_positive"]) for r in got] == list(brute_roc(scores, labels))
     for r in got:
         tp, fp, p = r["true_positive"], r["false_positive"], int((labels > 0).sum())
@@ -197,3 +200,19 @@ def test_grid_search_and_report(spark):
     assert best["mean_error"] == min(r["mean_error"] for r in found) and 0 <= best["mean_error"] < 0.5
     report = tuning.final_test_report(rows, frame(spark, V[:20], W[:20]), frame(spark, V[20:], W[20:]), KERNEL, ModelParams(1.0, 0.1), algo)
     assert sum(r["actual_m1"] + r["actual_1"] for r in report.collect()) == 51
+
+
+@pytest.mark.parametrize("threshold,clip", [(None, 0.0), (0.1, 0.0), (None, 0.4)])
+def test_prediction_as_a_matrix_product(spark, threshold, clip):
+    from marginwise.operators.pairs import kernel_pairs_between
+
+    alpha = ALPHAS["spread"]
+    train = frame(spark, X, Y).withColumn("alpha", F.element_at(F.array(*[F.lit(float(a)) for a in alpha]), (F.col("id") + 1).cast("int")))
+    entries = kernel_pairs_between(frame(spark, X), frame(spark, V), KERNEL, EPSILON).withColumnRenamed("k", "value")
+    got = evaluation.predict_distributed(train, entries, frame(spark, V, W), 0.0001, threshold, clip).orderBy("id").collect()
+    kept = np.where(alpha < order_quantile(list(alpha), clip), 0.0, alpha) if clip else alpha
+    cut = max(min(0.0001, kept.min()), 1e-6)
+    scores = K.T @ (np.where(kept > cut, kept, 0.0) * Y)
+    assert np.allclose([r["score"] for r in got], scores, atol=1e-10)
+    want = np.sign(scores) if threshold is None else np.where(scores < threshold, 1, -1)
+    assert [r["prediction"] for r in got] == list(want)
