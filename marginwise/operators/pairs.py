@@ -39,8 +39,7 @@ def epsilon_filter(pairs: DataFrame, epsilon: float, value: str = "k") -> DataFr
 
 def mirror(pairs: DataFrame) -> DataFrame:
     """Both directions of every upper-triangle pair, from one scan."""
-    both = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
-    return pairs.select(F.explode(both).alias("p"), "k").select("p.i", "p.j", "k")
+    return pairs.selectExpr("stack(2, i, j, j, i) AS (i, j)", "k")
 
 
 def kernel_pairs(

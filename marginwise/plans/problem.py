@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from marginwise.functions.kernels import Kernel
 from marginwise.operators.joins import fits_broadcast, hot_keys, salt_left, salts_of
 from marginwise.operators.pairs import kernel_pairs, kernel_pairs_between, mirror
-from marginwise.session import bucketed, settle
+from marginwise.session import bucketed, settle, stored
 
 PairBuilder = Callable[[DataFrame, Kernel, float], DataFrame]
 
@@ -125,7 +125,7 @@ def prepare(
     hot_partners = None
     if broadcast is None:
         broadcast = fits_broadcast(found.n_vectors * cells, 2)
-    pairs = settle(pairs)
+    pairs = stored(pairs, "pairs")
     if not broadcast:
         hot_partners = settle(hot_keys(pairs, ["j"]))
         pairs = bucketed(salt_left(pairs, hot_partners), ["j", "salt"], pairs.count())
@@ -137,6 +137,6 @@ def prepare(
 def prepare_eval(problem: Problem, evals: DataFrame, distinct: bool = True) -> EvalSet:
     """Build and store the pairs between the training vectors and an evaluation table."""
     found = collapse(evals, distinct)
-    pairs = settle(kernel_pairs_between(problem.vectors, found.vectors, problem.kernel, problem.epsilon))
+    pairs = stored(kernel_pairs_between(problem.vectors, found.vectors, problem.kernel, problem.epsilon), "pairs")
     rows = settle(found.rows.select("id", "vid", "label"))
     return EvalSet(rows, pairs, found.n_rows, found.n_vectors, found.hot)
