@@ -260,7 +260,7 @@ def zscore_train(spark, sf):
 @query(sql.ZSCORE_APPLY)
 def zscore_apply(spark, sf):
     items = lineitem(spark, sf)
-    is_train = F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp")
+    is_train = F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp_ntz")
     split = F.when(is_train, "train").otherwise("test").alias("split")
     scaled = scaling.zscore(items.withColumn("split", split), FEATURES, items.where(is_train))
     return scaled.select("split", "l_orderkey", "l_linenumber", *[r(c, 4, c) for c in FEATURES])
