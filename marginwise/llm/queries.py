@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginwise.llm import quality
+from marginwise.llm import quality, simhash
 from marginwise.llm.text import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,3 +60,10 @@ def op8_quality_rules(spark, sf_dir):
     docs = quality.judged(load(spark, sf_dir, "documents").select("doc_id", "text"), names)
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return docs.select("doc_id", *names, base.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
+
+
+@query()
+def op7_simhash_near_dedup(spark, sf_dir):
+    found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
+    bits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
+    return found.select(F.col("id").alias("doc_id"), bits.alias("fingerprint"), "component_id")
