@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginwise.llm import quality, simhash
+from marginwise.llm import decontaminate, quality, simhash
 from marginwise.llm.text import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,40 @@ def op7_simhash_near_dedup(spark, sf_dir):
     found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
     bits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
     return found.select(F.col("id").alias("doc_id"), bits.alias("fingerprint"), "component_id")
+
+
+OP6 = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents
+), b AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, k, array_to_string(ws[i:i+k-1], ' ') AS w
+  FROM (SELECT item_id, ws, least(13, len(ws)) AS k, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)
+), dw AS (
+  SELECT doc_id, k, i, array_to_string(ws[i:i+k-1], ' ') AS w
+  FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM bw))
+), h AS (SELECT DISTINCT doc_id, i, dw.k, item_id FROM dw JOIN bw USING (k, w)),
+p AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM h, range(13) t(j) WHERE j < k GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM h) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(ws) AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
+
+@query(OP6)
+def op6_benchmark_decontamination(spark, sf_dir):
+    found = decontaminate.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"),
+        "contaminated",
+    )
