@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginwise.llm import decontaminate, quality, simhash
+from marginwise.llm import decontaminate, pieces, quality, simhash
 from marginwise.llm.text import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,17 @@ def op6_benchmark_decontamination(spark, sf_dir):
         F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query()
+def op9_sentencepiece_encoding_and_decoding(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pieces.encode(docs, pieces.default_model())
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        # The spans cover the text: the last piece ends with its last byte.
+        F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("bigint").alias("n_bytes"),
+    )
