@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginwise.llm import decontaminate, pieces, quality, simhash
+from marginwise.llm import decontaminate, lines, pieces, quality, simhash
 from marginwise.llm.text import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +118,10 @@ def op9_sentencepiece_encoding_and_decoding(spark, sf_dir):
         # The spans cover the text: the last piece ends with its last byte.
         F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("bigint").alias("n_bytes"),
     )
+
+
+@query()
+def op5_fuzzy_line_dedup(spark, sf_dir):
+    """Per line with a word: its place, its component and whether it stays."""
+    found = lines.line_decisions(load(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("line_no").cast("bigint").alias("line_no"), "component", "kept")
