@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginwise.llm.text import fresh, whole, words
+from marginwise.llm.text import fence, fresh, whole, words
 from marginwise.session import stored
 
 WINDOW = 5
@@ -168,7 +168,8 @@ def cascade(docs: DataFrame, rules=RULES, order: list[Rule] | None = None, text_
         name = f"{steps.prefix}verdict{k}"
         steps.df = steps.df.withColumn(name, F.coalesce(verdict, F.when(rule.rejects(*columns), F.lit(rule.name))))
         verdict = F.col(name)
-    return steps.df.select(*[c for c in docs.columns if c != "rejected_by"], verdict.alias("rejected_by"))
+    kept = [c for c in docs.columns if c != "rejected_by"]
+    return fence(steps.df.select(*kept, verdict.alias("rejected_by")))
 
 
 def judged(
@@ -181,4 +182,4 @@ def judged(
     verdict = F.coalesce(*[F.when(rule.rejects(*steps.add(rule.needs)), F.lit(rule.name)) for rule in order])
     taken = (*names, "rejected_by")
     kept = [c for c in docs.columns if c not in taken]
-    return steps.df.select(*kept, *[c.alias(n) for c, n in zip(columns, names)], verdict.alias("rejected_by"))
+    return fence(steps.df.select(*kept, *[c.alias(n) for c, n in zip(columns, names)], verdict.alias("rejected_by")))

@@ -1,5 +1,7 @@
 """Column expressions that several operators share. NULL texts count as empty ones."""
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,3 +34,12 @@ def fresh(*frames: DataFrame, stem: str = "_m") -> str:
     while any(c.startswith(f"{stem}{k}_") for c in taken):
         k += 1
     return f"{stem}{k}_"
+
+
+def fence(df: DataFrame) -> DataFrame:
+    """``df``, with a row count observed on the way.
+
+    Filters are not moved below an observation. Without it a later filter on an array expression
+    would carry the expression into lambdas, where it is computed anew for every element.
+    """
+    return df.observe(f"rows-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
