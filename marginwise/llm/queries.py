@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginwise.llm import decontaminate, lines, pieces, quality, simhash
+from marginwise.llm import decontaminate, html, lines, pieces, quality, simhash
 from marginwise.llm.text import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +125,9 @@ def op5_fuzzy_line_dedup(spark, sf_dir):
     """Per line with a word: its place, its component and whether it stays."""
     found = lines.line_decisions(load(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.col("line_no").cast("bigint").alias("line_no"), "component", "kept")
+
+
+@query()
+def op10_html_extraction(spark, sf_dir):
+    pages = load(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract(pages).select("page_id", "url", "text", "n_chars")
