@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginwise.llm import decontaminate, html, lines, pieces, quality, simhash
+from marginwise.llm import decontaminate, html, lines, pieces, quality, secrets, simhash
 from marginwise.llm.text import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,23 @@ def op5_fuzzy_line_dedup(spark, sf_dir):
 def op10_html_extraction(spark, sf_dir):
     pages = load(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
+@query()
+def op2_secret_scans(spark, sf_dir):
+    found = secrets.scan(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def of_kind(kind):
+        return F.filter("secrets", lambda s: s["kind"] == kind)
+
+    base = F.filter("secrets", lambda s: s["kind"] != "format")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select(
+        "doc_id",
+        *[F.size(of_kind(k)).cast("bigint").alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("secrets")).alias("spans"),
+    )
