@@ -17,6 +17,7 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +105,12 @@ class Normalizer:
         source = np.concatenate([np.zeros(len(head), np.int32), source, np.array([len(data)], np.int32)])
         return head + data.replace(b" ", self.space), source
 
+    def text(self, data: bytes) -> str:
+        """The normalised text alone."""
+        if data and not (self.map.units or self.squeeze):
+            return ((self.space if self.dummy_prefix else b"") + data.replace(b" ", self.space)).decode()
+        return self(data)[0].decode()
+
     def by_prefix(self, data: bytes) -> tuple[bytes, np.ndarray]:
         pieces, at = [], 0
         while at < len(data):
@@ -165,7 +172,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.codes: dict[str, int] = {}
-        self.flat, self.counts, self.chars = [], [], 0
+        self.flat, self.counts, self.chars = np.zeros(0, np.int32), np.zeros(0, np.int64), 0
 
     def words(self, text: str) -> list[str]:
         if not self.by_word:
@@ -174,32 +181,37 @@ class Encoder:
             return [MARK + w for w in text[1:].split(MARK)]
         return WORD.findall(text)
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each text the ids, and the first and the end byte of the source under each piece."""
-        normal = [self.normalizer(t.encode()) for t in texts]
+    def merged(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all normalised texts in a row, and where each text's ids end."""
         if self.chars > CACHE_CHARS:
             self.forget()
         codes, bounds, known = [], [0], len(self.codes)
         put = self.codes.setdefault
-        for data, _ in normal:
-            codes += [put(w, len(self.codes)) for w in self.words(data.decode())]
+        for text in texts:
+            codes += [put(w, len(self.codes)) for w in self.words(text)]
             bounds.append(len(codes))
-        new = list(self.codes)[known:] if len(self.codes) > known else []
+        new = list(islice(self.codes, known, None))
         found = self.core.encode(new, num_threads=1) if new else []
         self.chars += sum(map(len, new))
-        self.flat += [np.fromiter((i for ids in found for i in ids), np.int32)]
-        self.counts += [np.fromiter(map(len, found), np.int64, len(found))]
-        self.flat, self.counts = [np.concatenate(self.flat)], [np.concatenate(self.counts)]
-        ends = np.cumsum(self.counts[0])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32)])
+        self.counts = np.concatenate([self.counts, np.fromiter(map(len, found), np.int64, len(found))])
         code = np.array(codes, np.int64)
-        count = self.counts[0][code]
+        count = self.counts[code]
         upto = np.concatenate([[0], np.cumsum(count)])
-        ids = self.flat[0][np.repeat(ends[code] - upto[1:], count) + np.arange(upto[-1])]
+        first = np.cumsum(self.counts)[code] - count
+        return self.flat[np.repeat(first - upto[:-1], count) + np.arange(upto[-1])], upto[bounds]
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        ids, ends = self.merged([self.normalizer.text(t.encode()) for t in texts])
+        return np.split(ids, ends[1:-1])
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text the ids, and the first and the end byte of the source under each piece."""
+        normal = [self.normalizer(t.encode()) for t in texts]
+        ids, ends = self.merged([data.decode() for data, _ in normal])
         out = []
-        for k, (_, source) in enumerate(normal):
-            own = ids[upto[bounds[k]] : upto[bounds[k + 1]]]
-            edge = np.concatenate([[0], np.cumsum(self.width[own])])
-            at = source[edge]
+        for own, (_, source) in zip(np.split(ids, ends[1:-1]), normal):
+            at = source[np.concatenate([[0], np.cumsum(self.width[own])])]
             out.append((own, at[:-1], at[1:]))
         return out
 

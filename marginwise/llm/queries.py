@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginwise.llm import decontaminate, html, lines, pieces, quality, secrets, simhash
+from marginwise.llm import decontaminate, html, lines, pieces, quality, secrets, simhash, tokens
 from marginwise.llm.text import load
+from marginwise.session import scratch_table, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -151,3 +152,20 @@ def op2_secret_scans(spark, sf_dir):
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("secrets")).alias("spans"),
     )
+
+
+@query()
+def op1_token_counts(spark, sf_dir):
+    """Per document its token file, its place there and its number of tokens, found by the scan."""
+    docs = load(spark, sf_dir, "documents")
+    folder = scratch_table(spark, "token-files")
+    written = stored(tokens.write_token_files(docs, folder, pieces.default_model()), "token-manifest")
+    # Only files that the manifest names: those of lost attempts stay out.
+    files = tokens.list_files(spark, folder)
+    name = F.substring_index("path", "/", -1)
+    named = written.select(name.alias("name")).distinct()
+    counted = tokens.scan(files.join(named, name == F.col("name"), "left_semi"))
+    found = counted.select(name.alias("name"), "ordinal", "n_tokens")
+    return written.select(name.alias("name"), "ordinal", F.col("id").alias("doc_id")).join(found, ["name", "ordinal"]).select(
+        "doc_id", "n_tokens"
+    )
