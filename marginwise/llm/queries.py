@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginwise.llm import decontaminate, html, lines, pieces, quality, secrets, simhash, tokens
+from marginwise.llm import decontaminate, html, lines, pieces, quality, secrets, simhash, tokens, warc
 from marginwise.llm.text import load
 from marginwise.session import scratch_table, stored
 
@@ -169,3 +169,17 @@ def op1_token_counts(spark, sf_dir):
     return written.select(name.alias("name"), "ordinal", F.col("id").alias("doc_id")).join(found, ["name", "ordinal"]).select(
         "doc_id", "n_tokens"
     )
+
+
+@query()
+def op4_warc(spark, sf_dir):
+    pages = load(spark, sf_dir, "pages").select("page_id", "url", "html")
+    written = stored(warc.write_archives(pages, scratch_table(spark, "archives")), "archive-manifest")
+    kind = pages.schema["page_id"].dataType
+    return warc.read_archives(written).select(
+        F.col("page_id").cast(kind),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast(kind),
+    )
