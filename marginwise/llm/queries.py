@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginwise.llm import decontaminate, html, lines, pieces, quality, secrets, simhash, tokens, warc
+from marginwise.llm import ctw, decontaminate, html, lines, pieces, quality, secrets, simhash, tokens, warc
 from marginwise.llm.text import load
 from marginwise.session import scratch_table, stored
 
@@ -183,3 +183,10 @@ def op4_warc(spark, sf_dir):
         "record_type",
         F.col("refers_to").cast(kind),
     )
+
+
+@query()
+def op3_lm_scoring(spark, sf_dir):
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
+    found = ctw.score(load(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
+    return found.withColumnRenamed("id", "doc_id")
