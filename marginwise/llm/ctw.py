@@ -31,7 +31,7 @@ from marginwise.llm import files
 from marginwise.llm.text import whole
 from marginwise.session import scratch_table, stored
 
-DEPTH = 4
+DEPTH = 5
 EDGE = b"\xff"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 CHUNK_BYTES = 4_000_000
@@ -256,14 +256,13 @@ class Table:
         number = np.zeros(len(key), np.int64)
         count = 1
         for column in columns:
-            code = number * self.width + self.rank[column]
-            if count * self.width > TABLE_CELLS:
-                self.steps = None
-                return
-            codes, number = np.unique(code, return_inverse=True)
-            step = np.zeros(count * self.width, np.int32)
-            step[codes] = np.arange(len(codes))
-            self.steps.append(step)
+            codes, number = np.unique(number * self.width + self.rank[column], return_inverse=True)
+            # A step is a table of all codes while that is small, and the sorted codes themselves beyond.
+            step = codes
+            if count * self.width <= TABLE_CELLS:
+                step = np.zeros(count * self.width, np.int32)
+                step[codes] = np.arange(len(codes))
+            self.steps.append((step, count * self.width <= TABLE_CELLS))
             count = len(codes)
         self.by_number = np.zeros(count)
         self.by_number[number] = self.value
@@ -274,14 +273,13 @@ class Table:
         return [((key >> np.uint64(s)) & np.uint64(255)).astype(np.int64) for s in shifts]
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
-        """The values of all bytes and ends of the texts."""
-        if self.steps is None:
-            return self.value[np.searchsorted(self.key, grams(texts, self.depth))]
+        """The values of all bytes and ends of the texts, and ``depth`` zeros between two texts."""
         d = self.depth
         rank = self.rank[np.frombuffer(EDGE * d + (EDGE + EDGE * d).join(texts) + EDGE, np.uint8)]
-        number = self.steps[0][rank[: len(rank) - d]]
-        for k in range(1, d + 1):
-            number = self.steps[k][number * self.width + rank[k : len(rank) - d + k]]
+        number = 0
+        for k, (step, direct) in enumerate(self.steps):
+            code = number * self.width + rank[k : len(rank) - d + k]
+            number = step[code] if direct else np.minimum(np.searchsorted(step, code), len(step) - 1)
         values = self.by_number[number]
         ends = np.cumsum([len(t) + 1 + d for t in texts])[:-1]
         for k in range(d):
