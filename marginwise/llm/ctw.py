@@ -26,6 +26,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from marginwise.llm import files
 from marginwise.llm.text import whole
@@ -128,7 +130,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     for k in range(1, 8):
         shift = shift + np.log(x + k)
     y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - shift
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -348,25 +350,20 @@ def score(
     strings = blocks.repartition(n, "block").mapInArrow(count, "block bigint, gram bigint, word binary, n bigint")
     counted = strings.groupBy("gram", "word").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks"))
     counted = stored(counted, "lm-counts")
-    trained = spark.read.parquet(folder).where("train").count()
+    written = spark.read.schema(StructType([*rows.schema.fields])).parquet(folder)
+    trained = written.where("train").count()
     sums = counted.where("word IS NOT NULL").agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
     totals = ((sums[0] or 0) + trained, sums[1] + (trained > 0), trained)
     words = counted.where("word IS NOT NULL").select(
         F.explode("blocks").alias("block"), F.lit(None).cast("bigint").alias("gram"), "word", F.col("n").cast("double").alias("value")
     )
     schema = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    names = schema_names(schema)
+    names = StructType.fromDDL(schema).names
 
     def finish(key: tuple[pa.Scalar, ...], dictionary: pa.Table) -> pa.Table:
         found = list(block_scores(folder, key[0].as_py(), dictionary, totals, depth))
         return pa.table({name: [row[k] for row in found] for k, name in enumerate(names)}, schema=target)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    target = to_arrow_schema(_parse_datatype_string(schema))
+    target = to_arrow_schema(StructType.fromDDL(schema))
     return words.unionByName(gram_values(counted, depth)).groupBy("block").applyInArrow(finish, schema)
 
-
-def schema_names(schema: str) -> list[str]:
-    return [field.split()[0] for field in schema.split(", ")]
