@@ -6,7 +6,7 @@ embedding label is below 5, positional split 50 % train, 40 % validation, 10 % t
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginwise import oracles as sql
@@ -86,16 +86,17 @@ def lineitem(spark, sf) -> DataFrame:
 FEATURES = ["quantity", "price", "discount", "tax"]
 
 
+def event_types(events: DataFrame) -> DataFrame:
+    """(event_type, j): the types numbered in alphabetical order; there are few of them."""
+    number = F.row_number().over(Window.orderBy("event_type")) - 1
+    return events.select("event_type").distinct().withColumn("j", number.cast("bigint"))
+
+
 def event_matrix(spark, sf) -> DataFrame:
     """User by event type, summed value; types numbered in alphabetical order."""
-    kinds = F.array(*[F.lit(k) for k in sql.EVENT_TYPES])
-    return (
-        load(spark, sf, "events")
-        .groupBy(
-            F.col("user_id").alias("i"), (F.array_position(kinds, F.col("event_type")) - 1).cast("bigint").alias("j")
-        )
-        .agg(F.sum("value").alias("value"))
-    )
+    events = load(spark, sf, "events")
+    summed = events.groupBy(F.col("user_id").alias("i"), "event_type").agg(F.sum("value").alias("value"))
+    return summed.join(event_types(events), "event_type").select("i", "j", "value")
 
 
 def customer_alphas(spark, sf) -> DataFrame:
@@ -237,7 +238,8 @@ def entries_to_dense_vector(spark, sf):
 
 @query(sql.MATRIX_ROW)
 def matrix_row(spark, sf):
-    row = matrix.matrix_row(event_matrix(spark, sf), 3, len(sql.EVENT_TYPES))
+    width = load(spark, sf, "events").select("event_type").distinct().count()
+    row = matrix.matrix_row(event_matrix(spark, sf), 3, width)
     return row.select("i", r("value", 2, "value"))
 
 
@@ -531,15 +533,17 @@ def score_rank(spark, sf):
 
 @query(sql.SCORE_QUANTILE)
 def score_quantile(spark, sf):
+    # Some rows have no score.
     prices = load(spark, sf, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").alias("score")
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.nullif("l_quantity", F.lit(7.0)).alias("score")
     )
     return ranks.score_quantile(prices).select("l_orderkey", "l_linenumber", "rank", r("quantile", 9, "quantile"))
 
 
 @query(sql.ORDER_STATISTIC)
 def order_statistic(spark, sf):
-    found = ranks.order_statistics(load(spark, sf, "customer"), "c_acctbal", list(sql.LEVELS))
+    balances = load(spark, sf, "customer").select(F.when(F.col("c_custkey") % 7 > 0, F.col("c_acctbal")).alias("v"))
+    found = ranks.order_statistics(balances, "v", list(sql.LEVELS))
     return spark.createDataFrame(sorted(found.items()), "q double, value double").select("q", r("value", 6, "value"))
 
 
@@ -568,16 +572,23 @@ def replicate_and_block(spark, sf):
 
 @query(sql.SORTED_ALPHAS)
 def sorted_alphas(spark, sf):
-    hist = settle(ranks.histogram(customer_alphas(spark, sf), "alpha"))
-    return ranks.running_totals(hist, "alpha", ["n"]).select(r("alpha", 6, "alpha"), "n", "n_upto")
+    alphas = customer_alphas(spark, sf).select("id", "alpha")
+    return ranks.sorted_rows(alphas, "alpha", "id").select("position", "id", r("alpha", 6, "alpha"))
 
 
 @query(sql.SORTED_PROJECTIONS)
 def sorted_projections(spark, sf):
-    last = settle(ranks.histogram(projected(spark, sf), "projection", label=F.max_by("label", "id")))
-    up = ranks.positions(last, "projection").withColumnRenamed("position", "ascending")
-    n = F.lit(last.count())
-    return up.select("projection", "label", "ascending", (n - 1 - F.col("ascending")).alias("descending"))
+    positive = F.count_if(F.col("label") > 0)
+    counted = settle(ranks.histogram(projected(spark, sf), "projection", n_positive=positive))
+    up = ranks.running_totals(counted, "projection", ["n"])
+    n = counted.agg(F.sum("n")).scalar()
+    return up.select(
+        "projection",
+        "n_positive",
+        (F.col("n") - F.col("n_positive")).alias("n_negative"),
+        (F.col("n_upto") - F.col("n")).alias("ascending"),
+        (n - F.col("n_upto")).alias("descending"),
+    )
 
 
 @query(sql.HEAD_ROWS)

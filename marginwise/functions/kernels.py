@@ -15,12 +15,25 @@ from pyspark.sql import functions as F
 from marginwise.functions.columns import dot, euclidean_distance, squared_distance
 
 
+HUGE = 1e150
+
+
 def _block_squared_distance(X: np.ndarray, Y: np.ndarray) -> np.ndarray:
-    # Distances do not change under a shift; centring keeps the cancellation error small.
-    centre = Y.mean(axis=0)
-    X, Y = X - centre, Y - centre
-    d2 = (X * X).sum(axis=1)[:, None] + (Y * Y).sum(axis=1)[None, :] - 2.0 * (X @ Y.T)
-    return np.maximum(d2, 0.0, out=d2)
+    # Distances do not change under a shift; centring keeps the cancellation error small. The centre
+    # is a median, which one far row does not move.
+    x_odd, y_odd = ~(np.abs(X) < HUGE).all(axis=1), ~(np.abs(Y) < HUGE).all(axis=1)
+    A, B = np.where(x_odd[:, None], 0.0, X), np.where(y_odd[:, None], 0.0, Y)
+    centre = np.median(B[~y_odd], axis=0) if not y_odd.all() else np.zeros(Y.shape[1])
+    A, B = A - centre, B - centre
+    d2 = (A * A).sum(axis=1)[:, None] + (B * B).sum(axis=1)[None, :] - 2.0 * (A @ B.T)
+    np.maximum(d2, 0.0, out=d2)
+    # A row with NaN, infinity or numbers whose squares overflow takes the direct formula, so it only spoils its own pairs.
+    with np.errstate(invalid="ignore", over="ignore"):
+        for i in np.flatnonzero(x_odd):
+            d2[i] = _row_squared_distance(X[i], Y)
+        for j in np.flatnonzero(y_odd):
+            d2[:, j] = _row_squared_distance(X, Y[j])
+    return d2
 
 
 def _row_squared_distance(X: np.ndarray, Y: np.ndarray) -> np.ndarray:
@@ -80,7 +93,8 @@ class PolynomialKernel(Kernel):
             return np.power(base, self.degree)
 
     def block(self, X, Y):
-        return self._power(self.offset + self.scale * (X @ Y.T))
+        with np.errstate(invalid="ignore", over="ignore"):
+            return self._power(self.offset + self.scale * (X @ Y.T))
 
     def rows(self, X, Y):
         return self._power(self.offset + self.scale * (X * Y).sum(axis=1))

@@ -2,14 +2,16 @@
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginwise.functions.kernels import DistanceForm, Kernel
-from marginwise.operators.ranks import order_statistics, positions
+from marginwise.operators.ranks import positions, values_at, wanted_positions
 from marginwise.operators.tiles import (
     TILE_ROWS,
+    emit_bins,
     emit_counts,
     emit_pairs,
     emit_sampled_counts,
@@ -23,6 +25,8 @@ _PAIR_ARROW = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("k", pa.float64(
 _COUNT_DDL = "n_considered bigint, n_kept bigint"
 _COUNT_ARROW = pa.schema([("n_considered", pa.int64()), ("n_kept", pa.int64())])
 
+_BIN_ARROW = pa.schema([("bin", pa.int64()), ("n", pa.int64())])
+
 SEGMENT_IDS = 65_536
 
 
@@ -170,7 +174,7 @@ def nonzero_count_train(rows: DataFrame, kernel: Kernel, epsilon: float) -> Data
 
 
 def nonzero_count_eval(train: DataFrame, evals: DataFrame, kernel: Kernel, epsilon: float) -> DataFrame:
-    counts = tile_join(train, evals, kernel, epsilon, emit_counts, _COUNT_DDL, _COUNT_ARROW, prune=False)
+    counts = tile_join(train, evals, kernel, epsilon, emit_counts, _COUNT_DDL, _COUNT_ARROW)
     return counts.agg(F.coalesce(F.sum("n_kept"), F.lit(0)).alias("nonzero"))
 
 
@@ -210,23 +214,38 @@ def merge_pair_tables(*tables: DataFrame, disjoint: bool = False) -> DataFrame:
     return merged if disjoint else merged.dropDuplicates(["i", "j"])
 
 
+def pair_value_quantile(rows: DataFrame, form: Kernel, quantile: float) -> float:
+    """The exact order-statistic quantile of a non-negative value of all pairs i < j, none of them stored.
+
+    The values are counted by their leading bits inside the tasks; only the bins that hold the wanted
+    positions are counted again by more bits, until all 64 are known. Undefined values do not count.
+    """
+    hist, prefixes, before = None, {}, {}
+    for shift in (44, 22, 0):
+        emit = emit_bins(shift, prefixes)
+        counted = tile_join(rows, None, form, float("-inf"), emit, "bin bigint, n bigint", _BIN_ARROW)
+        hist = settle(counted.groupBy("bin").agg(F.sum("n").alias("n")))
+        if not before:
+            total = hist.agg(F.sum("n")).first()[0] or 0
+            if total == 0:
+                raise ValueError("quantiles of an empty table")
+            # Wanted position -> its bin so far.
+            before = dict.fromkeys(wanted_positions(total, quantile), 0)
+            inside = {p: p for p in before}
+        for position in before:
+            own = hist if not prefixes else hist.where(F.shiftright("bin", last_shift - shift) == before[position])
+            at = inside[position]
+            found = values_at(own, "bin", [at], hist=settle(own))[at]
+            inside[position] = at - (own.where(F.col("bin") < found).agg(F.sum("n")).first()[0] or 0)
+            before[position] = found
+        prefixes, last_shift = {shift: sorted(set(before.values()))}, shift
+    values = np.array(list(before.values()), np.int64).view(np.float64)
+    return float(values.mean())
+
+
 def kernel_scale(
-    rows: DataFrame,
-    max_rows: int = 1000,
-    quantile: float = 0.01,
-    factor: float = math.e / 4,
-    root_distance: bool = True,
+    rows: DataFrame, quantile: float = 0.01, factor: float = math.e / 4, root_distance: bool = True
 ) -> float:
-    """Estimate of the Gaussian gamma from the pair distances of the first ``max_rows`` rows."""
-    head = settle(rows.select("id", "x").orderBy("id").limit(max_rows))
-    distances = tile_join(
-        head,
-        None,
-        DistanceForm(root_distance),
-        float("-inf"),
-        emit_pairs(True),
-        _PAIR_DDL,
-        _PAIR_ARROW,
-    )
-    sigma = order_statistics(distances, "k", [quantile])[quantile] * factor
+    """Estimate of the Gaussian gamma from the distances of all pairs."""
+    sigma = pair_value_quantile(rows.select("id", "x"), DistanceForm(root_distance), quantile) * factor
     return 1.0 / (2.0 * sigma * sigma)

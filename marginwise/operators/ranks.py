@@ -87,29 +87,53 @@ def positions(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET) -
     return numbered.withColumn("position", F.col("_one_upto") - 1).drop("_one", "_one_upto")
 
 
+def sorted_rows(df: DataFrame, value: str, key: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Adds the 0-based ``position`` of every row in order of the value, ties in order of a unique numeric key.
+
+    Rows without a value have no position and are left out. Ties are numbered in ranges of the key,
+    so a value that most rows share is still the work of many tasks.
+    """
+    df = df.where(F.col(value).isNotNull())
+    hist = settle(histogram(df, value))
+    rows = hist.agg(F.sum("n")).first()[0] or 0
+    parts = bin_index(df, key, "_part", _splits(df, key, rows, rows_per_bucket))
+    upto = running_totals(hist, value, ["n"], False, rows_per_bucket)
+    earlier = Window.partitionBy(value).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parts.groupBy(value, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_within", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    before = counts.join(upto.select(value, (F.col("n_upto") - F.col("n")).alias("_before")), value)
+    inside = Window.partitionBy(value, "_part").orderBy(key)
+    numbered = parts.join(before.drop("_n"), [value, "_part"])
+    place = F.col("_before") + F.col("_within") + F.row_number().over(inside) - 1
+    return numbered.withColumn("position", place).select(*df.columns, "position")
+
+
 def max_rank(hist: DataFrame, score: str) -> Column:
     """The largest descending rank: all rows but those of the lowest value."""
     return hist.agg(F.sum("n") - F.min_by("n", score)).scalar()
 
 
 def score_rank(df: DataFrame, score: str = "score", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Adds ``rank``: 0-based, descending, ties share the lowest position; and the largest rank."""
-    hist = settle(histogram(df, score))
+    """Adds ``rank``: 0-based, descending, ties share the lowest position; and the largest rank.
+
+    Rows without a score stay, have no rank and do not count.
+    """
+    hist = settle(histogram(df.where(F.col(score).isNotNull()), score))
     ranked = (
         running_totals(hist, score, ["n"], True, rows_per_bucket)
         .withColumn("rank", F.col("n_upto") - F.col("n"))
         .select(score, "rank")
     )
     ranked = ranked.withColumn("max_rank", max_rank(hist, score))
-    joined = keyed_join(df, ranked, [score], right_rows=hist.count(), right_width=2)
+    joined = keyed_join(df, ranked, [score], how="left", right_rows=hist.count(), right_width=2)
     return joined.select(*df.columns, "rank", "max_rank")
 
 
 def score_quantile(df: DataFrame, score: str = "score", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Adds ``rank`` and ``quantile`` = rank / largest rank. Fails when all scores are equal."""
     ranked = score_rank(df, score, rows_per_bucket)
-    quantile = F.when(F.col("max_rank") > 0, F.col("rank") / F.col("max_rank")).otherwise(
-        F.raise_error(F.lit("all scores are equal, quantiles are undefined")).cast("double")
+    quantile = F.when(F.col("max_rank") > 0, F.col("rank") / F.col("max_rank")).when(
+        F.col("rank").isNotNull(), F.raise_error(F.lit("all scores are equal, quantiles are undefined")).cast("double")
     )
     return ranked.withColumn("quantile", quantile).drop("max_rank")
 
@@ -136,7 +160,7 @@ def values_at(
     hist: DataFrame | None = None,
     unique: bool = False,
 ) -> dict[int, float]:
-    """The values at 1-based ascending positions. Only value ranges that hold one are ordered.
+    """The values at 1-based ascending positions. Only value ranges that hold one are ordered; NULLs do not count.
 
     ``unique`` values of a stored table need no counting and no shuffle beforehand.
     """
@@ -144,9 +168,9 @@ def values_at(
     if not wanted:
         return {}
     if unique:
-        hist = df.select(value, F.lit(1).cast("bigint").alias("n"))
+        hist = df.where(F.col(value).isNotNull()).select(value, F.lit(1).cast("bigint").alias("n"))
     elif hist is None:
-        hist = settle(histogram(df, value))
+        hist = settle(histogram(df.where(F.col(value).isNotNull()), value))
     binned, n_buckets = _bucketed(hist, value, hist.count(), rows_per_bucket)
     # One range needs no totals: every wanted position is inside it or does not exist.
     totals = _bucket_totals(binned, ["n"]) if n_buckets > 1 else [(0, max(wanted))]
@@ -182,8 +206,8 @@ def values_at(
 def order_statistics(
     df: DataFrame, value: str, quantiles: list[float], rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> dict[float, float]:
-    """The order-statistic quantile for each requested level, in one ranking pass."""
-    hist = settle(histogram(df, value))
+    """The order-statistic quantile of the values that are not NULL for each level, in one ranking pass."""
+    hist = settle(histogram(df.where(F.col(value).isNotNull()), value))
     rows = hist.agg(F.sum("n")).first()[0] or 0
     if rows == 0:
         raise ValueError("quantiles of an empty table")

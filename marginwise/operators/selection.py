@@ -5,6 +5,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +58,10 @@ def gram_matrix_vector(df: DataFrame, label: str = "label", ridge: float = RIDGE
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            X = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            y = batch.column(1).to_numpy(zero_copy_only=False)
+            # A NULL adds nothing to a sum, as in the form with one column per cell.
+            flat = pa.compute.fill_null(batch.column(0).flatten(), 0.0)
+            X = flat.to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            y = pa.compute.fill_null(batch.column(1), 0.0).to_numpy(zero_copy_only=False)
             product = X.T @ np.column_stack([X, y])
             total = product if total is None else total + product
         if total is not None:
@@ -68,7 +71,8 @@ def gram_matrix_vector(df: DataFrame, label: str = "label", ridge: float = RIDGE
                 names=["a", "b", "value"],
             )
 
-    parts = df.select("x", F.col(label).cast("double")).mapInArrow(partial, "a int, b int, value double")
+    rows = df.where(F.col("x").isNotNull()).select("x", F.col(label).cast("double"))
+    parts = rows.mapInArrow(partial, "a int, b int, value double")
     on_diagonal = F.when(F.col("a") == F.col("b"), ridge).otherwise(0.0)
     return parts.groupBy("a", "b").agg(F.sum("value").alias("value")).withColumn("value", F.col("value") + on_diagonal)
 

@@ -10,10 +10,12 @@ touching cells meet and nothing is lost. A crowded cell simply gets more tiles.
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginwise.functions.columns import dot
@@ -21,8 +23,6 @@ from marginwise.functions.kernels import Kernel
 
 TILE_ROWS = 2048
 MAX_CELLS = 1024
-# Rows looked at to choose the directions of the grid; the choice only affects speed.
-PROBE_ROWS = 1000
 # Rows of the left side evaluated in one matrix product.
 STRIP_ROWS = 512
 # Kernel values this close to the threshold are recomputed by the direct formula.
@@ -52,16 +52,23 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _evaluator(kernel: Kernel, epsilon: float, triangle: bool, emit: Emit, schema: pa.Schema):
-    def keep_mask(K: np.ndarray, X: np.ndarray, Y: np.ndarray) -> np.ndarray:
-        if math.isfinite(epsilon):
-            i, j = np.nonzero(np.abs(K - epsilon) <= BAND * max(1.0, abs(epsilon)))
-            for part in range(0, len(i), STRIP_ROWS):
-                a, b = i[part : part + STRIP_ROWS], j[part : part + STRIP_ROWS]
-                K[a, b] = kernel.rows(X[a], Y[b])
-        # NaN compares false, so an undefined kernel value never survives.
-        return K > epsilon
+def keep_mask(kernel: Kernel, epsilon: float, K: np.ndarray, X: np.ndarray, Y: np.ndarray) -> np.ndarray:
+    """Where the kernel exceeds the threshold; values near it are first recomputed by the direct formula."""
+    if math.isfinite(epsilon):
+        i, j = np.nonzero(np.abs(K - epsilon) <= BAND * max(1.0, abs(epsilon)))
+        for part in range(0, len(i), STRIP_ROWS):
+            a, b = i[part : part + STRIP_ROWS], j[part : part + STRIP_ROWS]
+            K[a, b] = kernel.rows(X[a], Y[b])
+    # NaN compares false, so an undefined kernel value never survives.
+    return K > epsilon
+
+
+def has_vector(x) -> Column:
+    """The vector is there and holds no NULL."""
+    return F.col(x).isNotNull() & ~F.exists(x, lambda v: v.isNull())
+
 
+def _evaluator(kernel: Kernel, epsilon: float, triangle: bool, emit: Emit, schema: pa.Schema):
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).combine_chunks()
         if table.num_rows == 0:
@@ -82,7 +89,7 @@ def _evaluator(kernel: Kernel, epsilon: float, triangle: bool, emit: Emit, schem
         for start in range(0, len(left_id), STRIP_ROWS):
             cut = slice(start, start + STRIP_ROWS)
             K = kernel.block(X[cut], Y)
-            keep = keep_mask(K, X[cut], Y)
+            keep = keep_mask(kernel, epsilon, K, X[cut], Y)
             considered = np.ones_like(keep)
             if one_tile:
                 considered = left_id[cut][:, None] < right_id[None, :]
@@ -102,25 +109,54 @@ def _tiles(rows: int, tile_rows: int, spread: int) -> int:
 
 
 def _directions(df: DataFrame) -> np.ndarray:
-    """One or two orthogonal unit vectors along which a few rows spread most."""
-    probe = df.select("x").limit(PROBE_ROWS).toArrow().combine_chunks()
-    X = _matrix(probe["x"].chunk(0)) if probe.num_rows else np.zeros((1, 1))
-    _, _, axes = np.linalg.svd(X - X.mean(axis=0), full_matrices=False)
-    return axes[:2]
+    """One or two orthogonal unit vectors along which the rows spread most, all but those with extreme numbers.
+
+    One product per task, summed by cell: d * d numbers reach the driver.
+    """
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            X = _matrix(batch.column(0))
+            X = X[(np.abs(X) < 1e100).all(axis=1)]
+            if len(X):
+                X = np.column_stack([np.ones(len(X)), X])
+                total = X.T @ X if total is None else total + X.T @ X
+        if total is not None:
+            a, b = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a.ravel(), pa.int32()), pa.array(b.ravel(), pa.int32()), pa.array(total.ravel())],
+                names=["a", "b", "value"],
+            )
+
+    cells = df.select("x").mapInArrow(moments, "a int, b int, value double").groupBy("a", "b").agg(F.sum("value").alias("v"))
+    found = cells.collect()
+    if not found:
+        return np.ones((1, 1))
+    d = max(r["a"] for r in found)
+    M = np.zeros((d + 1, d + 1))
+    for r in found:
+        M[r["a"], r["b"]] = r["v"]
+    mean = M[0, 1:] / M[0, 0]
+    _, axes = np.linalg.eigh(M[1:, 1:] / M[0, 0] - np.outer(mean, mean))
+    return axes[:, ::-1].T[:2]
 
 
 def _into_cells(left: DataFrame, right: DataFrame, radius: float) -> tuple[DataFrame, DataFrame, int]:
     """Both sides with ``cell`` = row * columns + column of the grid, and the number of columns.
 
     A projection on a unit vector never exceeds the distance, so rows within ``radius`` differ by
-    at most one grid step per direction.
+    at most one grid step per direction. A row with NaN or infinity is within no radius and goes.
     """
     places = [dot(F.col("x"), F.array(*[F.lit(float(v)) for v in axis])) for axis in _directions(left)]
     names = [f"_p{k}" for k in range(len(places))]
     left = left.select("*", *[p.alias(n) for p, n in zip(places, names, strict=True)])
     right = right.select("*", *[p.alias(n) for p, n in zip(places, names, strict=True)])
+    finite = reduce(and_, [F.abs(n) < float("inf") for n in names])
+    left, right = left.where(finite), right.where(finite)
     ends = [f(n) for n in names for f in (F.min, F.max)]
     found = left.select(*names).unionAll(right.select(*names)).agg(*ends).first()
+    found = [v if v is not None else 0.0 for v in found]
     index, columns, room = F.lit(0), 1, MAX_CELLS
     for k, name in enumerate(names):
         low, high = found[2 * k], found[2 * k + 1]
@@ -155,7 +191,8 @@ def tile_join(
     """Run ``emit`` on every strip of every tile pair.
 
     left, right: (id BIGINT, x ARRAY<DOUBLE>[, weight DOUBLE]). ``right=None`` pairs the left table
-    with itself, each unordered pair once. ``group`` names an integer column (at most MAX_CELLS
+    with itself, each unordered pair once. A row whose vector is NULL or holds a NULL has no pairs.
+    ``group`` names an integer column (at most MAX_CELLS
     values); rows then meet only inside equal groups. ``prune=None`` decides by input size.
     """
     triangle = right is None
@@ -165,7 +202,7 @@ def tile_join(
     def prepared(df: DataFrame) -> DataFrame:
         if "weight" not in df.columns:
             df = df.withColumn("weight", F.lit(1.0))
-        return df.select(*columns)
+        return df.select(*columns).where(has_vector("x"))
 
     def cell_counts(df: DataFrame) -> dict[int, int]:
         # At most MAX_CELLS rows.
@@ -274,6 +311,21 @@ def emit_counts(s: Strip) -> dict[str, np.ndarray]:
     return {"n_considered": np.array([s.considered.sum()]), "n_kept": np.array([s.keep.sum()])}
 
 
+def emit_bins(shift: int, prefixes: dict[int, list[int]] | None = None) -> Emit:
+    """Counts of the values' leading bits, without the last ``shift``; the order of bits is that of
+    non-negative numbers. ``prefixes`` (old shift -> wanted leading bits) picks the values to count.
+    """
+
+    def emit(s: Strip) -> dict[str, np.ndarray]:
+        bits = s.values[s.keep].view(np.int64)
+        for old, wanted in (prefixes or {}).items():
+            bits = bits[np.isin(bits >> old, wanted)]
+        found, n = np.unique(bits >> shift, return_counts=True)
+        return {"bin": found, "n": n}
+
+    return emit
+
+
 def emit_sampled_counts(probability: float, seed: int, symmetric: bool) -> Emit:
     """Counts over a reproducible Bernoulli sample of the pairs."""
 

@@ -13,7 +13,6 @@ GRID_COSTS = (0.1, 1.0)
 GRID_FOLDS = 5
 FIXED_WEIGHTS = (0.03, -7.0)
 LEVELS = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
-EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 
 def d(value: float) -> str:
@@ -207,11 +206,10 @@ UNION ALL SELECT c_custkey, 0, c_acctbal FROM customer"""
 SPARSE_VECTOR_TO_ENTRIES = "SELECT 0::BIGINT AS i, c_custkey AS j, c_acctbal AS value FROM customer WHERE abs(c_acctbal) > 5000"
 ENTRIES_TO_DENSE_VECTOR = """SELECT c_custkey AS i, CASE WHEN abs(c_acctbal) > 5000 THEN c_acctbal ELSE 0::DOUBLE END AS value
 FROM customer"""
-_KINDS = "[" + ", ".join(f"'{k}'" for k in EVENT_TYPES) + "]"
-EVENTS_MATRIX = f"""m AS MATERIALIZED (SELECT user_id AS i, (list_position({_KINDS}, event_type) - 1)::BIGINT AS j,
-  sum(value) AS value FROM events GROUP BY 1, 2)"""
+EVENTS_MATRIX = """kinds AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS j FROM (SELECT DISTINCT event_type FROM events)),
+m AS MATERIALIZED (SELECT user_id AS i, j, sum(value) AS value FROM events JOIN kinds USING (event_type) GROUP BY 1, 2)"""
 MATRIX_ROW = with_(EVENTS_MATRIX) + f"""SELECT t.i, {r("coalesce(m.value, 0::DOUBLE)", 2)} AS value
-FROM range({len(EVENT_TYPES)}) t(i) LEFT JOIN m ON m.i = 3 AND m.j = t.i WHERE EXISTS (SELECT 1 FROM m WHERE i = 3)"""
+FROM (SELECT j AS i FROM kinds) t LEFT JOIN m ON m.i = 3 AND m.j = t.i WHERE EXISTS (SELECT 1 FROM m WHERE i = 3)"""
 
 # --- projections, filters, predicates
 
@@ -366,20 +364,24 @@ SELECT kernel, C, {r('mean_error')} AS mean_error, row_number() OVER (ORDER BY m
 
 SCORE_RANK = "SELECT doc_id AS id, rank() OVER (ORDER BY n_chars DESC) - 1 AS rank FROM documents"
 SCORE_QUANTILE = with_(
-    "li AS (SELECT l_orderkey, l_linenumber, l_quantity AS score FROM lineitem)", quantiles("li")
-) + f"SELECT l_orderkey, l_linenumber, rank, {r('quantile', 9)} AS quantile FROM qs"
+    "li AS (SELECT l_orderkey, l_linenumber, l_quantity AS score FROM lineitem WHERE l_quantity <> 7)", quantiles("li")
+) + f"""SELECT l_orderkey, l_linenumber, rank, {r('quantile', 9)} AS quantile FROM qs
+UNION ALL SELECT l_orderkey, l_linenumber, NULL, NULL FROM lineitem WHERE l_quantity = 7"""
 _LEVEL_ROWS = " UNION ALL ".join(f"SELECT {k} AS q, {d(v)} AS level" for k, v in enumerate(LEVELS))
-ORDER_STATISTIC = with_(at_levels("customer", "c_acctbal", _LEVEL_ROWS)) + f"SELECT level AS q, {r('value')} AS value FROM found"
+ORDER_STATISTIC = with_(
+    "bal AS (SELECT c_acctbal FROM customer WHERE c_custkey % 7 > 0)", at_levels("bal", "c_acctbal", _LEVEL_ROWS)
+) + f"SELECT level AS q, {r('value')} AS value FROM found"
 ORDER_STATISTICS_GRID = with_(at_levels("orders", "o_totalprice", percent_levels(99))) + f"SELECT q, {r('value')} AS value FROM found"
 RUNNING_MISCLASSIFICATION = with_(ITEMS, PROJECTED, cutoffs("proj", 0.2)) + "SELECT low, high FROM cut"
 REPLICATE_AND_BLOCK = f"""SELECT id, {block_case('pos', 'n')} AS train_block, (pos // (n // 4))::INTEGER AS replicate,
   {block_case('(pos % (n // 4))', '(n // 4)')} AS block FROM (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos,
   count(*) OVER () AS n FROM orders)"""
-SORTED_ALPHAS = with_(CUSTOMER_ALPHAS, "c AS (SELECT alpha, count(*) AS n FROM al GROUP BY alpha)") + f"""
-SELECT {r('alpha')} AS alpha, n, sum(n) OVER (ORDER BY alpha)::BIGINT AS n_upto FROM c"""
-SORTED_PROJECTIONS = with_(ITEMS, PROJECTED, "c AS (SELECT projection, arg_max(label, id) AS label FROM proj GROUP BY 1)") + """
-SELECT projection, label, row_number() OVER (ORDER BY projection) - 1 AS ascending,
-  row_number() OVER (ORDER BY projection DESC) - 1 AS descending FROM c"""
+SORTED_ALPHAS = with_(CUSTOMER_ALPHAS) + f"""
+SELECT row_number() OVER (ORDER BY alpha, id) - 1 AS position, id, {r('alpha')} AS alpha FROM al"""
+SORTED_PROJECTIONS = with_(ITEMS, PROJECTED) + """
+SELECT projection, count(*) FILTER (WHERE label > 0) AS n_positive, count(*) FILTER (WHERE label <= 0) AS n_negative,
+  (sum(count(*)) OVER (ORDER BY projection) - count(*))::BIGINT AS ascending,
+  (sum(count(*)) OVER (ORDER BY projection DESC) - count(*))::BIGINT AS descending FROM proj GROUP BY projection"""
 HEAD_ROWS = with_(INST) + "SELECT id, label FROM inst ORDER BY id LIMIT 1000"
 SWEEP_START = with_(SPLIT, TRAIN, VALID, across("tr", "va", "pv"), started("tr"), sweep("s0"))
 BEST_SPARSITY = SWEEP_START + "SELECT q AS sparsity, correct FROM sweep ORDER BY correct DESC, q DESC LIMIT 1"
@@ -413,8 +415,7 @@ KERNEL_LINEAR = on_neighbours("list_dot_product(a.x, b.x)")
 EUCLIDEAN_DISTANCE = on_neighbours("list_distance(a.x, b.x)")
 KERNEL_SCALE = with_(
     INST,
-    "head AS (SELECT * FROM inst ORDER BY id LIMIT 1000)",
-    "dist AS (SELECT sqrt(list_distance(a.x, b.x)) AS v FROM head a JOIN head b ON a.id < b.id)",
+    "dist AS (SELECT sqrt(list_distance(a.x, b.x)) AS v FROM inst a JOIN inst b ON a.id < b.id)",
     at_levels("dist", "v", "SELECT 0 AS q, 0.01::DOUBLE AS level"),
 ) + f"SELECT {r(f'1.0::DOUBLE / (2 * pow(value * {d(math.e / 4)}, 2))')} AS gamma FROM found"
 ELEMENTWISE = with_(CUSTOMER_ALPHAS) + f"""SELECT id, {r('alpha * alpha_old')} AS product, {r('alpha - alpha_old')} AS difference,

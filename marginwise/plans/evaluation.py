@@ -13,7 +13,7 @@ from marginwise.operators import metrics
 from marginwise.operators.joins import keyed_join
 from marginwise.operators.matrix import matmul, sparse_vector_to_entries
 from marginwise.operators.ranks import order_statistics, score_quantile
-from marginwise.operators.tiles import emit_scores, tile_join
+from marginwise.operators.tiles import emit_scores, has_vector, keep_mask, tile_join
 from marginwise.plans.problem import EvalSet, Problem
 from marginwise.plans.training import Run, clip_alphas, pair_sums, vector_coefficients
 from marginwise.session import settle
@@ -83,20 +83,25 @@ def score_rows(
     """(id, score) of new rows (id, x) without a stored pair table; support: (id, x, z).
 
     A model within MODEL_BYTES goes to every executor and the rows are not shuffled; a larger
-    one is evaluated tile by tile.
+    one is evaluated tile by tile, each distinct vector once. Both decide alike what exceeds the
+    threshold. Support without a whole vector is left out; a row without one scores the bias.
     """
-    active = settle(support.where(F.col("z") != 0).select("id", "x", "z"))
+    active = settle(support.where((F.col("z") != 0) & has_vector("x")).select("id", "x", "z"))
+    rows = rows.select(F.col("id").cast("bigint"), F.col("x").cast("array<double>"))
+    bare = rows.where(~has_vector("x")).select("id", F.lit(float(bias)).alias("score"))
+    rows = rows.where(has_vector("x"))
     size = active.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).first()
     n, d = size["n"], size["d"] or 0
     if n == 0:
-        return rows.select("id", F.lit(float(bias)).alias("score"))
+        return rows.select("id", F.lit(float(bias)).alias("score")).unionByName(bare)
     if n * d * 8 > MODEL_BYTES:
         weighted = active.select("id", "x", F.col("z").alias("weight"))
-        parts = tile_join(weighted, rows, kernel, epsilon, emit_scores, _SCORE_DDL, _SCORE_ARROW)
-        sums = parts.groupBy("id").agg(F.sum("score").alias("score"))
-        return rows.select("id").join(sums, "id", "left").withColumn(
-            "score", F.coalesce("score", F.lit(0.0)) + F.lit(bias)
-        )
+        named = rows.withColumn("vector", F.xxhash64("x"))
+        vectors = named.select(F.col("vector").alias("id"), "x").dropDuplicates(["id"])
+        parts = tile_join(weighted, vectors, kernel, epsilon, emit_scores, _SCORE_DDL, _SCORE_ARROW)
+        sums = parts.groupBy(F.col("id").alias("vector")).agg(F.sum("score").alias("score"))
+        scored = named.select("id", "vector").join(sums, "vector", "left")
+        return scored.select("id", (F.coalesce("score", F.lit(0.0)) + F.lit(bias)).alias("score")).unionByName(bare)
     table = active.toArrow().combine_chunks()
     X = table["x"].chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(n, d)
     model = rows.sparkSession.sparkContext.broadcast((X, table["z"].to_numpy()))
@@ -110,11 +115,12 @@ def score_rows(
             Y = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             scores = np.empty(batch.num_rows)
             for start in range(0, batch.num_rows, strip):
-                K = kernel.block(Y[start : start + strip], vectors)
-                scores[start : start + strip] = np.where(K > epsilon, K, 0.0) @ z
+                own = Y[start : start + strip]
+                K = kernel.block(own, vectors)
+                scores[start : start + strip] = np.where(keep_mask(kernel, epsilon, K, own, vectors), K, 0.0) @ z
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores + bias)], schema=_SCORE_ARROW)
 
-    return rows.select(F.col("id").cast("bigint"), F.col("x").cast("array<double>")).mapInArrow(evaluate, _SCORE_DDL)
+    return rows.mapInArrow(evaluate, _SCORE_DDL).unionByName(bare)
 
 
 def sparsity_sweep(

@@ -216,3 +216,24 @@ def test_prediction_as_a_matrix_product(spark, threshold, clip):
     assert np.allclose([r["score"] for r in got], scores, atol=1e-10)
     want = np.sign(scores) if threshold is None else np.where(scores < threshold, 1, -1)
     assert [r["prediction"] for r in got] == list(want)
+
+
+def test_scores_do_not_depend_on_the_model_size(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    X = [[float(v) for v in x] for x in rng.normal(size=(40, 3))]
+    odd = [[float("nan"), 0.0, 1.0], None, [None, 1.0, 2.0], [float("inf"), 0.0, 0.0]]
+    rows = [(i, x) for i, x in enumerate(X + odd)] + [(3, X[3])]
+    support = [(i, x, float(i % 3 - 1)) for i, x in enumerate(X + odd)] + [(500, [0.0, 0.0, 0.0], 2.0)]
+    # Rows at the threshold exactly: distance 1 from the last support vector.
+    rows += [(600, [1.0, 0.0, 0.0]), (601, [0.0, -1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "id bigint, x array<double>")
+    model = spark.createDataFrame(support, "id bigint, x array<double>, z double")
+    kernel = GaussianKernel(1.0)
+    epsilon = float(np.exp(-1.0))
+    found = []
+    for limit in (evaluation.MODEL_BYTES, 0):
+        monkeypatch.setattr(evaluation, "MODEL_BYTES", limit)
+        scored = evaluation.score_rows(frame, model, kernel, epsilon, bias=0.25).collect()
+        found.append(sorted((r["id"], round(r["score"], 9)) for r in scored))
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    assert dict(found[0])[41] == 0.25

@@ -151,3 +151,12 @@ def test_grid_errors(spark):
     errors = spark.createDataFrame(rows, "kernel string, C double, fold int, error double")
     got = {(r["kernel"], r["C"]): (round(r["mean_error"], 6), r["is_best"]) for r in metrics.error_mean_by_grid(errors, ["kernel", "C"]).collect()}
     assert got == {("g", 1.0): (0.3, False), ("g", 10.0): (0.2, True), ("p", 1.0): (0.2, False)}
+
+
+@pytest.mark.parametrize("wide", [0, 20])
+def test_gram_matrix_with_nulls_in_either_form(spark, monkeypatch, wide):
+    monkeypatch.setattr(selection, "WIDE_FEATURES", wide)
+    rows = [(1.0, 2.0, 1), (None, 3.0, -1), (4.0, None, 1), (5.0, 6.0, None)]
+    frame = spark.createDataFrame(rows, "a double, b double, label int")
+    got = {(r["a"], r["b"]): r["value"] for r in selection.gram_matrix(frame, ["a", "b"], ridge=0.0).collect()}
+    assert got == {(0, 0): 42.0, (0, 1): 32.0, (1, 0): 32.0, (1, 1): 49.0, (0, 2): 5.0, (1, 2): -1.0}

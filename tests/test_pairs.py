@@ -197,4 +197,35 @@ def test_kernel_scale(spark):
 
     distances = [np.sqrt(np.linalg.norm(POINTS[a] - POINTS[b])) for a in range(50) for b in range(a + 1, 50)]
     sigma = order_quantile(distances, 0.01) * np.e / 4
-    assert pairs.kernel_scale(frame(spark, POINTS), max_rows=50) == pytest.approx(1 / (2 * sigma**2))
+    assert pairs.kernel_scale(frame(spark, POINTS[:50])) == pytest.approx(1 / (2 * sigma**2))
+
+
+def test_kernel_scale_reads_every_row(spark):
+    from helpers import order_quantile
+
+    rng = np.random.default_rng(9)
+    X = rng.normal(size=(120, 3)) * np.linspace(0.01, 4, 120)[:, None]
+    for q in (0.0, 0.3, 1.0):
+        values = [np.linalg.norm(X[a] - X[b]) for a in range(120) for b in range(a + 1, 120)]
+        gamma = pairs.kernel_scale(frame(spark, X), quantile=q, factor=1.0, root_distance=False)
+        assert gamma == pytest.approx(1 / (2 * order_quantile(values, q) ** 2))
+
+
+ODD = [[np.nan, 0.0], [np.inf, 1.0], [-np.inf, np.nan], [1e200, 0.0]]
+
+
+@pytest.mark.parametrize("prune", [False, True])
+@pytest.mark.parametrize("kernel", [GaussianKernel(0.5), PolynomialKernel(1.0, 0.5, 2.0), LinearKernel()])
+def test_odd_rows_only_lose_their_own_pairs(spark, prune, kernel):
+    rng = np.random.default_rng(10)
+    X = np.concatenate([rng.normal(size=(60, 2)), np.array(ODD)])
+    rows = frame(spark, X)
+    nulls = spark.createDataFrame([(900, 1, None), (901, 1, [None, 1.0])], "id bigint, label int, x array<double>")
+    rows = rows.unionByName(nulls)
+    with np.errstate(all="ignore"):
+        K = kernel_table(kernel, X)
+    want = {(i, j) for i in range(len(X)) for j in range(i + 1, len(X)) if K[i, j] > 0.3}
+    found = pair_dict(pairs.kernel_pairs(rows, kernel, 0.3, tile_rows=16, prune=prune))
+    assert set(found) == want
+    between = pair_dict(pairs.kernel_pairs_between(rows, rows, kernel, 0.3, tile_rows=16, prune=prune))
+    assert {(i, j) for i, j in between if i < j} == want

@@ -75,3 +75,27 @@ def test_folds_are_balanced_by_class(spark, rows_per_bucket):
     for row in counts:
         sizes = [row[str(f)] for f in range(10)]
         assert max(sizes) - min(sizes) <= 1
+
+
+@pytest.mark.parametrize("rows_per_bucket", [2, 100])
+def test_rows_without_a_score_have_no_rank(spark, rows_per_bucket):
+    scores = [5.0, None, 3.0, 5.0, None, 1.0]
+    frame = spark.createDataFrame(list(enumerate(scores)), "id int, score double")
+    found = {r["id"]: (r["rank"], r["quantile"]) for r in ranks.score_quantile(frame, rows_per_bucket=rows_per_bucket).collect()}
+    assert found == {0: (0, 0.0), 1: (None, None), 2: (2, 2 / 3), 3: (0, 0.0), 4: (None, None), 5: (3, 1.0)}
+
+
+@pytest.mark.parametrize("rows_per_bucket", [2, 100])
+def test_order_statistics_skip_nulls(spark, rows_per_bucket):
+    frame = spark.createDataFrame([(float(v),) for v in range(1, 9)] + [(None,)] * 2, "v double")
+    found = ranks.order_statistics(frame, "v", [0.0, 0.5, 1.0], rows_per_bucket)
+    assert found == {0.0: 1.0, 0.5: 4.5, 1.0: 8.0}
+
+
+@pytest.mark.parametrize("rows_per_bucket", [3, 100])
+def test_sorted_rows_with_many_ties(spark, rows_per_bucket):
+    values = [0.0] * 12 + [2.0, -1.0, 2.0, 7.0]
+    frame = spark.createDataFrame([*enumerate(values), (99, None)], "id bigint, v double")
+    got = ranks.sorted_rows(frame, "v", "id", rows_per_bucket).orderBy("position").collect()
+    want = sorted(enumerate(values), key=lambda r: (r[1], r[0]))
+    assert [(r["id"], r["v"]) for r in got] == want and [r["position"] for r in got] == list(range(len(want)))
