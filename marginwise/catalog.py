@@ -4,14 +4,16 @@ Fixed settings of the queries: Gaussian kernel with gamma 1, threshold 0.2, clas
 embedding label is below 5, positional split 50 % train, 40 % validation, 10 % test.
 """
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginwise import oracles as sql
 from marginwise.functions import columns as fc
-from marginwise.functions.kernels import GaussianKernel, LinearKernel, PolynomialKernel
+from marginwise.functions.kernels import GaussianKernel, Kernel, LinearKernel, PolynomialKernel
 from marginwise.operators import folds, matrix, metrics, pairs, ranks, scaling, selection
 from marginwise.params import AlgoParams, ModelParams
 from marginwise.plans import evaluation, training, tuning
@@ -665,6 +667,27 @@ def euclidean_distance(spark, sf):
     return _on_neighbours(spark, sf, fc.euclidean_distance(F.col("x"), F.col("y")))
 
 
+class LaplaceKernel(Kernel):
+    """A kernel of the user's own: exp(-distance)."""
+
+    def expr(self, x, y):
+        return F.exp(-fc.euclidean_distance(x, y))
+
+    def block(self, X, Y):
+        return np.exp(-np.sqrt(np.maximum((X * X).sum(1)[:, None] + (Y * Y).sum(1)[None, :] - 2.0 * (X @ Y.T), 0.0)))
+
+    def rows(self, X, Y):
+        return np.exp(-np.sqrt(((X - Y) ** 2).sum(axis=1)))
+
+    def radius(self, epsilon):
+        return max(0.0, -math.log(epsilon)) if epsilon > 0 else None
+
+
+@query(sql.KERNEL_CUSTOM)
+def kernel_custom(spark, sf):
+    return pairs.kernel_pairs(vectors(spark, sf), LaplaceKernel(), 0.27).select("i", "j", r("k", 6, "k"))
+
+
 @query(sql.KERNEL_SCALE)
 def kernel_scale(spark, sf):
     gamma = pairs.kernel_scale(vectors(spark, sf))
@@ -674,7 +697,7 @@ def kernel_scale(spark, sf):
 @query(sql.ELEMENTWISE)
 def elementwise(spark, sf):
     alphas = customer_alphas(spark, sf)
-    forms = fc.elementwise(F.col("alpha"), F.col("alpha_old"))
+    forms = fc.elementwise(F.col("alpha"), F.col("alpha_old"), 2.5)
     return alphas.select("id", *[r(col, 6, name) for name, col in forms.items()])
 
 
@@ -791,15 +814,31 @@ def predict(spark, sf):
     return standard.unionByName(threshold)
 
 
-@query(sql.PREDICT_DISTRIBUTED)
-def predict_distributed(spark, sf):
+@query(sql.PREDICT_AUC)
+def predict_auc(spark, sf):
+    rates = evaluation.predict(settle(_test_scores(spark, sf)), "auc")
+    ratios = ["precision", "false_discovery_rate", "q_value", "sensitivity", "specificity", "accuracy"]
+    return rates.select("cutoff", "true_positive", "false_positive", *[r(c, 6, c) for c in ratios])
+
+
+def _distributed(spark, sf, threshold=None) -> DataFrame:
     data = split_vectors(spark, sf)
     train, test = of(data, "train"), of(data, "test")
     entries = pairs.kernel_pairs_between(train, test, GAUSS, EPS).withColumnRenamed("k", "value")
-    called = evaluation.predict_distributed(start(train), entries, test, 0.001)
+    called = evaluation.predict_distributed(start(train), entries, test, 0.001, threshold)
     return called.select("id", "label", r("score", 6, "score"), "prediction")
 
 
+@query(sql.PREDICT_DISTRIBUTED)
+def predict_distributed(spark, sf):
+    return _distributed(spark, sf)
+
+
+@query(sql.PREDICT_DISTRIBUTED_RAW)
+def predict_distributed_raw(spark, sf):
+    return _distributed(spark, sf, 0.1)
+
+
 @query(sql.SELECT_INSTANCES)
 def select_instances(spark, sf):
     columns = ["quantity", "discount"]

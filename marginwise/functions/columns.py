@@ -52,9 +52,10 @@ def relabel(col: Column, transform=None) -> Column:
     return F.when(whole > 0, 1).otherwise(-1).cast("int")
 
 
-def elementwise(a: Column, b: Column) -> dict[str, Column]:
+def elementwise(a: Column, b: Column, factor: float = 1.0) -> dict[str, Column]:
     """The vector arithmetic used by the trainers, on aligned (id, value) columns."""
     return {
+        "scaled": a * factor,
         "product": a * b,
         "difference": a - b,
         "magnitude": F.abs(a),

@@ -326,18 +326,16 @@ CLASS_HITS = EVAL_SCORES + """SELECT count(*) FILTER (WHERE score > 0 AND label
   count(*) FILTER (WHERE score > 0 AND label <= 0) AS wrongly_positive FROM sc"""
 CLASS_TOTALS = """SELECT count(*) FILTER (WHERE l_returnflag = 'R') AS n_positive,
   count(*) FILTER (WHERE l_returnflag <> 'R') AS n_negative FROM lineitem"""
-ROC_TABLE = with_(
-    DOCUMENT_SCORES,
-    quantiles("ds"),
-    """c AS (SELECT t.c::INTEGER AS cutoff, count(*) FILTER (WHERE quantile < t.c / 100::DOUBLE AND label > 0) AS tp,
+_RATES = """c AS (SELECT t.c::INTEGER AS cutoff, count(*) FILTER (WHERE quantile < t.c / 100::DOUBLE AND label > 0) AS tp,
   count(*) FILTER (WHERE quantile < t.c / 100::DOUBLE AND label < 0) AS fp,
   count(*) FILTER (WHERE label > 0) AS p, count(*) FILTER (WHERE label < 0) AS n
-  FROM range(1, 100) t(c) CROSS JOIN qs GROUP BY t.c)""",
-    """rates AS (SELECT cutoff, tp, fp, p, n, tp::DOUBLE / nullif(tp + fp, 0) AS tpr, fp::DOUBLE / nullif(tp + fp, 0) AS fpr FROM c)""",
-) + f"""SELECT cutoff, tp AS true_positive, fp AS false_positive, {r('tpr')} AS precision, {r('fpr')} AS false_discovery_rate,
+  FROM range(1, 100) t(c) CROSS JOIN qs GROUP BY t.c),
+rates AS (SELECT cutoff, tp, fp, p, n, tp::DOUBLE / nullif(tp + fp, 0) AS tpr, fp::DOUBLE / nullif(tp + fp, 0) AS fpr FROM c)"""
+_RATE_TABLE = f"""SELECT cutoff, tp AS true_positive, fp AS false_positive, {r('tpr')} AS precision, {r('fpr')} AS false_discovery_rate,
   {r('CASE WHEN tpr > 0 AND fpr > 0 THEN tpr / sqrt(fpr) ELSE 0::DOUBLE END')} AS q_value,
   {r('tp::DOUBLE / nullif(p, 0)')} AS sensitivity, {r('(n - fp)::DOUBLE / nullif(n, 0)')} AS specificity,
   {r('(tp + n - fp)::DOUBLE / nullif(p + n, 0)')} AS accuracy FROM rates"""
+ROC_TABLE = with_(DOCUMENT_SCORES, quantiles("ds"), _RATES) + _RATE_TABLE
 _GRAM = " UNION ALL ".join(
     [
         f"SELECT {a} AS a, {b} AS b, {r(f'sum({x} * {y})' + (' + 0.5::DOUBLE' if a == b else ''), 4)} AS value FROM scaled"
@@ -413,12 +411,14 @@ KERNEL_GAUSSIAN = on_neighbours(gauss())
 KERNEL_POLYNOMIAL = on_neighbours("pow(0.5::DOUBLE + 2.0::DOUBLE * list_dot_product(a.x, b.x), 3)")
 KERNEL_LINEAR = on_neighbours("list_dot_product(a.x, b.x)")
 EUCLIDEAN_DISTANCE = on_neighbours("list_distance(a.x, b.x)")
+KERNEL_CUSTOM = with_(INST) + f"""SELECT i, j, {r('k')} AS k FROM (SELECT a.id AS i, b.id AS j,
+  exp(-list_distance(a.x, b.x)) AS k FROM inst a JOIN inst b ON a.id < b.id) WHERE k > 0.27::DOUBLE"""
 KERNEL_SCALE = with_(
     INST,
     "dist AS (SELECT sqrt(list_distance(a.x, b.x)) AS v FROM inst a JOIN inst b ON a.id < b.id)",
     at_levels("dist", "v", "SELECT 0 AS q, 0.01::DOUBLE AS level"),
 ) + f"SELECT {r(f'1.0::DOUBLE / (2 * pow(value * {d(math.e / 4)}, 2))')} AS gamma FROM found"
-ELEMENTWISE = with_(CUSTOMER_ALPHAS) + f"""SELECT id, {r('alpha * alpha_old')} AS product, {r('alpha - alpha_old')} AS difference,
+ELEMENTWISE = with_(CUSTOMER_ALPHAS) + f"""SELECT id, {r('alpha * 2.5')} AS scaled, {r('alpha * alpha_old')} AS product, {r('alpha - alpha_old')} AS difference,
   {r('abs(alpha)')} AS magnitude, {r('sign(alpha)::DOUBLE')} AS sign, {r('floor(alpha)')} AS whole, {r('exp(alpha)')} AS exponential,
   {r('pow(alpha, alpha_old)')} AS power FROM al"""
 
@@ -466,12 +466,18 @@ PREDICT = TRAINED.rstrip() + f""",
 {scores('pt', f's{ITERATIONS}', 'te')}, {quantiles('sc')}
 SELECT 'standard' AS method, {_REPORT} FROM (SELECT *, sign(score) AS p FROM sc)
 UNION ALL SELECT 'threshold', {_REPORT} FROM (SELECT *, CASE WHEN quantile > 0.6::DOUBLE THEN -1 ELSE 1 END AS p FROM qs)"""
-PREDICT_DISTRIBUTED = with_(
+PREDICT_AUC = TRAINED.rstrip() + f""",
+{scores('pt', f's{ITERATIONS}', 'te')}, {quantiles('sc')}, {_RATES}
+{_RATE_TABLE}"""
+_DISTRIBUTED = with_(
     SPLIT, TRAIN, TEST, across("tr", "te", "pt"), started("tr"),
     "cut AS (SELECT greatest(least(0.001::DOUBLE, min(alpha)), 0.000001::DOUBLE) AS e FROM s0)",
     "kept AS (SELECT * FROM s0, cut WHERE abs(alpha * label) > e)",
     scores("pt", "kept", "te"),
-) + f"SELECT id, label, {r('score')} AS score, sign(score)::DOUBLE AS prediction FROM sc"
+)
+PREDICT_DISTRIBUTED = _DISTRIBUTED + f"SELECT id, label, {r('score')} AS score, sign(score)::DOUBLE AS prediction FROM sc"
+PREDICT_DISTRIBUTED_RAW = _DISTRIBUTED + f"""SELECT id, label, {r('score')} AS score,
+  CASE WHEN score < 0.1::DOUBLE THEN 1::DOUBLE ELSE -1::DOUBLE END AS prediction FROM sc"""
 _SELECT_COLUMNS = ("quantity", "discount")
 SELECT_INSTANCES = with_(
     ITEMS,

@@ -11,7 +11,6 @@ from marginwise.functions.columns import bin_index
 from marginwise.functions.kernels import Kernel
 from marginwise.operators import metrics
 from marginwise.operators.joins import keyed_join
-from marginwise.operators.matrix import matmul, sparse_vector_to_entries
 from marginwise.operators.ranks import order_statistics, score_quantile
 from marginwise.operators.tiles import emit_scores, has_vector, keep_mask, tile_join
 from marginwise.plans.problem import EvalSet, Problem
@@ -281,7 +280,9 @@ def predict_distributed(
     threshold: float | None = None,
     clip_quantile: float = 0.0,
 ) -> DataFrame:
-    """Prediction as a matrix product: the row vector alpha * y times the (i, j, value) kernel matrix.
+    """Prediction as a product: the row vector alpha * y times the (i, j, value) kernel matrix.
+
+    The vector goes to the entries, which are read once and summed by column.
 
     Coefficients below their ``clip_quantile`` are left out first. Sign of the score, or +1 below
     the raw ``threshold``.
@@ -289,9 +290,9 @@ def predict_distributed(
     if clip_quantile > 0.0:
         alphas = clip_alphas(alphas, order_statistics(alphas, "alpha", [clip_quantile])[clip_quantile])
     cut = effective_epsilon(alphas, epsilon)
-    vector = alphas.select(F.col("id").alias("i"), (F.col("alpha") * F.col("label")).alias("value"))
-    product = matmul(sparse_vector_to_entries(vector, cut), kernel_entries)
-    scores = product.select(F.col("j").alias("id"), F.col("value").alias("score"))
+    vector = alphas.select(F.col("id").alias("i"), (F.col("alpha") * F.col("label")).alias("z")).where(F.abs("z") > cut)
+    joined = keyed_join(kernel_entries, vector, ["i"], right_rows=alphas.count(), right_width=2)
+    scores = joined.groupBy(F.col("j").alias("id")).agg(F.sum(F.col("z") * F.col("value")).alias("score"))
     scored = labels.select("id", "label").join(scores, "id", "left").fillna(0.0, ["score"])
     score = F.col("score")
     call = metrics.classify_sign(score) if threshold is None else metrics.classify_raw(score, threshold)
