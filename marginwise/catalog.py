@@ -348,6 +348,12 @@ def kernel_diagonal(spark, sf):
     return pairs.kernel_diagonal(vectors(spark, sf), kernel).select("id", r("k", 6, "k"))
 
 
+@query(sql.KERNEL_PAIRS_BY_BLOCK)
+def kernel_pairs_by_block(spark, sf):
+    found = pairs.kernel_pairs_by_block(vectors(spark, sf), GAUSS, EPS)
+    return found.select("i", "j", r("k", 6, "k"), "block_i", "block_j")
+
+
 @query(sql.KERNEL_PAIRS_BLOCKED)
 def kernel_pairs_blocked(spark, sf):
     data = split_vectors(spark, sf)

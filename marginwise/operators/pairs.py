@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginwise.functions.kernels import DistanceForm, Kernel
+from marginwise.operators.joins import keyed_join
 from marginwise.operators.ranks import positions, values_at, wanted_positions
 from marginwise.operators.tiles import (
-    TILE_ROWS,
     emit_bins,
     emit_counts,
     emit_pairs,
@@ -47,7 +47,7 @@ def mirror(pairs: DataFrame) -> DataFrame:
 
 
 def kernel_pairs(
-    rows: DataFrame, kernel: Kernel, epsilon: float, tile_rows: int = TILE_ROWS, prune: bool | None = None
+    rows: DataFrame, kernel: Kernel, epsilon: float, tile_rows: int | None = None, prune: bool | None = None
 ) -> DataFrame:
     """Pairs i < j of one table with kernel above the threshold."""
     return tile_join(
@@ -60,7 +60,7 @@ def kernel_pairs_between(
     right: DataFrame,
     kernel: Kernel,
     epsilon: float,
-    tile_rows: int = TILE_ROWS,
+    tile_rows: int | None = None,
     prune: bool | None = None,
 ) -> DataFrame:
     """Pairs (left i, right j) with kernel above the threshold."""
@@ -78,7 +78,7 @@ def _labelled(rows: DataFrame) -> DataFrame:
 
 
 def kernel_matrix_signed(
-    rows: DataFrame, kernel: Kernel, epsilon: float, signed_filter: bool = False, tile_rows: int = TILE_ROWS
+    rows: DataFrame, kernel: Kernel, epsilon: float, signed_filter: bool = False, tile_rows: int | None = None
 ) -> DataFrame:
     """Entries y_i y_j k(i, j) of the full square, diagonal included, where k exceeds the threshold.
 
@@ -140,7 +140,7 @@ def assign_replicates(df: DataFrame, n: int) -> DataFrame:
 
 
 def kernel_pairs_blocked(
-    rows: DataFrame, kernel: Kernel, epsilon: float, evals: DataFrame | None = None, tile_rows: int = TILE_ROWS
+    rows: DataFrame, kernel: Kernel, epsilon: float, evals: DataFrame | None = None, tile_rows: int | None = None
 ) -> DataFrame:
     """Pairs inside the same block only: a stated approximation of the full table.
 
@@ -164,6 +164,17 @@ def kernel_pairs_blocked(
     )
 
 
+def kernel_pairs_by_block(rows: DataFrame, kernel: Kernel, epsilon: float) -> DataFrame:
+    """All pairs i < j above the threshold with the blocks of both: (i, j, k, block_i, block_j), block_i <= block_j."""
+    blocks = settle(assign_blocks(positions(rows, "id"), rows.count()).select("id", "block"))
+    found = kernel_pairs(rows, kernel, epsilon)
+    n = blocks.count()
+    for side in ("i", "j"):
+        own = blocks.select(F.col("id").alias(side), F.col("block").alias(f"block_{side}"))
+        found = keyed_join(found, own, [side], right_rows=n, right_width=2)
+    return found.select("i", "j", "k", "block_i", "block_j")
+
+
 def nonzero_count_train(rows: DataFrame, kernel: Kernel, epsilon: float) -> DataFrame:
     """Non-zero entries of the square kernel: the diagonal plus twice the pairs above the threshold."""
     counts = tile_join(rows, None, kernel, epsilon, emit_counts, _COUNT_DDL, _COUNT_ARROW)

@@ -21,9 +21,13 @@ from pyspark.sql import functions as F
 from marginwise.functions.columns import dot
 from marginwise.functions.kernels import Kernel
 
-TILE_ROWS = 2048
+# Vectors of one side of a tile. A row is copied once per partner tile, so large tiles mean few copies.
+TILE_BYTES = 16 << 20
+# Below this many pairs the grid is not worth its passes.
+PRUNE_PAIRS = 1 << 26
 MAX_CELLS = 1024
-# Rows of the left side evaluated in one matrix product.
+# Kernel values of one matrix product: a strip of the left side against the whole right side.
+STRIP_CELLS = 1 << 20
 STRIP_ROWS = 512
 # Kernel values this close to the threshold are recomputed by the direct formula.
 BAND = 1e-9
@@ -86,8 +90,9 @@ def _evaluator(kernel: Kernel, epsilon: float, triangle: bool, emit: Emit, schem
         one_tile = triangle and (
             table["a_cell"][0] == table["b_cell"][0] and table["a_tile"][0] == table["b_tile"][0]
         )
-        for start in range(0, len(left_id), STRIP_ROWS):
-            cut = slice(start, start + STRIP_ROWS)
+        strip = max(1, min(STRIP_ROWS, STRIP_CELLS // len(right_id)))
+        for start in range(0, len(left_id), strip):
+            cut = slice(start, start + strip)
             K = kernel.block(X[cut], Y)
             keep = keep_mask(kernel, epsilon, K, X[cut], Y)
             considered = np.ones_like(keep)
@@ -184,7 +189,7 @@ def tile_join(
     emit: Emit,
     schema: str,
     arrow_schema: pa.Schema,
-    tile_rows: int = TILE_ROWS,
+    tile_rows: int | None = None,
     prune: bool | None = None,
     group: str | None = None,
 ) -> DataFrame:
@@ -192,7 +197,7 @@ def tile_join(
 
     left, right: (id BIGINT, x ARRAY<DOUBLE>[, weight DOUBLE]). ``right=None`` pairs the left table
     with itself, each unordered pair once. A row whose vector is NULL or holds a NULL has no pairs.
-    ``group`` names an integer column (at most MAX_CELLS
+    ``tile_rows`` is the most rows of a tile's side, TILE_BYTES of vectors by default. ``group`` names an integer column (at most MAX_CELLS
     values); rows then meet only inside equal groups. ``prune=None`` decides by input size.
     """
     triangle = right is None
@@ -210,15 +215,20 @@ def tile_join(
 
     left = prepared(left)
     right = left if triangle else prepared(right)
+
+    def extent(df: DataFrame) -> tuple[int, int]:
+        return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("x")), F.lit(1))).first())
+
+    n_left, width = extent(left)
+    n_right = n_left if triangle else right.count()
+    tile_rows = tile_rows or max(64, TILE_BYTES // (8 * max(1, width)))
     radius = kernel.radius(epsilon)
     grid_columns = None
     if group:
         left, right = left.withColumnRenamed(group, "cell"), right.withColumnRenamed(group, "cell")
     else:
-        n_left = left.count()
-        n_right = n_left if triangle else right.count()
         if prune is None:
-            prune = n_left * n_right > (4 * tile_rows) ** 2
+            prune = n_left * n_right > PRUNE_PAIRS
         if prune and radius is not None and n_left and n_right:
             left, right, grid_columns = _into_cells(left, right, radius)
         else:

@@ -267,6 +267,12 @@ def block_case(pos: str, n: str) -> str:
     return f"(CASE WHEN {pos} < {first} THEN 0 WHEN {pos} < {second} THEN 1 WHEN {pos} < {following(second)} THEN 2 ELSE 3 END)"
 
 
+KERNEL_PAIRS_BY_BLOCK = with_(
+    INST,
+    f"""bt AS MATERIALIZED (SELECT *, {block_case('pos', 'n')} AS block FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos,
+  count(*) OVER () AS n FROM inst))""",
+) + f"""SELECT i, j, {r('k')} AS k, block_i, block_j FROM (SELECT a.id AS i, b.id AS j, {gauss()} AS k, a.block AS block_i,
+  b.block AS block_j FROM bt a JOIN bt b ON a.id < b.id) WHERE k > {d(EPSILON)}"""
 KERNEL_PAIRS_BLOCKED = with_(
     SPLIT,
     f"""bt AS MATERIALIZED (SELECT *, {block_case('pos', 'n')} AS block FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos,

@@ -229,3 +229,14 @@ def test_odd_rows_only_lose_their_own_pairs(spark, prune, kernel):
     assert set(found) == want
     between = pair_dict(pairs.kernel_pairs_between(rows, rows, kernel, 0.3, tile_rows=16, prune=prune))
     assert {(i, j) for i, j in between if i < j} == want
+
+
+def test_pairs_by_block_are_complete(spark):
+    X = POINTS[:61]
+    kernel = GaussianKernel(0.2)
+    got = pairs.kernel_pairs_by_block(frame(spark, X), kernel, 0.2).collect()
+    want = pair_dict(pairs.kernel_pairs(frame(spark, X), kernel, 0.2))
+    assert {(r["i"], r["j"]): r["k"] for r in got} == want and len(got) == len(want)
+    ends = pairs.block_ends(61)
+    block = lambda p: sum(p >= e for e in ends)
+    assert all((r["block_i"], r["block_j"]) == (block(r["i"]), block(r["j"])) for r in got)
