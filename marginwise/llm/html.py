@@ -57,7 +57,7 @@ NAME_WEIGHT = {
     "related reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget "
     "complementary contentinfo alert copyright legal disclaimer",
     -7.0: "header masthead topbar",
-    4.0: "article content entry post story maincontent articlebody",
+    4.0: "article content entry post story main maincontent articlebody",
 }
 NAMES = {name: weight for weight, names in NAME_WEIGHT.items() for name in names.split()}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -80,8 +80,11 @@ def name_weight(attributes: str) -> float:
     found = 0.0
     for match in ATTRIBUTE.finditer(attributes):
         value = next(g for g in match.groups("") if g or g == match.groups("")[-1])
-        for word in re.split(r"[\s_\-]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()):
-            weight = NAMES.get(word, 0.0)
+        words = re.split(r"[\s_\-]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())
+        content = any(NAMES.get(word, 0.0) > 0 for word in words)
+        for word in words:
+            # The header of an article or entry holds its title.
+            weight = 0.0 if content and word == "header" else NAMES.get(word, 0.0)
             found = weight if abs(weight) > abs(found) else found
     return found
 
@@ -130,8 +133,8 @@ def blocks(page: str) -> list[Block]:
             count += 1
             _, _, weight, marked = stack[-1]
             own = TAG_WEIGHT.get(tag, 0.0)
-            # A header within the article holds its title more often than a banner.
-            own = -1.0 if tag == "header" and marked > 0 else own
+            # A header within the article holds its title, not the site's banner.
+            own = 0.0 if tag == "header" and marked > 0 else own
             attributes = match.group(4)
             named = name_weight(attributes) if "=" in attributes else 0.0
             if tag in ("html", "body"):

@@ -29,6 +29,13 @@ def test_broken_pages_are_read(page):
     assert isinstance(html.main_text(page, {}), str)
 
 
+def test_titles_in_headers_of_the_article():
+    inside = "<header><a href=/>Site</a></header><article><header class=entry-header><h1>The title</h1></header><p>Text of it.</p></article>"
+    assert html.main_text(inside, {}) == "The title\n\nText of it."
+    named = "<div id=header>Site</div><div class='post-header'><h1>The title</h1></div><div class=postContent><p>Text of it.</p></div>"
+    assert html.main_text(named, {}) == "The title\n\nText of it."
+
+
 def brute_cut(unary, edges):
     best, found = None, None
     for mask in range(1 << len(unary)):
