@@ -79,7 +79,7 @@ def name_weight(attributes: str) -> float:
     """The strongest weight among the words of class, id and role."""
     found = 0.0
     for match in ATTRIBUTE.finditer(attributes):
-        value = next(g for g in match.groups("") if g or g == match.groups("")[-1])
+        value = match.group(1) or match.group(2) or match.group(3) or ""
         words = re.split(r"[\s_\-]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())
         content = any(NAMES.get(word, 0.0) > 0 for word in words)
         for word in words:
