@@ -203,7 +203,7 @@ def gram_values(counted: DataFrame, depth: int) -> DataFrame:
     spark = counted.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     group = F.shiftright("gram", 8 * (depth - 1))
-    dealt = stored(counted.where("gram IS NOT NULL").repartition(n, group).sortWithinPartitions("gram"), "lm-grams")
+    whole_groups = counted.where("gram IS NOT NULL").repartition(n, group).sortWithinPartitions("gram")
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in ranges(batches, depth):
@@ -211,8 +211,6 @@ def gram_values(counted: DataFrame, depth: int) -> DataFrame:
             columns = [level.node >> 16 << 8 | level.node & 255, level.zeros, level.ones, level.mixture]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "zeros", "ones", "below"])
 
-    # A partition of the written table is a file or a part of one: deal the groups again to hold them whole.
-    whole_groups = dealt.repartition(n, group).sortWithinPartitions("gram")
     summary = whole_groups.select("gram", "n").mapInArrow(top, "node bigint, zeros double, ones double, below double")
     rows = summary.groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).orderBy("node").collect()
     node, zeros, ones, below = (np.array(c) for c in zip(*rows)) if rows else (np.zeros(0, np.int64), *[np.zeros(0)] * 3)
@@ -330,6 +328,8 @@ def score(
     ``train`` is the condition that a row is learnt from. ``base_score`` sums smoothed word
     frequencies, ``score`` is the log10-probability of the text under the tree; both include the end.
     """
+    if not 2 <= depth <= 6:
+        raise ValueError("depth must lie between 2 and 6 bytes")
     spark = docs.sparkSession
     folder = scratch_table(spark, "lm-texts")
     rows = docs.select(
