@@ -20,6 +20,7 @@ bit has probability one half; an empty table gives an empty result.
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,9 @@ from marginwise.session import scratch_table, stored
 DEPTH = 5
 EDGE = b"\xff"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 BLOCK_ROWS = 50_000
-TABLE_CELLS = 16_000_000
+TABLE_CELLS = 8_000_000
 LOG_HALF = math.log(0.5)
 
 
@@ -114,9 +115,10 @@ def block_counts(folder: str, block: int, depth: int) -> Iterator[pa.RecordBatch
     for i in range(0, len(key), 100_000):
         k, c = key[i : i + 100_000].view(np.int64), n[i : i + 100_000]
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), pa.array(k), pa.nulls(len(k), pa.binary()), pa.array(c)], names=names)
-    rows = [*words.items(), *((w, 0) for w in other if w not in words)]
-    for i in range(0, len(rows), 100_000):
-        part = rows[i : i + 100_000]
+    words.update(dict.fromkeys(other - words.keys(), 0))
+    del other
+    rows = iter(words.items())
+    while part := list(islice(rows, 100_000)):
         columns = [pa.array([block] * len(part)), pa.nulls(len(part), pa.int64()), pa.array([w for w, _ in part], pa.binary()), pa.array([c for _, c in part])]
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -347,7 +349,8 @@ def score(
             for block in batch.column(0).to_pylist():
                 yield from block_counts(folder, block, depth)
 
-    strings = blocks.repartition(n, "block").mapInArrow(count, "block bigint, gram bigint, word binary, n bigint")
+    # By range, as a hash of the block would be dropped after distinct() and its partitions merged into one.
+    strings = blocks.repartitionByRange(n, "block").mapInArrow(count, "block bigint, gram bigint, word binary, n bigint")
     counted = strings.groupBy("gram", "word").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks"))
     counted = stored(counted, "lm-counts")
     written = spark.read.schema(StructType([*rows.schema.fields])).parquet(folder)
