@@ -31,12 +31,15 @@ SAMPLE_PAGES = 2_000
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|object|title|select|button|textarea|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(?P<code>script|style)(?=[\s/>])[^>]*(?<!/)>.*?(?:</(?P=code)(?=[\s/>])[^>]*>|\Z)"
+    r"|<(?P<raw>noscript|iframe|title|textarea)(?=[\s/>])[^>]*(?<!/)>.*?</(?P=raw)(?=[\s/>])[^>]*>"
     r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|([^<]+|<)",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+#: Elements without prose, left out up to their end tag, if they have one.
+LEFT_OUT = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*>", re.I) for t in ("svg", "button", "select", "template", "canvas")}
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 #: Elements that begin and end a block.
 BLOCK_TAGS = frozenset(
@@ -60,6 +63,8 @@ NAME_WEIGHT = {
     4.0: "article content entry post story main maincontent articlebody",
 }
 NAMES = {name: weight for weight, names in NAME_WEIGHT.items() for name in names.split()}
+#: Fixed value: a name alone weighs no more than text evidence can outweigh.
+NAME_LEAST = -6.0
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SMOOTH = 2.0
 
@@ -89,19 +94,36 @@ def name_weight(attributes: str) -> float:
     return found
 
 
+def end_of(page: str, tag: str, start: int) -> int:
+    """Where the element that opened before ``start`` ends; 0 for one that is not closed.
+
+    A button or a list of options cannot hold blocks: one that seems to was not closed.
+    """
+    depth = 1
+    for match in LEFT_OUT[tag].finditer(page, start):
+        depth += -1 if match.group(1) else not match.group().endswith("/>")
+        if not depth:
+            inner = page[start : match.start()] if tag in ("button", "select") else ""
+            held = (m.group("tag") for m in TOKEN.finditer(inner))
+            return 0 if any(t and t.lower() in BLOCK_TAGS and t.lower() != "option" for t in held) else match.end()
+    return 0
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     found: list[Block] = []
-    # (tag, number, weight so far, +1 below article or main / -1 below boilerplate elements)
-    stack: list[tuple[str, int, float, int]] = [("", 0, 0.0, 0)]
-    count, links, current = 0, 0, None
+    # (tag, number, weight so far, +1 below article or main / -1 below boilerplate elements, below a boilerplate tag)
+    stack: list[tuple[str, int, float, int, bool]] = [("", 0, 0.0, 0, False)]
+    count, links, current, skipped = 0, 0, None, 0
     for match in TOKEN.finditer(page):
-        text = match.group(5)
+        if match.start() < skipped:
+            continue
+        text = match.group("text")
         if text is not None:
             if current is None:
                 if text.isspace():
                     continue
-                tag, _, weight, marked = stack[-1]
+                tag, _, weight, marked, _ = stack[-1]
                 current = Block(tag, tuple(s[1] for s in stack), weight, marked)
                 found.append(current)
             text = entities.unescape(text) if "&" in text else text
@@ -109,10 +131,14 @@ def blocks(page: str) -> list[Block]:
             if links:
                 current.link_chars += len(text)
             continue
-        tag = match.group(3)
+        tag = match.group("tag")
         if tag is None:
             continue
-        tag, closing = tag.lower(), bool(match.group(2))
+        tag, closing = tag.lower(), bool(match.group("end"))
+        if tag in LEFT_OUT:
+            if not closing and not match.group().endswith("/>"):
+                skipped = end_of(page, tag, match.end())
+            continue
         if tag == "a":
             links = 0 if closing else 1
         elif tag == "br":
@@ -131,19 +157,30 @@ def blocks(page: str) -> list[Block]:
             if tag == "hr":
                 continue
             count += 1
-            _, _, weight, marked = stack[-1]
+            _, _, weight, marked, firm = stack[-1]
             own = TAG_WEIGHT.get(tag, 0.0)
             # A header within the article holds its title, not the site's banner.
             own = 0.0 if tag == "header" and marked > 0 else own
-            attributes = match.group(4)
+            attributes = match.group("attributes")
             named = name_weight(attributes) if "=" in attributes else 0.0
             if tag in ("html", "body"):
                 named = 0.0
             mark = 1 if own >= 4 else -1 if own <= -7 else marked
-            # Boilerplate inside an article stays boilerplate; nothing below boilerplate is content.
-            pushed = min(own, named) if min(own, named) < 0 else max(own, named)
-            weight = min(weight, pushed) if weight < 0 or pushed < 0 else max(weight, pushed)
-            stack.append((tag, count, weight, mark))
+            if own < 0:
+                # Nothing below a boilerplate tag is content.
+                firm, weight = True, min(weight, own, named)
+            elif firm:
+                weight = min(weight, named)
+            else:
+                # A bad name is evidence; article, main, a good name or the text below it may outweigh it.
+                named = max(named, NAME_LEAST)
+                if named < 0:
+                    weight = min(weight, 0.0, own + named if own else named)
+                elif weight < 0:
+                    weight += max(own, named)
+                else:
+                    weight = max(weight, own, named)
+            stack.append((tag, count, weight, mark, firm))
     for block in found:
         block.text = " ".join("".join(block.parts).split())
     return [b for b in found if b.text]
