@@ -3,7 +3,8 @@
 Grammar inference: the distinct credentials that the patterns find are labelled with their kind. Each
 kind's prefix tree of character classes is merged, from the root outwards, where the outgoing
 probabilities of two states agree within the Hoeffding bound; what is left is a probabilistic
-automaton. Every other run of credential characters in the texts is then scored under each automaton
+automaton. Every other run of six or more credential characters, the least length and the alphabet
+of the first base pattern, is then scored under each automaton
 and under a model of ordinary runs; a run that some format explains better by a margin per character
 becomes a span of kind ``format``.
 
@@ -18,7 +19,7 @@ an output column are replaced; an empty table gives an empty result.
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,8 +36,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 #: The same with their least lengths, for RE2: texts without a match have no base span.
 HINT = r"(?i:(password|passwd|secret|token|api_?key)[\"']?\x20*[:=])|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-RUN_HINT = r"[A-Za-z0-9+/_=-]{16}"
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+RUN_HINT = r"[A-Za-z0-9+/_.=-]{6}"
+KNOWN_RUNS = 200_000
 SAMPLE = 2_000
 ALPHA = 0.05
 MARGIN = 0.5
@@ -71,11 +73,12 @@ class Automaton:
     def __init__(self, states: list[dict[str, tuple[float, int]]], floor: float):
         self.states, self.floor = states, floor
 
-    def score(self, word: str) -> float:
+    def score(self, word: str, floor: float | None = None) -> float:
         """Log-probability of the whole word; what the automaton has never seen costs ``floor``."""
         total, at = 0.0, 0
+        floor = self.floor if floor is None else floor
         for symbol in word + END:
-            weight, following = self.states[at].get(symbol, (self.floor, at))
+            weight, following = self.states[at].get(symbol, (floor, at))
             total += weight
             at = following
         return total
@@ -157,16 +160,32 @@ class Grammar:
     formats: dict[str, Automaton]
     ordinary: Automaton
     margin: float
+    #: Log-odds of each kind against ordinary runs before a run is read.
+    prior: dict[str, float] = field(default_factory=dict)
 
     def likelihood(self, run: str) -> float:
-        """Log-odds per character of the best format against an ordinary run."""
+        """Log-odds per character of the best format against an ordinary run, priors included."""
         word = symbols(run)
         if not self.formats:
             return -math.inf
-        return (max(a.score(word) for a in self.formats.values()) - self.ordinary.score(word)) / (len(word) + 1)
+        # One floor for all: a format with few examples is no cheaper for what it has never seen.
+        floor = min(a.floor for a in (self.ordinary, *self.formats.values()))
+        best = max(a.score(word, floor) + self.prior.get(k, 0.0) for k, a in self.formats.items())
+        return (best - self.ordinary.score(word, floor)) / (len(word) + 1)
+
+    def spans(
+        self, text: str, base: list[tuple[int, int, int]], known: dict[str, bool] | None = None
+    ) -> list[tuple[int, int, int]]:
+        """Runs outside of the base spans that are likelier a credential; ``known`` holds verdicts of runs seen before."""
+        known = {} if known is None else known
+
+        def likely(run: str) -> bool:
+            if run not in known:
+                if len(known) >= KNOWN_RUNS:
+                    known.clear()
+                known[run] = self.likelihood(run) > self.margin
+            return known[run]
 
-    def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Runs outside of the base spans that are likelier a credential."""
         found, k = [], 0
         base = sorted(base)
         ends = 0
@@ -174,9 +193,9 @@ class Grammar:
             while k < len(base) and base[k][0] < m.end():
                 ends = max(ends, base[k][2])
                 k += 1
-            if ends > m.start() or not any(c.isdigit() for c in m.group()):
+            if ends > m.start():
                 continue
-            if self.likelihood(m.group()) > self.margin:
+            if likely(m.group()):
                 found.append((m.start(), len(KINDS), m.end()))
         return found
 
@@ -185,8 +204,8 @@ def hinted(texts: pa.Array, pattern: str) -> list[bool]:
     return pc.match_substring_regex(texts, pattern).to_pylist()
 
 
-def examples(docs: DataFrame, text_col: str, sample: int) -> list[tuple[str, str]]:
-    """(kind, symbols): at most ``sample`` distinct labelled runs of each kind, drawn by hash."""
+def examples(docs: DataFrame, text_col: str, sample: int) -> list[tuple[str, str, int]]:
+    """(kind, symbols, number of all such runs): at most ``sample`` distinct labelled runs of each kind, drawn by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,15 +235,19 @@ def examples(docs: DataFrame, text_col: str, sample: int) -> list[tuple[str, str
     )
     place = Window.partitionBy("kind").orderBy("h", "run")
     picked = best.withColumn("at", F.row_number().over(place)).where(F.col("at") <= sample)
-    return [(r["kind"], symbols(r["run"])) for r in picked.select("kind", "run").collect()]
+    return [(r["kind"], symbols(r["run"]), r["n"]) for r in picked.select("kind", "run", "n").collect()]
 
 
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, margin: float = MARGIN) -> Grammar:
     """Automata of the kinds, fitted on the driver to at most ``4 * sample`` runs."""
     words: dict[str, list[str]] = {}
-    for kind, word in sorted(examples(docs, text_col, sample)):
+    total: dict[str, int] = {}
+    for kind, word, n in sorted(examples(docs, text_col, sample)):
         words.setdefault(kind, []).append(word)
-    return Grammar({k: infer(words[k]) for k in KINDS if k in words}, infer(words.get("ordinary", [])), margin)
+        total[kind] = n
+    formats = {k: infer(words[k]) for k in KINDS if k in words}
+    prior = {k: min(0.0, math.log(total[k] / total.get("ordinary", 1))) for k in formats}
+    return Grammar(formats, infer(words.get("ordinary", [])), margin, prior)
 
 
 SPAN = StructType().add("kind", StringType()).add("start", LongType()).add("end", LongType())
@@ -241,13 +264,14 @@ def scan(docs: DataFrame, text_col: str = "text", grammar: Grammar | None = None
     kind_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
         for batch in batches:
             texts = pc.fill_null(batch.column(text_at).cast(pa.string()), "")
             rows = []
             for value, base_hint, run_hint in zip(texts, hinted(texts, HINT), hinted(texts, RUN_HINT)):
                 text = value.as_py() if base_hint or run_hint else ""
                 base = base_spans(text) if base_hint else []
-                more = grammar.spans(text, base) if run_hint else []
+                more = grammar.spans(text, base, known) if run_hint else []
                 rows.append([{"kind": names[k], "start": s, "end": e} for s, k, e in sorted(base + more)])
             columns = [batch.column(k) for k in keep_at] + [pa.array(rows, kind_type)]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + ["secrets"])
