@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginwise.llm import chat, ctw, decontaminate, html, lines, pieces, quality, secrets, simhash, tokens, warc
+from marginwise.llm import chat, codes, ctw, decontaminate, fim, html, lines, pieces, quality, secrets, simhash, tokens, warc
 from marginwise.llm.text import load
 from marginwise.session import scratch_table, stored
 
@@ -241,3 +241,85 @@ def op12_chat_formatting(spark, sf_dir):
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
+
+
+OP13 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t,
+         sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), h AS (
+  SELECT *, len(t) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+         ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+  FROM d
+), p AS (
+  SELECT doc_id, text, n, t, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+), c AS (
+  SELECT doc_id, text, n, form, array_to_string(t[1:a], '') AS x, array_to_string(t[a+1:b], '') AS y,
+         array_to_string(t[b+1:], '') AS z
+  FROM p
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(x) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(y) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y
+                        WHEN 'spm' THEN '<S>' || z || '<P>' || x || '<M>' || y ELSE text END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM c
+"""
+
+
+@query(OP13)
+def op13_fill_in_middle(spark, sf_dir):
+    found = fim.fill_in_middle(load(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.col("n_tokens").alias("n"),
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def _codes_sql(parts: int = 4, width: int = 16, entries: int = 256, rounds: int = 4) -> str:
+    """The rounds one after another, each by comparing every part with every entry."""
+    steps = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+         list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS z
+  FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+), x AS MATERIALIZED (SELECT r, p, z[{width} * p + 1 : {width} * p + {width}] AS z FROM v, range({parts}) t(p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS e, z FROM x WHERE r <= {entries})"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"""a{k} AS MATERIALIZED (
+  SELECT r, p, min((d, e)) AS m FROM (
+    SELECT x.r, x.p, b.e, list_sum(list_transform(list_zip(x.z, b.z), lambda q: (q[1] - q[2]) * (q[1] - q[2])))::BIGINT AS d
+    FROM x JOIN b{k} b USING (p)) GROUP BY r, p)"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""b{k + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(n.z, b.z) AS z FROM b{k} b LEFT JOIN (
+    SELECT p, e, list(f ORDER BY i) AS z FROM (
+      SELECT p, e, i, ((sum(c) - (((sum(c) % count(*)) + count(*)) % count(*))) // count(*))::BIGINT AS f FROM (
+        SELECT x.p, m[2] AS e, unnest(z) AS c, unnest(range({width})) AS i FROM x JOIN a{k} USING (r, p))
+      GROUP BY p, e, i) GROUP BY p, e) n USING (p, e))"""
+            )
+    return f"""WITH {", ".join(steps)},
+c AS (SELECT r, string_agg(printf('%02x', m[2]), '' ORDER BY p) AS code, sum(m[1])::BIGINT AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(z, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}),
+f AS (SELECT vec_id, label, code, error FROM c JOIN v USING (r))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM f, h"""
+
+
+@query(_codes_sql())
+def op11_vector_code_compression(spark, sf_dir):
+    found = codes.compress(load(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
