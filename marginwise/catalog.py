@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from marginwise import oracles as sql
 from marginwise.functions import columns as fc
 from marginwise.functions.kernels import GaussianKernel, Kernel, LinearKernel, PolynomialKernel
-from marginwise.operators import folds, matrix, metrics, pairs, ranks, scaling, selection
+from marginwise.operators import folds, matrix, metrics, pairs, ranks, sampling, scaling, selection
 from marginwise.params import AlgoParams, ModelParams
 from marginwise.plans import evaluation, training, tuning
 from marginwise.plans.problem import prepare, prepare_eval
@@ -272,8 +272,8 @@ def zscore_apply(spark, sf):
 
 @query(sql.EPSILON_FILTER)
 def epsilon_filter(spark, sf):
-    dots = pairs.kernel_pairs(vectors(spark, sf), LinearKernel(), float("-inf"))
-    rooted = dots.withColumn("k", F.pow("k", F.lit(0.5)))
+    """A pair table built at one threshold and tightened to another; the root of a negative product is undefined."""
+    rooted = pairs.kernel_pairs(vectors(spark, sf), PolynomialKernel(1.0, 0.0, 0.5), 0.35)
     return pairs.epsilon_filter(rooted, 0.4).select("i", "j", r("k", 6, "k"))
 
 
@@ -398,7 +398,7 @@ def kernel_radius_join(spark, sf):
     points = tables.instances(
         customers.withColumn("thousands", F.col("c_acctbal") / 1000), "c_custkey", F.lit(1), ["thousands", "c_nationkey"]
     )
-    return pairs.kernel_pairs(points, GAUSS, 0.5, prune=True).select("i", "j", r("k", 6, "k"))
+    return pairs.kernel_pairs(points, GAUSS, 0.5, leaf_rows=1024).select("i", "j", r("k", 6, "k"))
 
 
 # Aggregations
@@ -436,7 +436,7 @@ def nonzero_count_eval(spark, sf):
 
 @query(sql.DENSITY_SAMPLED)
 def density_sampled(spark, sf):
-    found = pairs.density_sampled(vectors(spark, sf), GAUSS, EPS, 0.1, seed=11)
+    found = sampling.density_sampled(vectors(spark, sf), GAUSS, EPS, 0.1, seed=11)
     return found.select("n_sampled", r("density", 6, "density"))
 
 

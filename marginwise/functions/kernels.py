@@ -122,6 +122,10 @@ class DistanceForm(Kernel):
         d = euclidean_distance(x, y)
         return F.sqrt(d) if self.root else d
 
+    def distance(self, value):
+        """The distance that has this value."""
+        return value * value if self.root else value
+
     def _finish(self, d2):
         d = np.sqrt(d2)
         return np.sqrt(d) if self.root else d

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from marginwise.functions.kernels import DistanceForm, Kernel
 from marginwise.operators.joins import keyed_join
 from marginwise.operators.ranks import positions, values_at, wanted_positions
+from marginwise.operators.sampling import sampled_values
 from marginwise.operators.tiles import (
     emit_bins,
     emit_counts,
     emit_pairs,
-    emit_sampled_counts,
     emit_signed,
+    has_vector,
     tile_join,
 )
 from marginwise.session import settle
@@ -28,6 +29,8 @@ _COUNT_ARROW = pa.schema([("n_considered", pa.int64()), ("n_kept", pa.int64())])
 _BIN_ARROW = pa.schema([("bin", pa.int64()), ("n", pa.int64())])
 
 SEGMENT_IDS = 65_536
+# Expected number of sampled pairs behind the first bound of a quantile.
+BOUND_PAIRS = 100_000
 
 
 def upper_triangle(spark: SparkSession, n: int) -> DataFrame:
@@ -47,12 +50,26 @@ def mirror(pairs: DataFrame) -> DataFrame:
 
 
 def kernel_pairs(
-    rows: DataFrame, kernel: Kernel, epsilon: float, tile_rows: int | None = None, prune: bool | None = None
+    rows: DataFrame,
+    kernel: Kernel,
+    epsilon: float,
+    tile_rows: int | None = None,
+    prune: bool | None = None,
+    leaf_rows: int | None = None,
 ) -> DataFrame:
     """Pairs i < j of one table with kernel above the threshold."""
-    return tile_join(
-        rows, None, kernel, epsilon, emit_pairs(True), _PAIR_DDL, _PAIR_ARROW, tile_rows=tile_rows, prune=prune
-    )
+    emit, options = emit_pairs(True), {"tile_rows": tile_rows, "prune": prune, "leaf_rows": leaf_rows}
+    return tile_join(rows, None, kernel, epsilon, emit, _PAIR_DDL, _PAIR_ARROW, **options)
+
+
+def pairs_evaluated(rows: DataFrame, kernel: Kernel, epsilon: float, leaf_rows: int | None = None) -> DataFrame:
+    """One row: all pairs, those that the partition tree lets meet, their share, those above the threshold."""
+    counts = tile_join(rows, None, kernel, epsilon, emit_counts, _COUNT_DDL, _COUNT_ARROW, leaf_rows=leaf_rows)
+    n = rows.where(has_vector("x")).agg(F.count(F.lit(1))).scalar()
+    total = (n * (n - 1) / 2).cast("bigint")
+    seen = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_considered", "n_kept")])
+    share = F.try_divide("n_considered", "n_pairs").alias("share")
+    return seen.select(total.alias("n_pairs"), "n_considered", "n_kept").select("*", share)
 
 
 def kernel_pairs_between(
@@ -103,19 +120,11 @@ def kernel_matrix_signed(
 
 
 def block_ends(n: int) -> list[int]:
-    """Ends of the four blocks whose triangles have equal area: n/2, then the balancing rule."""
-
-    def nearest(v: float) -> int:
-        return math.floor(v + 0.5)
-
-    ends = [nearest(0.5 * n)]
-    for _ in range(2):
-        last = ends[-1]
-        step = nearest(0.5 * (math.sqrt(4.0 * last * last + float(n) * n) - 2 * last))
-        if step <= 0:
-            raise ValueError("too few rows for four blocks")
-        ends.append(last + step)
-    return [*ends, n]
+    """Ends of four blocks whose triangles have equal area: the area below position p grows with p squared."""
+    ends = [math.floor(n * math.sqrt(k / 4) + 0.5) for k in (1, 2, 3, 4)]
+    if len({0, *ends}) < 5:
+        raise ValueError("too few rows for four blocks")
+    return ends
 
 
 def _block_of(position: Column, n: int) -> Column:
@@ -189,21 +198,6 @@ def nonzero_count_eval(train: DataFrame, evals: DataFrame, kernel: Kernel, epsil
     return counts.agg(F.coalesce(F.sum("n_kept"), F.lit(0)).alias("nonzero"))
 
 
-def density_sampled(
-    rows: DataFrame,
-    kernel: Kernel,
-    epsilon: float,
-    probability: float = 0.1,
-    evals: DataFrame | None = None,
-    seed: int = 0,
-) -> DataFrame:
-    """Share of kernel entries above the threshold, from a Bernoulli sample of the pairs."""
-    emit = emit_sampled_counts(probability, seed, evals is None)
-    counts = tile_join(rows, evals, kernel, epsilon, emit, _COUNT_DDL, _COUNT_ARROW, prune=False)
-    sampled, kept = F.sum("n_considered"), F.sum("n_kept")
-    return counts.agg(sampled.alias("n_sampled"), F.try_divide(kept, sampled).alias("density"))
-
-
 def adjacency_sets(pairs: DataFrame) -> DataFrame:
     """Row index to its set of column indices, in segments of SEGMENT_IDS columns.
 
@@ -225,32 +219,51 @@ def merge_pair_tables(*tables: DataFrame, disjoint: bool = False) -> DataFrame:
     return merged if disjoint else merged.dropDuplicates(["i", "j"])
 
 
-def pair_value_quantile(rows: DataFrame, form: Kernel, quantile: float) -> float:
-    """The exact order-statistic quantile of a non-negative value of all pairs i < j, none of them stored.
+def _sampled_bound(rows: DataFrame, form: DistanceForm, share: float, total: int) -> float:
+    """A value that most likely exceeds this share of all pairs' values, from a sample of the pairs."""
+    values = settle(sampled_values(rows, form, min(1.0, BOUND_PAIRS / total), seed=1))
+    n = values.count()
+    rank = math.ceil(n * share + 4 * math.sqrt(n * share) + 8)
+    return math.inf if rank > n else values.orderBy("k").limit(rank).agg(F.max("k")).first()[0]
+
+
+def pair_value_quantile(rows: DataFrame, form: DistanceForm, quantile: float) -> float:
+    """The exact order-statistic quantile of a distance of all pairs i < j, none of them stored.
 
-    The values are counted by their leading bits inside the tasks; only the bins that hold the wanted
-    positions are counted again by more bits, until all 64 are known. Undefined values do not count.
+    A sample of the pairs gives a bound on the quantile, the bound a radius, and only pairs that the
+    partition tree finds within it are looked at. Their values are counted by leading bits inside the tasks. Were
+    fewer counted than wanted, the bound grows; else the bin that holds the wanted position is the next
+    bound, counted by more bits, until all 64 are known. Rows with NULL, NaN or infinity don't count.
     """
-    hist, prefixes, before = None, {}, {}
+    odd = F.exists("x", lambda v: F.isnan(v) | (F.abs(v) == float("inf")))
+    rows = rows.where(has_vector("x") & ~odd).select("id", "x")
+    n = rows.count()
+    total = n * (n - 1) // 2
+    if total == 0:
+        raise ValueError("quantiles of an empty table")
+    # Wanted position -> its bin so far and its position inside.
+    found = {p: (0, p) for p in wanted_positions(total, quantile)}
+    furthest = max(found)
+    bound = _sampled_bound(rows, form, furthest / total, total)
+    prefixes: dict[int, list[int]] = {}
     for shift in (44, 22, 0):
-        emit = emit_bins(shift, prefixes)
-        counted = tile_join(rows, None, form, float("-inf"), emit, "bin bigint, n bigint", _BIN_ARROW)
-        hist = settle(counted.groupBy("bin").agg(F.sum("n").alias("n")))
-        if not before:
-            total = hist.agg(F.sum("n")).first()[0] or 0
-            if total == 0:
-                raise ValueError("quantiles of an empty table")
-            # Wanted position -> its bin so far.
-            before = dict.fromkeys(wanted_positions(total, quantile), 0)
-            inside = {p: p for p in before}
-        for position in before:
-            own = hist if not prefixes else hist.where(F.shiftright("bin", last_shift - shift) == before[position])
-            at = inside[position]
-            found = values_at(own, "bin", [at], hist=settle(own))[at]
-            inside[position] = at - (own.where(F.col("bin") < found).agg(F.sum("n")).first()[0] or 0)
-            before[position] = found
-        prefixes, last_shift = {shift: sorted(set(before.values()))}, shift
-    values = np.array(list(before.values()), np.int64).view(np.float64)
+        while True:
+            emit = emit_bins(form, shift, bound, prefixes)
+            radius = form.distance(bound) if math.isfinite(bound) else None
+            counted = tile_join(rows, None, form, float("-inf"), emit, "bin bigint, n bigint", _BIN_ARROW, radius=radius)
+            hist = settle(counted.groupBy("bin").agg(F.sum("n").alias("n")))
+            if prefixes or (hist.agg(F.sum("n")).first()[0] or 0) >= furthest:
+                break
+            bound = 2 * bound if 0 < bound < 1e150 else math.inf
+        for position, (last, inside) in found.items():
+            own = hist.where(F.shiftright("bin", last_shift - shift) == last) if prefixes else hist
+            at = values_at(own, "bin", [inside], hist=settle(own))[inside]
+            found[position] = (at, inside - (own.where(F.col("bin") < at).agg(F.sum("n")).first()[0] or 0))
+        bins = sorted({at for at, _ in found.values()})
+        prefixes, last_shift = {shift: bins}, shift
+        # The largest number that begins with these bits.
+        bound = float(np.array([(bins[-1] + 1 << shift) - 1], np.int64).view(np.float64)[0])
+    values = np.array([at for at, _ in found.values()], np.int64).view(np.float64)
     return float(values.mean())
 
 
@@ -258,5 +271,5 @@ def kernel_scale(
     rows: DataFrame, quantile: float = 0.01, factor: float = math.e / 4, root_distance: bool = True
 ) -> float:
     """Estimate of the Gaussian gamma from the distances of all pairs."""
-    sigma = pair_value_quantile(rows.select("id", "x"), DistanceForm(root_distance), quantile) * factor
+    sigma = pair_value_quantile(rows, DistanceForm(root_distance), quantile) * factor
     return 1.0 / (2.0 * sigma * sigma)

@@ -142,14 +142,8 @@ def wanted_positions(rows: int, quantile: float) -> tuple[int, int]:
     """The two 1-based positions whose mean is the order-statistic quantile."""
     if not 0.0 <= quantile <= 1.0:
         raise ValueError("quantile must lie in [0, 1]")
-    if quantile == 0.0:
-        return 1, 1
-    if quantile == 1.0:
-        return rows, rows
-    x = (rows + 1) * quantile
-    high = min(math.ceil(x), rows)
-    low = max(math.floor(x), 1)
-    return low, high
+    place = min(max((rows + 1) * quantile, 1), rows)
+    return math.floor(place), math.ceil(place)
 
 
 def values_at(

@@ -2,37 +2,36 @@
 
 Rows are dealt into tiles of a bounded size. Each pair of tiles is one group; a row is copied
 once per partner tile, and the group evaluates one matrix product. When the kernel bounds the
-distance at which it can exceed the threshold, rows are first sorted into the cells of a grid
-over one or two directions. A cell is at least that distance wide, so only tiles of the same or
-touching cells meet and nothing is lost. A crowded cell simply gets more tiles.
+distance at which it can exceed the threshold, rows are first placed in the cells of a partition
+tree, and only tiles of one cell meet; nothing is lost. A crowded cell simply gets more tiles.
 """
 
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginwise.functions.columns import dot
-from marginwise.functions.kernels import Kernel
+from marginwise.functions.kernels import DistanceForm, Kernel
+from marginwise.operators.joins import keyed_join
+from marginwise.operators.partition import LEAF_ROWS, matrix, partition
+from marginwise.session import settle
 
 # Vectors of one side of a tile. A row is copied once per partner tile, so large tiles mean few copies.
 TILE_BYTES = 16 << 20
-# Below this many pairs the grid is not worth its passes.
-PRUNE_PAIRS = 1 << 26
-MAX_CELLS = 1024
 # Kernel values of one matrix product: a strip of the left side against the whole right side.
 STRIP_CELLS = 1 << 20
 STRIP_ROWS = 512
 # Kernel values this close to the threshold are recomputed by the direct formula.
 BAND = 1e-9
 
-_KEYS = ["a_cell", "a_tile", "b_cell", "b_tile"]
+# Cells of tables that are pruned although they are small.
+SMALL_LEAF_ROWS = 32
+
+_KEYS = ["cell", "a_tile", "b_tile"]
 
 
 @dataclass(frozen=True)
@@ -46,16 +45,13 @@ class Strip:
     considered: np.ndarray
     left_weight: np.ndarray
     right_weight: np.ndarray
+    left_x: np.ndarray
+    right_x: np.ndarray
 
 
 Emit = Callable[[Strip], dict[str, np.ndarray]]
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
-
-
 def keep_mask(kernel: Kernel, epsilon: float, K: np.ndarray, X: np.ndarray, Y: np.ndarray) -> np.ndarray:
     """Where the kernel exceeds the threshold; values near it are first recomputed by the direct formula."""
     if math.isfinite(epsilon):
@@ -85,11 +81,9 @@ def _evaluator(kernel: Kernel, epsilon: float, triangle: bool, emit: Emit, schem
         for part in (left, right):
             part = part.combine_chunks()
             chunk = part["x"].chunk(0)
-            sides.append((part["id"].to_numpy(), _matrix(chunk), part["weight"].to_numpy()))
+            sides.append((part["id"].to_numpy(), matrix(chunk), part["weight"].to_numpy()))
         (left_id, X, left_weight), (right_id, Y, right_weight) = sides
-        one_tile = triangle and (
-            table["a_cell"][0] == table["b_cell"][0] and table["a_tile"][0] == table["b_tile"][0]
-        )
+        one_tile = triangle and table["a_tile"][0] == table["b_tile"][0]
         strip = max(1, min(STRIP_ROWS, STRIP_CELLS // len(right_id)))
         for start in range(0, len(left_id), strip):
             cut = slice(start, start + strip)
@@ -99,7 +93,7 @@ def _evaluator(kernel: Kernel, epsilon: float, triangle: bool, emit: Emit, schem
             if one_tile:
                 considered = left_id[cut][:, None] < right_id[None, :]
                 keep &= considered
-            out = emit(Strip(left_id[cut], right_id, K, keep, considered, left_weight[cut], right_weight))
+            out = emit(Strip(left_id[cut], right_id, K, keep, considered, left_weight[cut], right_weight, X[cut], Y))
             arrays = [pa.array(out[f.name], type=f.type) for f in schema]
             if len(arrays[0]):
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
@@ -107,78 +101,18 @@ def _evaluator(kernel: Kernel, epsilon: float, triangle: bool, emit: Emit, schem
     return evaluate
 
 
-def _tiles(rows: int, tile_rows: int, spread: int) -> int:
-    if rows == 0:
-        return 0
-    return max(math.ceil(rows / tile_rows), min(spread, math.ceil(rows / 64)))
-
-
-def _directions(df: DataFrame) -> np.ndarray:
-    """One or two orthogonal unit vectors along which the rows spread most, all but those with extreme numbers.
-
-    One product per task, summed by cell: d * d numbers reach the driver.
-    """
-
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            X = _matrix(batch.column(0))
-            X = X[(np.abs(X) < 1e100).all(axis=1)]
-            if len(X):
-                X = np.column_stack([np.ones(len(X)), X])
-                total = X.T @ X if total is None else total + X.T @ X
-        if total is not None:
-            a, b = np.indices(total.shape)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a.ravel(), pa.int32()), pa.array(b.ravel(), pa.int32()), pa.array(total.ravel())],
-                names=["a", "b", "value"],
-            )
-
-    cells = df.select("x").mapInArrow(moments, "a int, b int, value double").groupBy("a", "b").agg(F.sum("value").alias("v"))
-    found = cells.collect()
-    if not found:
-        return np.ones((1, 1))
-    d = max(r["a"] for r in found)
-    M = np.zeros((d + 1, d + 1))
-    for r in found:
-        M[r["a"], r["b"]] = r["v"]
-    mean = M[0, 1:] / M[0, 0]
-    _, axes = np.linalg.eigh(M[1:, 1:] / M[0, 0] - np.outer(mean, mean))
-    return axes[:, ::-1].T[:2]
-
-
-def _into_cells(left: DataFrame, right: DataFrame, radius: float) -> tuple[DataFrame, DataFrame, int]:
-    """Both sides with ``cell`` = row * columns + column of the grid, and the number of columns.
-
-    A projection on a unit vector never exceeds the distance, so rows within ``radius`` differ by
-    at most one grid step per direction. A row with NaN or infinity is within no radius and goes.
-    """
-    places = [dot(F.col("x"), F.array(*[F.lit(float(v)) for v in axis])) for axis in _directions(left)]
-    names = [f"_p{k}" for k in range(len(places))]
-    left = left.select("*", *[p.alias(n) for p, n in zip(places, names, strict=True)])
-    right = right.select("*", *[p.alias(n) for p, n in zip(places, names, strict=True)])
-    finite = reduce(and_, [F.abs(n) < float("inf") for n in names])
-    left, right = left.where(finite), right.where(finite)
-    ends = [f(n) for n in names for f in (F.min, F.max)]
-    found = left.select(*names).unionAll(right.select(*names)).agg(*ends).first()
-    found = [v if v is not None else 0.0 for v in found]
-    index, columns, room = F.lit(0), 1, MAX_CELLS
-    for k, name in enumerate(names):
-        low, high = found[2 * k], found[2 * k + 1]
-        # The margin covers rounding in the projection itself.
-        width = max(radius * (1 + 1e-9) + 1e-9 * max(1.0, abs(low), abs(high)), (high - low) / room)
-        steps = max(1, min(room, math.ceil((high - low) / width)))
-        step = F.least(F.floor((F.col(name) - F.lit(low)) / F.lit(width)), F.lit(steps - 1))
-        index, columns, room = index * steps + step, steps, max(1, room // steps)
-    cell = index.cast("int").alias("cell")
-    return left.select("*", cell).drop(*names), right.select("*", cell).drop(*names), columns
-
-
-def _touching(cell: int, columns: int) -> list[int]:
-    row, column = divmod(cell, columns)
-    return [
-        r * columns + c for r in (row - 1, row, row + 1) for c in (column - 1, column, column + 1) if r >= 0 and 0 <= c < columns
+def _extent(*frames: DataFrame) -> list[tuple[int, int]]:
+    """(rows, length of the vectors) of each table; vectors of several lengths are refused by name."""
+    size = F.size("x")
+    found = [
+        df.agg(F.count(F.lit(1)), F.min(size), F.max(size), F.min_by("id", size), F.max_by("id", size)).first() for df in frames
     ]
+    known = [f for f in found if f[0]]
+    if known:
+        short, long = min(known, key=lambda f: f[1]), max(known, key=lambda f: f[2])
+        if short[1] != long[2]:
+            raise ValueError(f"vectors of different length: row {short[3]} has {short[1]} components, row {long[4]} has {long[2]}")
+    return [(f[0], f[2] or 1) for f in found]
 
 
 def tile_join(
@@ -192,13 +126,18 @@ def tile_join(
     tile_rows: int | None = None,
     prune: bool | None = None,
     group: str | None = None,
+    leaf_rows: int | None = None,
+    radius: float | None = None,
 ) -> DataFrame:
     """Run ``emit`` on every strip of every tile pair.
 
     left, right: (id BIGINT, x ARRAY<DOUBLE>[, weight DOUBLE]). ``right=None`` pairs the left table
-    with itself, each unordered pair once. A row whose vector is NULL or holds a NULL has no pairs.
-    ``tile_rows`` is the most rows of a tile's side, TILE_BYTES of vectors by default. ``group`` names an integer column (at most MAX_CELLS
-    values); rows then meet only inside equal groups. ``prune=None`` decides by input size.
+    with itself, each unordered pair once. A row whose vector is NULL or holds a NULL has no pairs;
+    vectors of different length are an error that names two rows.
+    ``tile_rows`` is the most rows of a tile's side, TILE_BYTES of vectors by default. ``group`` names an integer column;
+    rows then meet only inside equal groups. Otherwise a tree cuts cells of more than ``leaf_rows``
+    rows, for kernels that bound the distance (``radius`` gives a bound of one's own, beyond which
+    pairs need not be seen): ``prune=False`` has none, ``prune=True`` cuts small tables too.
     """
     triangle = right is None
     spark = left.sparkSession
@@ -209,84 +148,73 @@ def tile_join(
             df = df.withColumn("weight", F.lit(1.0))
         return df.select(*columns).where(has_vector("x"))
 
-    def cell_counts(df: DataFrame) -> dict[int, int]:
-        # At most MAX_CELLS rows.
-        return {r["cell"]: r["count"] for r in df.groupBy("cell").count().collect()}
-
     left = prepared(left)
-    right = left if triangle else prepared(right)
-
-    def extent(df: DataFrame) -> tuple[int, int]:
-        return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("x")), F.lit(1))).first())
-
-    n_left, width = extent(left)
-    n_right = n_left if triangle else right.count()
-    tile_rows = tile_rows or max(64, TILE_BYTES // (8 * max(1, width)))
-    radius = kernel.radius(epsilon)
-    grid_columns = None
+    sides = [left] if triangle else [left, prepared(right)]
+    extents = _extent(*sides)
+    (n_left, width), n_right = extents[0], extents[-1][0]
+    if not n_left or not n_right:
+        return spark.createDataFrame([], schema)
+    tile_rows = tile_rows or max(64, TILE_BYTES // (8 * width))
+    if radius is None:
+        radius = kernel.radius(epsilon)
+    leaf_rows = leaf_rows or (SMALL_LEAF_ROWS if prune else LEAF_ROWS)
+    one_cell = False
     if group:
-        left, right = left.withColumnRenamed(group, "cell"), right.withColumnRenamed(group, "cell")
+        parts = [d.select(F.col(group).alias("cell"), F.lit(k > 0).alias("guest"), "id", "x", "weight") for k, d in enumerate(sides)]
+    elif prune is not False and radius is not None and n_left > leaf_rows:
+        parts = [partition(left, None if triangle else sides[1], radius, width, leaf_rows)]
     else:
-        if prune is None:
-            prune = n_left * n_right > PRUNE_PAIRS
-        if prune and radius is not None and n_left and n_right:
-            left, right, grid_columns = _into_cells(left, right, radius)
-        else:
-            left, right = left.withColumn("cell", F.lit(0)), right.withColumn("cell", F.lit(0))
-            left_counts, right_counts = {0: n_left}, {0: n_right}
-    if group or grid_columns:
-        left_counts = cell_counts(left)
-        right_counts = left_counts if triangle else cell_counts(right)
-    cells = sorted(set(left_counts) | set(right_counts))
-    if len(cells) > MAX_CELLS:
-        raise ValueError("too many groups")
+        one_cell = True
+        parts = [d.select(F.lit(0).alias("cell"), F.lit(k > 0).alias("guest"), "id", "x", "weight") for k, d in enumerate(sides)]
+    placed = parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
+
     cores = spark.sparkContext.defaultParallelism
-    spread = math.ceil(math.sqrt(2 * cores / max(1, len(cells))))
-    left_tiles = {c: t for c in cells if (t := _tiles(left_counts.get(c, 0), tile_rows, spread))}
-    right_tiles = {c: t for c in cells if (t := _tiles(right_counts.get(c, 0), tile_rows, spread))}
-
-    def partners(cell: int, tiles: dict[int, int]) -> list[tuple[int, int]]:
-        near = _touching(cell, grid_columns) if grid_columns else [cell]
-        return [(c, tiles[c]) for c in near if c in tiles]
-
-    # Per cell: its tiles and (cell, tiles) of every cell it meets. In a triangle the left copies
-    # meet later cells and the right copies earlier ones, so two cells meet once.
-    left_plan = [(c, t, partners(c, right_tiles)) for c, t in left_tiles.items()]
-    right_plan = [(c, t, partners(c, left_tiles)) for c, t in right_tiles.items()]
-    if triangle:
-        left_plan = [(c, t, [p for p in near if p[0] >= c]) for c, t, near in left_plan]
-        right_plan = [(c, t, [p for p in near if p[0] <= c]) for c, t, near in right_plan]
-    tile_pairs = sum(t * sum(n for _, n in near) for _, t, near in left_plan)
-    if not left_plan or not right_plan or not tile_pairs:
-        return spark.createDataFrame([], schema)
+    guests_of_one = 0 if triangle else n_right
+    if one_cell:
+        n_cells, cells = 1, None
+    else:
+        # Groups of the caller and cells of the tree are a table, however many there are.
+        counted = placed.groupBy("cell").agg(F.count_if(~F.col("guest")).alias("home"), F.count_if("guest").alias("guests"))
+        cells = settle(counted.where("home > 0" if triangle else "home > 0 AND guests > 0"))
+        n_cells = cells.count()
+        if not n_cells:
+            return spark.createDataFrame([], schema)
+    # Few cells are cut finer, so that every core has something to do.
+    spread = math.ceil(math.sqrt(2 * cores / n_cells))
+
+    def tiles(rows: Column) -> Column:
+        return F.greatest(F.ceil(rows / tile_rows), F.least(F.lit(spread), F.ceil(rows / 64))).cast("int")
+
+    lists = [tiles(F.col("home")).alias("own"), tiles(F.col("guests")).alias("others")]
+    if one_cell:
+        cells = spark.range(1).select(F.lit(0).alias("cell"), F.lit(n_left).alias("home"), F.lit(guests_of_one).alias("guests"))
+        (own, others), = cells.select(*lists).collect()
+        planned = placed.select("*", F.lit(own).alias("own"), F.lit(others).alias("others"))
+        tile_pairs = own * others + (own * (own + 1) // 2 if triangle else 0)
+    else:
+        plan = cells.select("cell", *lists)
+        inside = F.col("own") * (F.col("own") + 1) / 2 if triangle else F.lit(0)
+        tile_pairs = int(plan.agg(F.sum(F.col("own") * F.col("others") + inside)).first()[0])
+        planned = keyed_join(placed, plan, ["cell"], right_rows=n_cells, right_width=2)
+    tile = F.pmod(F.xxhash64("id"), F.when(F.col("guest"), F.col("others")).otherwise(F.col("own"))).cast("int")
 
-    def copies(df: DataFrame, plan: list[tuple], is_left: bool) -> DataFrame:
-        if len(plan) == 1:
-            _, tiles, near = plan[0]
-            listed = ", ".join(f"named_struct('cell', {c}, 'tiles', {t})" for c, t in near)
-            planned = df.where(F.col("cell") == plan[0][0]).selectExpr("*", f"{tiles} AS tiles", f"array({listed}) AS near")
-        else:
-            kinds = "cell int, tiles int, near array<struct<cell: int, tiles: int>>"
-            planned = df.join(F.broadcast(spark.createDataFrame(plan, kinds)), "cell")
-        dealt = planned.withColumn("tile", F.expr("int(pmod(xxhash64(id), tiles))"))
-        # Inside its own cell a triangle row meets later (left) or earlier (right) tiles only.
-        first, last = "0", "p.tiles - 1"
-        if triangle and is_left:
-            first = "if(p.cell = cell, tile, 0)"
-        elif triangle:
-            last = "if(p.cell = cell, tile, p.tiles - 1)"
-        met = f"transform(sequence({first}, {last}), t -> named_struct('cell', p.cell, 'tile', int(t)))"
-        placed = dealt.withColumn("partner", F.expr(f"explode(flatten(transform(near, p -> {met})))"))
-        mine, theirs = ["cell", "tile"], ["partner.cell", "partner.tile"]
-        order = mine + theirs if is_left else theirs + mine
-        keys = [f"{c} AS {k}" for c, k in zip(order, _KEYS, strict=True)]
-        return placed.selectExpr(*keys, f"{str(is_left).lower()} AS is_left", "id", "x", "weight")
-
-    both = copies(left, left_plan, True).unionAll(copies(right, right_plan, False))
+    def meet(a: str, b: str, is_left: str, name: str, first: str, last: str) -> str:
+        pair = f"named_struct('a_tile', int({a}), 'b_tile', int({b}), 'is_left', {is_left})"
+        return f"transform(sequence({first}, {last}), {name} -> {pair})"
+
+    if triangle:
+        # A home is left of its own and later tiles and of all guests, and right of earlier tiles and its own.
+        later, earlier = meet("tile", "t", "true", "t", "tile", "own + others - 1"), meet("t", "tile", "false", "t", "0", "tile")
+        home, visit = f"concat({later}, {earlier})", meet("t", "own + tile", "false", "t", "0", "own - 1")
+    else:
+        home, visit = meet("tile", "t", "true", "t", "0", "others - 1"), meet("t", "tile", "false", "t", "0", "own - 1")
+    met = F.explode(F.expr(f"if(guest, {visit}, {home})"))
+    copies = planned.withColumn("tile", tile).select("cell", met.alias("met"), "id", "x", "weight")
+    copies = copies.select("cell", "met.a_tile", "met.b_tile", "met.is_left", "id", "x", "weight")
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     partitions = max(1, min(tile_pairs, max(shuffle, 3 * cores, tile_pairs // 32)))
     evaluate = _evaluator(kernel, epsilon, triangle, emit, arrow_schema)
-    return both.repartition(partitions, *_KEYS).groupBy(*_KEYS).applyInArrow(evaluate, schema)
+    return copies.repartition(partitions, *_KEYS).groupBy(*_KEYS).applyInArrow(evaluate, schema)
 
 
 def emit_pairs(triangle: bool) -> Emit:
@@ -321,47 +249,34 @@ def emit_counts(s: Strip) -> dict[str, np.ndarray]:
     return {"n_considered": np.array([s.considered.sum()]), "n_kept": np.array([s.keep.sum()])}
 
 
-def emit_bins(shift: int, prefixes: dict[int, list[int]] | None = None) -> Emit:
-    """Counts of the values' leading bits, without the last ``shift``; the order of bits is that of
-    non-negative numbers. ``prefixes`` (old shift -> wanted leading bits) picks the values to count.
+def emit_bins(form: DistanceForm, shift: int, upto: float, prefixes: dict[int, list[int]] | None = None) -> Emit:
+    """Counts of the leading bits, without the last ``shift``, of the values that are at most ``upto``;
+    the order of bits is that of non-negative numbers. ``prefixes`` (old shift -> wanted leading bits) picks the
+    values to count. Values come from the direct formula, so they don't depend on who shares a tile.
     """
 
     def emit(s: Strip) -> dict[str, np.ndarray]:
-        bits = s.values[s.keep].view(np.int64)
-        for old, wanted in (prefixes or {}).items():
-            bits = bits[np.isin(bits >> old, wanted)]
-        found, n = np.unique(bits >> shift, return_counts=True)
+        with np.errstate(over="ignore", invalid="ignore"):
+            # The product form may be off by this much.
+            room = 1e-10 * ((s.left_x**2).sum(axis=1)[:, None] + (s.right_x**2).sum(axis=1)[None, :])
+            near = form.distance(s.values) ** 2 <= form.distance(upto) ** 2 * (1 + 1e-6) + room
+        i, j = np.nonzero(s.keep & (near | ~np.isfinite(room)))
+        parts = [np.zeros(0, np.int64)]
+        for k in range(0, len(i), STRIP_CELLS // 16):
+            a, b = i[k : k + STRIP_CELLS // 16], j[k : k + STRIP_CELLS // 16]
+            with np.errstate(over="ignore"):
+                values = form.rows(s.left_x[a], s.right_x[b])
+            bits = values[values <= upto].view(np.int64)
+            for old, wanted in (prefixes or {}).items():
+                bits = bits[np.isin(bits >> old, wanted)]
+            parts.append(bits >> shift)
+        found, n = np.unique(np.concatenate(parts), return_counts=True)
         return {"bin": found, "n": n}
 
     return emit
 
 
-def emit_sampled_counts(probability: float, seed: int, symmetric: bool) -> Emit:
-    """Counts over a reproducible Bernoulli sample of the pairs."""
-
-    def emit(s: Strip) -> dict[str, np.ndarray]:
-        a, b = s.left_id[:, None], s.right_id[None, :]
-        if symmetric:
-            a, b = np.minimum(a, b), np.maximum(a, b)
-        drawn = s.considered & (pair_uniform(a, b, seed) < probability)
-        return {"n_considered": np.array([drawn.sum()]), "n_kept": np.array([(drawn & s.keep).sum()])}
-
-    return emit
-
-
 def emit_scores(s: Strip) -> dict[str, np.ndarray]:
     """Partial score of every right row: sum of left weight times kernel."""
     K = np.where(s.keep, s.values, 0.0)
     return {"id": s.right_id, "score": s.left_weight @ K}
-
-
-# Modulus and multipliers of the pair sampling hash (fixed values: 2^31 - 1, 48271, 69621).
-PAIR_MODULUS, PAIR_FIRST, PAIR_SECOND = 2147483647, 48271, 69621
-
-
-def pair_uniform(i: np.ndarray, j: np.ndarray, seed: int) -> np.ndarray:
-    """Uniform number in [0, 1) of an id pair, in 64-bit integer arithmetic without overflow."""
-    h = ((i % PAIR_MODULUS) * PAIR_FIRST + (j % PAIR_MODULUS) * PAIR_SECOND + seed) % PAIR_MODULUS
-    for _ in range(2):
-        h = (h * ((h + 12345) % PAIR_MODULUS)) % PAIR_MODULUS
-    return h / float(PAIR_MODULUS)

@@ -4,7 +4,6 @@ from helpers import frame, kernel_table, pair_dict
 
 from marginwise.functions.kernels import GaussianKernel, LinearKernel, PolynomialKernel
 from marginwise.operators import pairs
-from marginwise.operators.tiles import pair_uniform
 from pyspark.sql import functions as F
 
 RNG = np.random.default_rng(3)
@@ -123,6 +122,20 @@ def test_vectors_of_different_length(spark):
         GaussianKernel(0.0)
 
 
+def test_mixed_lengths_are_refused_by_name(spark):
+    rows = spark.createDataFrame([(5, [1.0, 2.0]), (7, [1.0]), (9, [1.0, 3.0])], "id bigint, x array<double>")
+    with pytest.raises(ValueError, match="row 7 has 1 components"):
+        pairs.kernel_pairs(rows, GaussianKernel(1.0), 0.1)
+    with pytest.raises(ValueError, match="row 7 has 1"):
+        pairs.kernel_pairs_between(rows.where("id = 5"), rows.where("id = 7"), LinearKernel(), 0.1)
+
+
+def test_blocks_need_four_rows(spark):
+    assert pairs.block_ends(8) == [4, 6, 7, 8]
+    with pytest.raises(ValueError, match="too few"):
+        pairs.block_ends(3)
+
+
 def test_signed_matrix(spark):
     labels = np.where(RNG.random(40) < 0.5, -1, 1)
     X, kernel = POINTS[:40], GaussianKernel(0.2)
@@ -152,20 +165,13 @@ def test_blocks(spark):
         pairs.kernel_pairs_blocked(frame(spark, X), kernel, 0.2, frame(spark, evals[:39]))
 
 
-def test_counts_and_sampled_density(spark):
+def test_counts(spark):
     rows, kernel = frame(spark, POINTS), GaussianKernel(0.2)
     n = len(expected(kernel, 0.2, POINTS))
     assert pairs.nonzero_count_train(rows, kernel, 0.2).first()[0] == 150 + 2 * n
     K = kernel_table(kernel, POINTS[:70], POINTS[70:])
     found = pairs.nonzero_count_eval(frame(spark, POINTS[:70]), frame(spark, POINTS[70:]), kernel, 0.2)
     assert found.first()[0] == int((K > 0.2).sum())
-    i, j = np.triu_indices(150, 1)
-    drawn = pair_uniform(i, j, 9) < 0.3
-    kept = kernel_table(kernel, POINTS)[i, j] > 0.2
-    sampled, density = pairs.density_sampled(rows, kernel, 0.2, 0.3, seed=9).first()
-    assert sampled == drawn.sum()
-    assert density == pytest.approx((drawn & kept).sum() / drawn.sum())
-    assert abs(drawn.mean() - 0.3) < 0.02
 
 
 def test_upper_triangle(spark):
@@ -211,6 +217,23 @@ def test_kernel_scale_reads_every_row(spark):
         assert gamma == pytest.approx(1 / (2 * order_quantile(values, q) ** 2))
 
 
+def test_kernel_scale_of_far_and_equal_rows(spark):
+    """Clusters, copies and one far row: the bound prunes most pairs and the value is that of all."""
+    from helpers import order_quantile
+
+    from marginwise.functions.kernels import DistanceForm
+
+    rng = np.random.default_rng(12)
+    X = rng.normal(size=(30, 4))[rng.integers(0, 30, 500)] * 50 + rng.normal(size=(500, 4)) * 0.01
+    X[:25], X[-1] = X[0], 1e6
+    rows = frame(spark, X)
+    odd = frame(spark, np.array([[np.nan, 0, 0, 0], [np.inf, 0, 0, 0]]), ids=[900, 901])
+    values = [np.sqrt(((X[a] - X[b]) ** 2).sum()) for a in range(500) for b in range(a + 1, 500)]
+    for q in (0.0, 0.002, 0.01, 0.5, 1.0):
+        got = pairs.pair_value_quantile(rows.unionByName(odd), DistanceForm(False), q)
+        assert got == pytest.approx(order_quantile(values, q), rel=1e-12, abs=1e-300)
+
+
 ODD = [[np.nan, 0.0], [np.inf, 1.0], [-np.inf, np.nan], [1e200, 0.0]]
 
 

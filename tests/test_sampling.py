@@ -1,0 +1,85 @@
+import numpy as np
+import pytest
+from helpers import frame, kernel_table
+
+from marginwise.functions.kernels import GaussianKernel, PolynomialKernel
+from marginwise.operators import sampling
+
+
+def test_pair_numbers():
+    j, i = np.tril_indices(300, -1)
+    a, b = sampling.unrank(np.arange(len(i)))
+    assert np.array_equal(a, i) and np.array_equal(b, j)
+    for n in (1 << 26, 3_000_000_000 // 2):
+        j = np.array([n, n - 1, n])
+        i = np.array([0, n - 2, n - 1])
+        a, b = sampling.unrank(j * (j - 1) // 2 + i)
+        assert np.array_equal(a, i) and np.array_equal(b, j)
+
+
+@pytest.mark.parametrize("p", [0.003, 0.1, 0.7, 0.999, 1.0])
+def test_draws_are_bernoulli(p):
+    """Counts, gaps and both halves of the blocks have the moments of independent draws."""
+    size = sampling.block_size(p)
+    total = 60 * size - size // 3
+    parts = [sampling.drawn_numbers(b, size, total, p, 3) for b in range(60)]
+    for b, part in enumerate(parts):
+        assert len(part) == 0 or (part[0] >= b * size and part[-1] < min(total, (b + 1) * size))
+        assert (np.diff(part) > 0).all()
+    drawn = np.concatenate(parts)
+    spread = np.sqrt(total * p * (1 - p))
+    assert abs(len(drawn) - total * p) <= 4 * spread
+    edge = np.concatenate([d[(d % size) < size // 10] for d in parts])
+    share = np.mean(np.arange(total) % size < size // 10)
+    assert abs(len(edge) - total * p * share) <= 4 * spread * np.sqrt(share) + 1
+    gaps = np.diff(drawn)
+    assert abs(gaps.mean() - 1 / p) < 5 / p / np.sqrt(len(gaps))
+    assert abs((gaps == 1).mean() - p) < 5 * np.sqrt(p * (1 - p) / len(gaps)) + 1e-3
+
+
+def test_work_follows_the_draws(spark):
+    """A billion pairs, of which a few thousand are drawn: no pair is looked at for the others."""
+    n = 50_000
+    found = sampling.sampled_pairs(spark, n, None, 2e-6, seed=1).collect()
+    total = n * (n - 1) / 2
+    assert abs(len(found) - total * 2e-6) < 5 * np.sqrt(total * 2e-6)
+    assert all(0 <= r["i"] < r["j"] < n for r in found) and len(set(map(tuple, found))) == len(found)
+    rect = sampling.sampled_pairs(spark, 40, 1000, 0.05, seed=1).collect()
+    assert abs(len(rect) - 2000) < 5 * np.sqrt(2000) and {r["i"] for r in rect} == set(range(40))
+    assert max(r["j"] for r in rect) > 900
+
+
+def test_density_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(120, 4))
+    ids = [int(v) for v in rng.permutation(120) * 17]
+    kernel = GaussianKernel(0.2)
+    rows = frame(spark, X, ids=ids)
+    K = kernel_table(kernel, X)
+    n, density = sampling.density_sampled(rows, kernel, 0.2, 1.0).first()
+    kept = [K[a, b] > 0.2 for a in range(120) for b in range(a + 1, 120)]
+    assert n == len(kept) and density == pytest.approx(np.mean(kept))
+    place = {v: k for k, v in enumerate(np.argsort(ids))}
+    by_position = K[np.ix_(np.argsort(ids), np.argsort(ids))]
+    drawn = [tuple(r) for r in sampling.sampled_pairs(spark, 120, None, 0.3, seed=9).collect()]
+    n, density = sampling.density_sampled(rows, kernel, 0.2, 0.3, seed=9).first()
+    assert len(place) == 120 and n == len(drawn)
+    assert density == pytest.approx(np.mean([by_position[i, j] > 0.2 for i, j in drawn]))
+    n, density = sampling.density_sampled(rows.limit(60), kernel, 0.2, 1.0, evals=rows).first()
+    assert n == 60 * 120
+    again = sampling.density_sampled(rows.repartition(5), kernel, 0.2, 0.3, seed=9).first()
+    assert again["n_sampled"] == len(drawn)
+
+
+def test_odd_rows_and_empty_samples(spark):
+    nan = float("nan")
+    rows = spark.createDataFrame(
+        [(1, [1.0, 2.0]), (2, [1.0, -2.0]), (3, None), (4, [None, 1.0]), (5, [nan, 1.0])], "id bigint, x array<double>"
+    )
+    n, density = sampling.density_sampled(rows, PolynomialKernel(1.0, 0.0, 0.5), 0.1, 1.0).first()
+    assert (n, density) == (3, 0.0)
+    for empty in (rows.limit(0), rows.limit(1)):
+        assert tuple(sampling.density_sampled(empty, GaussianKernel(1.0), 0.1, 0.5).first()) == (0, None)
+    assert sampling.density_sampled(rows, GaussianKernel(1.0), 0.1, 0.0).first()["n_sampled"] == 0
+    with pytest.raises(ValueError, match="probability"):
+        sampling.density_sampled(rows, GaussianKernel(1.0), 0.1, 1.5)
