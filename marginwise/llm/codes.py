@@ -35,8 +35,8 @@ from marginwise.session import stored
 from marginwise.operators.joins import fits_broadcast, keyed_join
 
 # Vectors searched together, and entries of a list looked at together.
-BLOCK_ROWS = 1 << 15
-SEGMENT = 32
+BLOCK_ROWS = 1 << 16
+SEGMENT = 128
 SPAN = 1 << 62
 EXACT = 1 << 53
 LONGEST = (1 << 63) - 1
