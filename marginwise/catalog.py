@@ -371,6 +371,14 @@ def matmul_sparse(spark, sf):
     return matrix.matmul(m, transposed).select("i", "j", r("value", 4, "value"))
 
 
+@query(sql.MATMUL_GRAM)
+def matmul_gram(spark, sf):
+    """Type by type: the users are the inner index, and the product is far smaller than its inputs."""
+    m = event_matrix(spark, sf)
+    transposed = m.select(F.col("j").alias("i"), F.col("i").alias("j"), "value")
+    return matrix.matmul(transposed, m).select("i", "j", r("value", 4, "value"))
+
+
 @query(sql.MATVEC_SIGNUM)
 def matvec_signum(spark, sf):
     m = event_matrix(spark, sf)
@@ -541,16 +549,13 @@ def score_rank(spark, sf):
 
 @query(sql.SCORE_QUANTILE)
 def score_quantile(spark, sf):
-    # Some rows have no score.
-    prices = load(spark, sf, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.nullif("l_quantity", F.lit(7.0)).alias("score")
-    )
+    prices = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("score"))
     return ranks.score_quantile(prices).select("l_orderkey", "l_linenumber", "rank", r("quantile", 9, "quantile"))
 
 
 @query(sql.ORDER_STATISTIC)
 def order_statistic(spark, sf):
-    balances = load(spark, sf, "customer").select(F.when(F.col("c_custkey") % 7 > 0, F.col("c_acctbal")).alias("v"))
+    balances = load(spark, sf, "customer").select(F.col("c_acctbal").alias("v"))
     found = ranks.order_statistics(balances, "v", list(sql.LEVELS))
     return spark.createDataFrame(sorted(found.items()), "q double, value double").select("q", r("value", 6, "value"))
 
@@ -622,9 +627,10 @@ def best_iteration(spark, sf):
 
 @query(sql.MERGE_PAIR_MAPS)
 def merge_pair_maps(spark, sf):
+    """Two tables that overlap in part: near pairs, and less near ones of rows of the same kind."""
     rows = vectors(spark, sf)
-    wide, narrow = pairs.kernel_pairs(rows, GAUSS, EPS), pairs.kernel_pairs(rows, GAUSS, 0.25)
-    return pairs.merge_pair_tables(wide, narrow).select("i", "j")
+    near, less = pairs.kernel_pairs(rows, GAUSS, 0.25), pairs.kernel_pairs(rows.where("label > 0"), GAUSS, EPS)
+    return pairs.merge_pair_tables(near, less).select("i", "j")
 
 
 @query(sql.APPEND_SPLITS)
@@ -773,6 +779,14 @@ def train_svm(spark, sf):
     return _trained(spark, sf).final().select("id", r("alpha", 6, "alpha"), r("alpha_old", 6, "alpha_old"))
 
 
+@query(sql.TRAIN_SVM)
+def train_svm_tree(spark, sf):
+    """The same training on pairs that a partition tree finds."""
+    problem = prepare(vectors(spark, sf), GAUSS, EPS, builder="tree")
+    final = training.train_one(problem, MODEL, ALGO).final()
+    return final.select("id", r("alpha", 6, "alpha"), r("alpha_old", 6, "alpha_old"))
+
+
 def _prepared(spark, sf):
     data = split_vectors(spark, sf)
     problem = prepare(of(data, "train"), GAUSS, EPS)
@@ -827,11 +841,11 @@ def predict_auc(spark, sf):
     return rates.select("cutoff", "true_positive", "false_positive", *[r(c, 6, c) for c in ratios])
 
 
-def _distributed(spark, sf, threshold=None) -> DataFrame:
+def _distributed(spark, sf, threshold=None, clip_quantile=0.0) -> DataFrame:
     data = split_vectors(spark, sf)
     train, test = of(data, "train"), of(data, "test")
     entries = pairs.kernel_pairs_between(train, test, GAUSS, EPS).withColumnRenamed("k", "value")
-    called = evaluation.predict_distributed(start(train), entries, test, 0.001, threshold)
+    called = evaluation.predict_distributed(start(train), entries, test, 0.001, threshold, clip_quantile)
     return called.select("id", "label", r("score", 6, "score"), "prediction")
 
 
@@ -845,6 +859,12 @@ def predict_distributed_raw(spark, sf):
     return _distributed(spark, sf, 0.1)
 
 
+@query(sql.PREDICT_DISTRIBUTED_CLIPPED)
+def predict_distributed_clipped(spark, sf):
+    """Coefficients below their 30 % quantile are left out before the product."""
+    return _distributed(spark, sf, clip_quantile=0.3)
+
+
 @query(sql.SELECT_INSTANCES)
 def select_instances(spark, sf):
     columns = ["quantity", "discount"]

@@ -1,6 +1,6 @@
 """Joins that stay balanced when one key holds a large share of the rows."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A table of (key, number) rows below this count is small enough for every executor.
@@ -15,15 +15,22 @@ def fits_broadcast(rows: int | None, width: int = 1) -> bool:
 
 
 def hot_keys(left: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(keys, n_salts) of the keys with more than ``hot_rows`` rows: at most count / hot_rows keys."""
+    """(keys, n_salts) of the keys with more than ``hot_rows`` rows."""
     counted = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return salts_of(counted, keys, hot_rows)
+    return salts_of(counted, keys, hot_rows, left.agg(F.count(F.lit(1))).scalar())
 
 
-def salts_of(counted: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The same from a table of keys and their row counts ``n``."""
-    n_salts = F.ceil(F.col("n") / F.lit(hot_rows)).cast("int")
-    return counted.where(F.col("n") > hot_rows).select(*keys, n_salts.alias("n_salts"))
+def hot_bound(hot_rows: int, total: Column) -> Column:
+    """``hot_rows``, or more where the table is so large that hot keys could be too many for a broadcast:
+    of ``total`` rows, fewer than BROADCAST_ROWS keys have more than this."""
+    return F.greatest(F.lit(hot_rows), F.ceil(total / BROADCAST_ROWS))
+
+
+def salts_of(counted: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, total: Column | None = None) -> DataFrame:
+    """The same from a stored table of keys and their row counts ``n``."""
+    bound = hot_bound(hot_rows, counted.agg(F.sum("n")).scalar() if total is None else total)
+    n_salts = F.ceil(F.col("n") / bound).cast("int")
+    return counted.where(F.col("n") > bound).select(*keys, n_salts.alias("n_salts"))
 
 
 def salt_left(left: DataFrame, hot: DataFrame) -> DataFrame:

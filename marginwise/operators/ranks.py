@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marginwise.functions.columns import bin_index, uniform
 from marginwise.operators.joins import keyed_join
-from marginwise.session import settle
+from marginwise.session import settle, stored
 
 ROWS_PER_BUCKET = 250_000
 MAX_BUCKETS = 4096
@@ -212,6 +212,52 @@ def order_statistics(
     }
 
 
+def grouped_order_statistics(
+    df: DataFrame, group: str, value: str, quantiles: list[float], rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """(group, found): the order-statistic quantiles of each group's values, in the order of ``quantiles``.
+
+    One range partition by (group, value) serves all groups, so neither jobs nor plans grow with their
+    number. Ranges that hold no wanted position are not ordered. NULLs do not count, and a group of
+    them alone has no row.
+    """
+    if not all(0.0 <= q <= 1.0 for q in quantiles):
+        raise ValueError("quantile must lie in [0, 1]")
+    spark = df.sparkSession
+    hist = stored(df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n")), "histogram")
+    ranges = max(1, math.ceil(hist.count() / rows_per_bucket))
+    ranged = hist.repartitionByRange(ranges, group, value).withColumn("part", F.spark_partition_id())
+    ranged = stored(ranged, "ranges")
+    # Group and range: as many rows as ranges and groups together.
+    parts = ranged.groupBy(group, "part").agg(F.sum("n").alias("inside"))
+    every = Window.partitionBy(group)
+    earlier = every.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.coalesce(F.sum("inside").over(earlier), F.lit(0)))
+    parts = parts.withColumn("rows", F.sum("inside").over(every))
+    levels = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(q)).alias("q")) for k, q in enumerate(quantiles)])
+    place = lambda q: F.least(F.greatest((F.col("rows") + 1) * q, F.lit(1.0)), F.col("rows").cast("double"))
+    ends = F.flatten(
+        F.transform(
+            levels,
+            lambda s: F.array(
+                F.struct(s["k"].alias("k"), F.floor(place(s["q"])).alias("at")),
+                F.struct(s["k"].alias("k"), F.ceil(place(s["q"])).alias("at")),
+            ),
+        )
+    )
+    here = F.filter(ends, lambda e: (e["at"] > F.col("before")) & (e["at"] <= F.col("before") + F.col("inside")))
+    plan = stored(parts.select(group, "part", "before", here.alias("here")).where(F.size("here") > 0), "wanted")
+    ordered = Window.partitionBy(group, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = keyed_join(ranged, plan, [group, "part"], right_rows=plan.count(), right_width=4)
+    upto = F.col("before") + F.sum("n").over(ordered)
+    reached = joined.withColumn("upto", upto)
+    hit = F.filter("here", lambda e: (e["at"] <= F.col("upto")) & (e["at"] > F.col("upto") - F.col("n")))
+    found = reached.select(group, value, F.explode(hit).alias("e"))
+    means = found.groupBy(group, F.col("e.k").alias("k")).agg(F.avg(value).alias("v"))
+    listed = F.array_sort(F.collect_list(F.struct("k", "v")))
+    return means.groupBy(group).agg(F.transform(listed, lambda s: s["v"]).alias("found"))
+
+
 def shuffled_positions(
     df: DataFrame, key: str, group: str, seed: int, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:

@@ -279,6 +279,8 @@ KERNEL_PAIRS_BLOCKED = with_(
   UNION ALL SELECT 'validation', a.id, b.id, {gauss()} FROM bt a JOIN bv b ON a.block = b.block) WHERE k > {d(EPSILON)}"""
 MATMUL_SPARSE = with_(EVENTS_MATRIX) + f"""SELECT a.i, b.i AS j, {r('sum(a.value * b.value)', 4)} AS value
 FROM m a JOIN m b ON a.j = b.j GROUP BY a.i, b.i"""
+MATMUL_GRAM = with_(EVENTS_MATRIX) + f"""SELECT a.j AS i, b.j, {r('sum(a.value * b.value)', 4)} AS value
+FROM m a JOIN m b ON a.i = b.i GROUP BY a.j, b.j"""
 MATVEC_SIGNUM = with_(EVENTS_MATRIX, "v AS (SELECT j, count(*) * (j + 1)::DOUBLE AS w FROM m GROUP BY j)") + f"""
 SELECT i, {r('sum(sign(round(value, 2) - 800) * w)', 4)} AS value FROM m JOIN v USING (j) GROUP BY i"""
 SCORE_JOIN = EVAL_SCORES + f"SELECT id, {r('score')} AS score FROM sc"
@@ -371,12 +373,11 @@ SELECT kernel, C, {r('mean_error')} AS mean_error, row_number() OVER (ORDER BY m
 
 SCORE_RANK = "SELECT doc_id AS id, rank() OVER (ORDER BY n_chars DESC) - 1 AS rank FROM documents"
 SCORE_QUANTILE = with_(
-    "li AS (SELECT l_orderkey, l_linenumber, l_quantity AS score FROM lineitem WHERE l_quantity <> 7)", quantiles("li")
-) + f"""SELECT l_orderkey, l_linenumber, rank, {r('quantile', 9)} AS quantile FROM qs
-UNION ALL SELECT l_orderkey, l_linenumber, NULL, NULL FROM lineitem WHERE l_quantity = 7"""
+    "li AS (SELECT l_orderkey, l_linenumber, l_quantity AS score FROM lineitem)", quantiles("li")
+) + f"SELECT l_orderkey, l_linenumber, rank, {r('quantile', 9)} AS quantile FROM qs"
 _LEVEL_ROWS = " UNION ALL ".join(f"SELECT {k} AS q, {d(v)} AS level" for k, v in enumerate(LEVELS))
 ORDER_STATISTIC = with_(
-    "bal AS (SELECT c_acctbal FROM customer WHERE c_custkey % 7 > 0)", at_levels("bal", "c_acctbal", _LEVEL_ROWS)
+    at_levels("customer", "c_acctbal", _LEVEL_ROWS)
 ) + f"SELECT level AS q, {r('value')} AS value FROM found"
 ORDER_STATISTICS_GRID = with_(at_levels("orders", "o_totalprice", percent_levels(99))) + f"SELECT q, {r('value')} AS value FROM found"
 RUNNING_MISCLASSIFICATION = with_(ITEMS, PROJECTED, cutoffs("proj", 0.2)) + "SELECT low, high FROM cut"
@@ -397,7 +398,8 @@ BEST_ITERATION = """WITH e AS (SELECT extract(hour FROM ts)::INTEGER AS iteratio
 
 # --- set operations
 
-MERGE_PAIR_MAPS = with_(INST, upper()) + "SELECT i, j FROM up"
+MERGE_PAIR_MAPS = with_(INST, upper(), "pos AS (SELECT * FROM inst WHERE label > 0)", upper("pos", name="same")) + """
+SELECT i, j FROM up WHERE k > 0.25::DOUBLE UNION SELECT i, j FROM same"""
 APPEND_SPLITS = with_(SPLIT) + "SELECT id, label FROM data WHERE split <> 'test'"
 
 
@@ -487,6 +489,14 @@ _DISTRIBUTED = with_(
 PREDICT_DISTRIBUTED = _DISTRIBUTED + f"SELECT id, label, {r('score')} AS score, sign(score)::DOUBLE AS prediction FROM sc"
 PREDICT_DISTRIBUTED_RAW = _DISTRIBUTED + f"""SELECT id, label, {r('score')} AS score,
   CASE WHEN score < 0.1::DOUBLE THEN 1::DOUBLE ELSE -1::DOUBLE END AS prediction FROM sc"""
+PREDICT_DISTRIBUTED_CLIPPED = with_(
+    SPLIT, TRAIN, TEST, across("tr", "te", "pt"), started("tr"),
+    at_levels("s0", "alpha", "SELECT 0 AS q, 0.3::DOUBLE AS level"),
+    "c0 AS MATERIALIZED (SELECT s0.* REPLACE (CASE WHEN alpha < value THEN 0::DOUBLE ELSE alpha END AS alpha) FROM s0, found)",
+    "cut AS (SELECT greatest(least(0.001::DOUBLE, min(alpha)), 0.000001::DOUBLE) AS e FROM c0)",
+    "kept AS (SELECT * FROM c0, cut WHERE abs(alpha * label) > e)",
+    scores("pt", "kept", "te"),
+) + f"SELECT id, label, {r('score')} AS score, sign(score)::DOUBLE AS prediction FROM sc"
 _SELECT_COLUMNS = ("quantity", "discount")
 SELECT_INSTANCES = with_(
     ITEMS,

@@ -4,14 +4,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginwise.functions.columns import bin_index
 from marginwise.functions.kernels import Kernel
 from marginwise.operators import metrics
 from marginwise.operators.joins import keyed_join
-from marginwise.operators.ranks import order_statistics, score_quantile
+from marginwise.operators.ranks import grouped_order_statistics, order_statistics, score_quantile
 from marginwise.operators.tiles import emit_scores, has_vector, keep_mask, tile_join
 from marginwise.plans.problem import EvalSet, Problem
 from marginwise.plans.training import Run, clip_alphas, pair_sums, vector_coefficients
@@ -126,46 +125,48 @@ def sparsity_sweep(
     alphas: DataFrame, evals: EvalSet, max_quantile: int = 99, n_rows: int | None = None
 ) -> DataFrame:
     """(q, correct) for q = 0..max_quantile-1: correct predictions with alphas below the q % quantile set to 0."""
-    return sparsity_sweeps({0: alphas}, evals, max_quantile, n_rows).drop("iteration")
+    one = alphas.withColumn("iteration", F.lit(0))
+    return sparsity_sweeps(one, [0], evals, max_quantile, n_rows).drop("iteration")
+
+
+def _levels_upto(levels: Column, value: Column) -> Column:
+    """How many of up to 127 ascending numbers are at most the value, by halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in range(6, -1, -1)])
+    return F.aggregate(
+        steps, F.lit(0), lambda n, s: F.when(F.get(levels, n + s - 1) <= value, n + s).otherwise(n)
+    )
 
 
 def sparsity_sweeps(
-    alphas: dict[int, DataFrame], evals: EvalSet, max_quantile: int = 99, n_rows: int | None = None
+    alphas: DataFrame, iterations: list[int], evals: EvalSet, max_quantile: int = 99, n_rows: int | None = None
 ) -> DataFrame:
-    """(iteration, q, correct) for the coefficients (id, vid, label, alpha) of several iterations.
+    """(iteration, q, correct) for the coefficients (iteration, id, vid, label, alpha) of several iterations.
 
     Thresholds grow with q, so a coefficient counts for all q up to one largest q. Sums are
     formed per (row, largest q) and added from the top; a row's sign then holds for a range of
-    q, recorded by its two ends. The pair table is read once, not once per q and iteration.
-    ``n_rows`` is the number of coefficients of one iteration, when known.
+    q, recorded by its two ends. One ranking gives the thresholds of all iterations, and the pair
+    table is read once. ``n_rows`` is the number of coefficients of one iteration, when known.
     """
+    if not 0 < max_quantile < 128:
+        raise ValueError("max_quantile must lie between 1 and 127")
     spark = evals.rows.sparkSession
     levels = [0.01 * q for q in range(max_quantile)]
-    parts = []
-    for iteration, table in alphas.items():
-        found = order_statistics(table, "alpha", levels)
-        # Equal thresholds act alike: the largest q among them stands for all.
-        largest = {found[level]: q for q, level in enumerate(levels)}
-        cuts = sorted(largest)
-        q_of_bin = F.expr(f"array({', '.join(str(q) for q in [-1, *(largest[c] for c in cuts)])})")
-        binned = bin_index(table, "alpha", "bin", cuts)
-        parts.append(
-            binned.select(
-                F.lit(iteration).alias("iteration"),
-                F.col("vid").alias("i"),
-                F.element_at(q_of_bin, F.col("bin") + 1).alias("q_max"),
-                (F.col("alpha") * F.col("label")).alias("z"),
-            )
-        )
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
+    # At most one row per iteration.
+    found = grouped_order_statistics(alphas, "iteration", "alpha", levels)
+    if len(iterations) == 1:
+        ranked = alphas.withColumn("found", found.select("found").scalar())
+    else:
+        ranked = alphas.join(F.broadcast(found), "iteration")
+    upto = _levels_upto(F.col("found"), F.col("alpha"))
+    union = ranked.select(
+        "iteration", F.col("vid").alias("i"), (upto - 1).alias("q_max"), (F.col("alpha") * F.col("label")).alias("z")
+    )
     z = (
         union.where((F.col("q_max") >= 0) & (F.col("z") != 0))
         .groupBy("iteration", "i", "q_max")
         .agg(F.sum("z").alias("z"))
     )
-    z_rows = None if n_rows is None else n_rows * len(parts)
+    z_rows = None if n_rows is None else n_rows * len(iterations)
     sums = (
         keyed_join(evals.pairs, z, ["i"], right_rows=z_rows, right_width=2)
         .groupBy("iteration", F.col("j").alias("vid"), "q_max")
@@ -196,8 +197,7 @@ def sparsity_sweeps(
         .groupBy("iteration", F.col("e.q").alias("q"))
         .agg(F.sum("e.change").alias("change"))
     )
-    iterations = spark.createDataFrame([(n,) for n in alphas], "iteration int")
-    grid = iterations.select("iteration", F.explode(F.sequence(F.lit(0), F.lit(max_quantile - 1))).alias("q"))
+    grid = spark.createDataFrame([(n,) for n in iterations], "iteration int").select("iteration", F.explode(F.sequence(F.lit(0), F.lit(max_quantile - 1))).alias("q"))
     upto = Window.partitionBy("iteration").orderBy("q").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return grid.join(F.broadcast(changes), ["iteration", "q"], "left").select(
         "iteration", "q", F.sum(F.coalesce("change", F.lit(0))).over(upto).alias("correct")
@@ -222,13 +222,9 @@ def validation_eval(alphas: DataFrame, evals: EvalSet, epsilon: float, iteration
 def validate_run(run: Run, evals: EvalSet, max_quantile: int = 99, cell: int = 0) -> DataFrame:
     """(iteration, sparsity, correct): the best sparsity of every iteration of one cell."""
     history = run.history().where(F.col("cell") == cell)
-    alphas = {
-        iteration: history.where(F.col("iteration") == iteration).select(
-            "id", "vid", "label", F.col("alpha_after").alias("alpha")
-        )
-        for iteration in range(1, run.last[cell] + 1) or [0]
-    }
-    sweeps = sparsity_sweeps(alphas, evals, max_quantile, run.problem.n_rows)
+    alphas = history.select("iteration", "id", "vid", "label", F.col("alpha_after").alias("alpha"))
+    iterations = list(range(1, run.last[cell] + 1)) or [0]
+    sweeps = sparsity_sweeps(alphas, iterations, evals, max_quantile, run.problem.n_rows)
     return settle(metrics.best_sparsity(sweeps))
 
 

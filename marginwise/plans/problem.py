@@ -7,6 +7,7 @@ The result is the same sum, and a group of copies of any size costs one vector.
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,12 @@ from marginwise.operators.pairs import kernel_pairs, kernel_pairs_between, mirro
 from marginwise.session import bucketed, settle, stored
 
 PairBuilder = Callable[[DataFrame, Kernel, float], DataFrame]
+# Ways to build the pair table by name; a function of one's own does as well.
+BUILDERS: dict[str, PairBuilder] = {
+    "auto": kernel_pairs,
+    "full": partial(kernel_pairs, prune=False),
+    "tree": partial(kernel_pairs, leaf_rows=128),
+}
 
 
 @dataclass(frozen=True)
@@ -109,23 +116,26 @@ def prepare(
     train: DataFrame,
     kernel: Kernel,
     epsilon: float,
-    builder: PairBuilder | None = None,
+    builder: PairBuilder | str = "auto",
     distinct: bool = True,
     cells: int = 1,
     broadcast: bool | None = None,
 ) -> Problem:
     """Build and store the pair table of (id, label, x, ...).
 
+    ``builder`` is a name of BUILDERS or a function (rows, kernel, epsilon) -> (i, j, k), i < j.
     ``cells`` models will be trained at once; ``broadcast`` overrides the size check that
     decides how the pairs are laid out.
     """
     kxx = kernel.expr(F.col("x"), F.col("x"))
     found = collapse(train.withColumn("kxx", kxx), distinct)
-    pairs = mirror((builder or kernel_pairs)(found.vectors, kernel, epsilon))
+    build = BUILDERS[builder] if isinstance(builder, str) else builder
+    pairs = mirror(build(found.vectors, kernel, epsilon))
     hot_partners = None
     if broadcast is None:
         broadcast = fits_broadcast(found.n_vectors * cells, 2)
-    pairs = stored(pairs, "pairs")
+    # With many models a task has whole rows of the pair matrix, so that its sums are few.
+    pairs = stored(pairs.repartition("i") if cells > 1 else pairs, "pairs")
     if not broadcast:
         hot_partners = settle(hot_keys(pairs, ["j"]))
         pairs = bucketed(salt_left(pairs, hot_partners), ["j", "salt"], pairs.count())

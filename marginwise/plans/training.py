@@ -4,14 +4,18 @@ One run trains any number of cells (cost C, held-out fold) over one shared pair
 iteration is one pass over the pairs, stored as a table of the run, plus two small aggregates.
 """
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginwise.functions.columns import uniform
-from marginwise.operators.joins import keyed_join, salt_right
+from marginwise.operators.joins import fits_broadcast, keyed_join, salt_right
 from marginwise.params import AlgoParams, ModelParams
 from marginwise.plans.problem import Problem
 from marginwise.session import scratch_table
@@ -43,14 +47,86 @@ def box(alpha: Column, C: Column | float) -> Column:
     return F.least(C, F.greatest(F.lit(0.0), alpha))
 
 
+# Sums of one aggregation: more cells are summed a block at a time, each block reading the pairs once.
+BLOCK_CELLS = 32
+# Rows of partial sums that a task holds before it adds them up.
+HELD_ROWS = 1 << 16
+
+
 def pair_sums(problem: Problem, z: DataFrame, n_cells: int = 1) -> DataFrame:
-    """(cell, vid, s): sum over the pairs of k * z of the partner vector; z is (cell, vid, z)."""
-    partner = z.where(F.col("z") != 0).select("cell", F.col("vid").alias("j"), "z")
+    """(cell, vid, s): sum over the pairs of k * z of the partner vector; z is (cell, vid, z).
+
+    The coefficients of all cells are an n x cells matrix. A pair meets its row of it once, however many
+    cells there are: in a product of blocks while the matrix fits a broadcast, else as strips of
+    columns joined to the pairs, summed up element by element.
+    """
+    if n_cells == 1:
+        partner = z.where(F.col("z") != 0).select("cell", F.col("vid").alias("j"), "z")
+        joined = _with_partners(problem, partner, 2)
+        return joined.groupBy("cell", F.col("i").alias("vid")).agg(F.sum(F.col("k") * F.col("z")).alias("s"))
+    if problem.hot_partners is None and fits_broadcast(problem.n_vectors * n_cells):
+        return _block_sums(problem, z, n_cells)
+    blocks = []
+    for first in range(0, n_cells, BLOCK_CELLS):
+        cells = range(first, min(first + BLOCK_CELLS, n_cells))
+        own = z.where((F.col("z") != 0) & F.col("cell").between(cells[0], cells[-1]))
+        strip = [F.sum(F.when(F.col("cell") == c, F.col("z")).otherwise(0.0)).alias(f"z{c}") for c in cells]
+        joined = _with_partners(problem, own.groupBy(F.col("vid").alias("j")).agg(*strip), 1 + len(cells) // 2)
+        sums = joined.groupBy("i").agg(*[F.sum(F.when(F.col(f"z{c}") != 0, F.col("k") * F.col(f"z{c}"))).alias(f"s{c}") for c in cells])
+        listed = F.array(*[F.struct(F.lit(c).alias("cell"), F.col(f"s{c}").alias("s")) for c in cells])
+        blocks.append(sums.select(F.col("i").alias("vid"), F.explode(listed).alias("o")).select("o.cell", "vid", "o.s").where("s IS NOT NULL"))
+    return reduce(DataFrame.unionAll, blocks)
+
+
+def _block_sums(problem: Problem, z: DataFrame, n_cells: int) -> DataFrame:
+    """The sums as products of the stored pairs with the matrix of coefficients, which goes to every executor.
+
+    A task emits one row per vector, not per pair.
+    """
+    table = z.where(F.col("z") != 0).select("cell", "vid", "z").toArrow()
+    vids, place = np.unique(table["vid"].to_numpy(), return_inverse=True)
+    coefficients = np.zeros((len(vids), n_cells))
+    coefficients[place, table["cell"].to_numpy()] = table["z"].to_numpy()
+    model = problem.pairs.sparkSession.sparkContext.broadcast((vids, coefficients))
+
+    def add_up(i: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(i, kind="stable")
+        own, first = np.unique(i[order], return_index=True)
+        return own, np.add.reduceat(values[order], first, axis=0)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, matrix = model.value
+        held, rows = [], 0
+        for batch in batches:
+            i, j, k = (batch.column(c).to_numpy() for c in range(3))
+            at = np.minimum(np.searchsorted(known, j), len(known) - 1) if len(known) else j[:0]
+            met = np.flatnonzero(known[at] == j) if len(known) else at
+            if not len(met):
+                continue
+            strip = matrix[at[met]]
+            # A zero coefficient takes no part, whatever the kernel value.
+            with np.errstate(invalid="ignore"):
+                strip = np.where(strip != 0, k[met][:, None] * strip, 0.0)
+            held.append(add_up(i[met], strip))
+            rows += len(held[-1][0])
+            if rows > HELD_ROWS:
+                held = [add_up(*map(np.concatenate, zip(*held)))]
+                rows = len(held[0][0]) // 2
+        if held:
+            own, sums = add_up(*map(np.concatenate, zip(*held)))
+            listed = pa.FixedSizeListArray.from_arrays(pa.array(sums.ravel()), sums.shape[1]).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(own), listed], names=["vid", "sums"])
+
+    found = problem.pairs.select("i", "j", "k").mapInArrow(products, "vid bigint, sums array<double>")
+    each = found.select("vid", F.posexplode("sums").alias("cell", "part"))
+    return each.groupBy("cell", "vid").agg(F.sum("part").alias("s")).where("s <> 0")
+
+
+def _with_partners(problem: Problem, partner: DataFrame, width: int) -> DataFrame:
+    """The pairs with what ``partner`` has for j."""
     if problem.hot_partners is None:
-        joined = keyed_join(problem.pairs, partner, ["j"], right_rows=problem.n_vectors * n_cells, right_width=2)
-    else:
-        joined = problem.pairs.join(salt_right(partner, problem.hot_partners), ["j", "salt"])
-    return joined.groupBy("cell", F.col("i").alias("vid")).agg(F.sum(F.col("k") * F.col("z")).alias("s"))
+        return keyed_join(problem.pairs, partner, ["j"], right_rows=problem.n_vectors, right_width=width)
+    return problem.pairs.join(salt_right(partner, problem.hot_partners), ["j", "salt"])
 
 
 def vector_coefficients(state: DataFrame) -> DataFrame:

@@ -160,3 +160,27 @@ def test_gram_matrix_with_nulls_in_either_form(spark, monkeypatch, wide):
     frame = spark.createDataFrame(rows, "a double, b double, label int")
     got = {(r["a"], r["b"]): r["value"] for r in selection.gram_matrix(frame, ["a", "b"], ridge=0.0).collect()}
     assert got == {(0, 0): 42.0, (0, 1): 32.0, (1, 0): 32.0, (1, 1): 49.0, (0, 2): 5.0, (1, 2): -1.0}
+
+
+def test_crowded_inner_index_is_a_grid(spark):
+    """Both sides of a hot index are dealt: no group holds more of a side than about a slice."""
+    rng = np.random.default_rng(6)
+    left, right = np.zeros((300, 5)), np.zeros((5, 200))
+    left[:, 2], right[2, :] = rng.normal(size=300), rng.normal(size=200)
+    left[::40, :], right[:, ::50] = rng.normal(size=(8, 5)), rng.normal(size=(5, 4))
+    a, b = entries(spark, left), entries(spark, right)
+    got = dense(matrix.matmul(a, b, 10**9, hot_rows=40), (300, 200))
+    assert np.allclose(got, left @ right)
+    sides = a.select("i", F.col("j").alias("inner"), "value"), b.select(F.col("i").alias("inner"), "j", "value")
+    grid = matrix._grid(*sides, 40)
+    assert [tuple(r) for r in grid.collect()] == [(2, 8, 5)]
+    for df, place, own, other in ((sides[0], "i", "a", "b"), (sides[1], "j", "b", "a")):
+        largest = matrix._sliced(df, grid, place, own, other).groupBy("inner", "a", "b").count().agg(F.max("count")).first()[0]
+        assert largest <= 65
+
+
+def test_hot_keys_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 20)
+    left = spark.range(3000).select((F.col("id") % 60).alias("k"))
+    left = left.unionAll(spark.range(1000).select(F.lit(7).cast("bigint").alias("k")))
+    assert {r["k"]: r["n_salts"] for r in joins.hot_keys(left, ["k"], 10).collect()} == {7: 6}

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from helpers import order_quantile, ranks_descending
+from pyspark.sql import functions as F
 
 from marginwise.operators import folds, ranks
 
@@ -99,3 +100,31 @@ def test_sorted_rows_with_many_ties(spark, rows_per_bucket):
     got = ranks.sorted_rows(frame, "v", "id", rows_per_bucket).orderBy("position").collect()
     want = sorted(enumerate(values), key=lambda r: (r[1], r[0]))
     assert [(r["id"], r["v"]) for r in got] == want and [r["position"] for r in got] == list(range(len(want)))
+
+
+@pytest.mark.parametrize("rows_per_bucket", [7, 250_000])
+def test_grouped_order_statistics(spark, rows_per_bucket):
+    rng = np.random.default_rng(11)
+    values = {1: rng.normal(size=90).round(1), 2: np.full(40, 3.0), 3: np.array([2.5]), 4: rng.normal(size=301) * 1e6}
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [(1, None), (5, None)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(4)
+    levels = [0.0, 0.01, 0.3, 0.5, 0.99, 1.0, 0.5]
+    found = ranks.grouped_order_statistics(df, "g", "v", levels, rows_per_bucket)
+    got = {r["g"]: r["found"] for r in found.collect()}
+    assert got.keys() == values.keys()
+    for g, vs in values.items():
+        assert got[g] == pytest.approx([order_quantile(vs, q) for q in levels])
+    assert ranks.grouped_order_statistics(df.limit(0), "g", "v", levels).count() == 0
+    with pytest.raises(ValueError, match="quantile"):
+        ranks.grouped_order_statistics(df, "g", "v", [1.5])
+
+
+def test_jobs_do_not_grow_with_the_groups(spark):
+    def jobs(groups):
+        df = spark.range(2000).select((F.col("id") % groups).alias("g"), F.col("id").cast("double").alias("v"))
+        spark.sparkContext.setJobGroup(f"groups-{groups}", "count jobs")
+        ranks.grouped_order_statistics(df, "g", "v", [0.1 * k for k in range(10)]).collect()
+        spark.sparkContext.setJobGroup("none", "")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"groups-{groups}"))
+
+    assert jobs(1) >= jobs(40) - 1

@@ -165,3 +165,28 @@ def test_step_sizes():
     model, algo = ModelParams(1.0, 0.5), AlgoParams(decline=0.5)
     assert [model.step_size(algo, n) for n in (1, 2, 3)] == [0.25, 0.125, 0.0625]
     assert model.step_size(AlgoParams(decline=0.5, constant_step=True), 3) == 0.25
+
+
+@pytest.mark.parametrize("block", [3, 64, None])
+def test_many_cells_share_one_row_per_pair(spark, monkeypatch, block):
+    """Strips and block products of all cells give the sums of the cells one by one."""
+    if block:
+        monkeypatch.setattr(training, "BLOCK_CELLS", block)
+        monkeypatch.setattr(training, "fits_broadcast", lambda *_: False)
+    problem = prepare(frame(spark, X, Y), KERNEL, EPSILON)
+    rng = np.random.default_rng(3)
+    rows = [(c, i, float(rng.normal())) for c in range(8) for i in range(len(X)) if (i + c) % 4]
+    z = spark.createDataFrame(rows, "cell int, vid bigint, z double")
+    got = {(r["cell"], r["vid"]): r["s"] for r in training.pair_sums(problem, z, 8).collect()}
+    want = {}
+    for c in range(8):
+        one = z.where(F.col("cell") == c)
+        want |= {(c, r["vid"]): r["s"] for r in training.pair_sums(problem, one, 1).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+@pytest.mark.parametrize("name", ["full", "tree"])
+def test_named_builders_build_the_same_pairs(spark, name):
+    usual = prepare(frame(spark, X, Y), KERNEL, EPSILON).pairs.collect()
+    named = prepare(frame(spark, X, Y), KERNEL, EPSILON, builder=name).pairs.collect()
+    assert {tuple(r)[:2] for r in named} == {tuple(r)[:2] for r in usual} and len(named) == len(usual)
