@@ -1,5 +1,6 @@
 """Session construction and durable intermediate tables."""
 
+import re
 import tempfile
 import uuid
 
@@ -66,6 +67,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes ``stored`` tables that nothing will read again; anything else is left alone."""
+    for table in tables:
+        spark = table.sparkSession
+        root = shared_folder(spark).rstrip("/").split(":")[-1].lstrip("/")
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            parent, name = folder.rsplit("/", 1)
+            if parent.split(":")[-1].lstrip("/").endswith(root) and re.search("-[0-9a-f]{32}$", name):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 BUCKET_ROWS = 8_000_000
 
 

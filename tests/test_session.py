@@ -47,3 +47,15 @@ def test_bucketed_table_joins_without_moving(spark):
     assert table.count() == 1000
     plan = table.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_discard_deletes_stored_tables_only(spark, tmp_path):
+    table, other = session.stored(spark.range(5), "gone"), spark.range(3)
+    assert table.count() == 5
+    elsewhere = str(tmp_path / f"own-{'0' * 32}")
+    spark.range(4).write.parquet(elsewhere)
+    kept = spark.read.parquet(elsewhere)
+    session.discard(table, other, kept)
+    assert kept.count() == 4
+    with pytest.raises(Exception, match="(?i)not exist|not found|no such"):
+        table.count()
