@@ -125,7 +125,7 @@ def op9_sentencepiece_encoding_and_decoding(spark, sf_dir):
 def op5_fuzzy_line_dedup(spark, sf_dir):
     """Per line with a word: its place, its component and whether it stays."""
     found = lines.line_decisions(load(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), F.col("line_no").cast("bigint").alias("line_no"), "component", "kept")
+    return found.select(F.col("id").alias("doc_id"), F.col("line_no").cast("bigint").alias("line_no"), F.lower(F.hex("component")).alias("component"), "kept")
 
 
 @query()
