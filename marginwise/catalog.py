@@ -6,6 +6,7 @@ embedding label is below 5, positional split 50 % train, 40 % validation, 10 % t
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -503,6 +504,21 @@ def gram_matrix(spark, sf):
     return selection.gram_matrix(scaled, FEATURES).select("a", "b", r("value", 4, "value"))
 
 
+@query(sql.GRAM_MATRIX_WIDE)
+def gram_matrix_wide(spark, sf):
+    """All products of the 64 components and the class, in strips of columns."""
+    found = selection.gram_matrix_vector(vectors(spark, sf), strip=24)
+    return found.select("a", "b", r("value", 6, "value"))
+
+
+@query(sql.RIDGE_WEIGHTS)
+def ridge_weights(spark, sf):
+    """The weights of two columns; their closed form is the check."""
+    gram = selection.gram_matrix(lineitem(spark, sf), ["quantity", "discount"])
+    weights = selection.solve_ridge(gram, size=1)
+    return spark.createDataFrame(list(enumerate(weights)), "a int, weight double").select("a", r("weight", 9, "weight"))
+
+
 @query(sql.REPLICATE_SUM)
 def replicate_sum(spark, sf):
     scored = settle(eval_scores(spark, sf))
@@ -779,6 +795,16 @@ def train_svm(spark, sf):
     return _trained(spark, sf).final().select("id", r("alpha", 6, "alpha"), r("alpha_old", 6, "alpha_old"))
 
 
+@query(sql.TRAIN_SVM)
+def train_svm_resumed(spark, sf):
+    """Training that ends after one iteration and is taken up from its tables, as after a lost driver."""
+    path = scratch_table(spark, "resumed")
+    problem = prepare(vectors(spark, sf), GAUSS, EPS)
+    training.train_one(problem, MODEL, replace(ALGO, max_iter=1), path=path)
+    final = training.train_one(problem, MODEL, ALGO, path=path).final()
+    return final.select("id", r("alpha", 6, "alpha"), r("alpha_old", 6, "alpha_old"))
+
+
 @query(sql.TRAIN_SVM)
 def train_svm_tree(spark, sf):
     """The same training on pairs that a partition tree finds."""

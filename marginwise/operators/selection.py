@@ -1,6 +1,7 @@
 """Instance selection by a linear projection fitted on random subsets."""
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,11 +12,14 @@ from pyspark.sql import functions as F
 
 from marginwise.functions.columns import uniform, weighted_sum
 from marginwise.operators.ranks import values_at
+from marginwise.operators.solve import BLOCK, solve_positive
 
 RIDGE = 0.5
 # Above this width the Gram sums are formed by partial matrix products instead of one column per cell.
 WIDE_FEATURES = 20
 REPLICATE_ROWS = 10_000
+# Columns whose products with all others one task holds.
+STRIP_COLUMNS = 512
 
 
 def _cells(d: int) -> list[tuple[int, int]]:
@@ -50,41 +54,59 @@ def gram_matrix(df: DataFrame, columns: list[str], label: str = "label", ridge:
     return wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
-def gram_matrix_vector(df: DataFrame, label: str = "label", ridge: float = RIDGE) -> DataFrame:
-    """The same from an array column ``x`` of any width: one partial product per task, then a sum."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            # A NULL adds nothing to a sum, as in the form with one column per cell.
-            flat = pa.compute.fill_null(batch.column(0).flatten(), 0.0)
-            X = flat.to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            y = pa.compute.fill_null(batch.column(1), 0.0).to_numpy(zero_copy_only=False)
-            product = X.T @ np.column_stack([X, y])
-            total = product if total is None else total + product
-        if total is not None:
-            a, b = np.indices(total.shape)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a.ravel(), pa.int32()), pa.array(b.ravel(), pa.int32()), pa.array(total.ravel())],
-                names=["a", "b", "value"],
-            )
+def gram_matrix_vector(
+    df: DataFrame, label: str = "label", ridge: float = RIDGE, strip: int = STRIP_COLUMNS
+) -> DataFrame:
+    """The same from an array column ``x`` of any width: partial products per task, then a sum.
 
+    A task holds the products of ``strip`` columns with all later ones; wider vectors take one scan per strip. Vectors of
+    different length are an error.
+    """
     rows = df.where(F.col("x").isNotNull()).select("x", F.col(label).cast("double"))
-    parts = rows.mapInArrow(partial, "a int, b int, value double")
+    ends = rows.agg(F.min(F.size("x")), F.max(F.size("x"))).first()
+    if ends[0] != ends[1]:
+        raise ValueError(f"vectors of different length: {ends[0]} and {ends[1]}")
+    d = ends[1] or 0
+
+    def partial(first: int):
+        def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                # A NULL adds nothing to a sum, as in the form with one column per cell.
+                flat = pa.compute.fill_null(batch.column(0).flatten(), 0.0)
+                X = flat.to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                y = pa.compute.fill_null(batch.column(1), 0.0).to_numpy(zero_copy_only=False)
+                product = X[:, first : first + strip].T @ np.column_stack([X[:, first:], y])
+                total = product if total is None else total + product
+            if total is not None:
+                for row, values in enumerate(total):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(values), first + row), pa.int32()),
+                            pa.array(np.arange(first, first + len(values)), pa.int32()),
+                            pa.array(values),
+                        ],
+                        names=["a", "b", "value"],
+                    )
+
+        return products
+
+    kind = "a int, b int, value double"
+    parts = reduce(DataFrame.unionAll, [rows.mapInArrow(partial(k), kind) for k in range(0, max(d, 1), strip)])
     on_diagonal = F.when(F.col("a") == F.col("b"), ridge).otherwise(0.0)
-    return parts.groupBy("a", "b").agg(F.sum("value").alias("value")).withColumn("value", F.col("value") + on_diagonal)
+    summed = parts.groupBy("a", "b").agg(F.sum("value").alias("value")).withColumn("value", F.col("value") + on_diagonal)
+    # Entries left of a strip mirror those of the strips before.
+    below = (F.col("b") < d) & (F.floor(F.col("b") / strip) > F.floor(F.col("a") / strip))
+    places = F.array(F.struct("a", "b"), F.when(below, F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return summed.select(F.explode(F.array_compact(places)).alias("e"), "value").select("e.*", "value")
 
 
-def solve_ridge(gram: DataFrame) -> list[float]:
-    """Weights of (X'X + ridge) w = X'y; d x (d + 1) numbers reach the driver."""
-    cells = gram.collect()
-    d = max(r["a"] for r in cells) + 1
-    table = np.zeros((d, d + 1))
-    for r in cells:
-        table[r["a"], r["b"]] = r["value"]
-    return np.linalg.solve(table[:, :d], table[:, d]).tolist()
+def solve_ridge(gram: DataFrame, size: int = BLOCK) -> list[float]:
+    """Weights of (X'X + ridge) w = X'y, by blocks: the weights, and no matrix larger than a block, reach the driver."""
+    d = gram.agg(F.max("a")).first()[0] + 1
+    return solve_positive(gram, d, size).tolist()
 
 
 def replicate_weights(

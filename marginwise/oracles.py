@@ -355,6 +355,14 @@ _GRAM = " UNION ALL ".join(
     ]
 )
 GRAM_MATRIX = with_(ITEMS, scaled(FEATURES)) + _GRAM
+GRAM_MATRIX_WIDE = with_(INST) + f"""SELECT a, b, {r('sum(u * v) + CASE WHEN a = b THEN 0.5::DOUBLE ELSE 0 END')} AS value
+FROM (SELECT id, a::INTEGER AS a, x[a + 1] AS u FROM inst, range(64) t(a)) JOIN
+  (SELECT id, b::INTEGER AS b, CASE WHEN b < 64 THEN x[b + 1] ELSE label END AS v FROM inst, range(65) t(b)) USING (id)
+GROUP BY a, b"""
+RIDGE_WEIGHTS = with_(ITEMS, """g AS (SELECT sum(quantity * quantity) + 0.5::DOUBLE AS a, sum(quantity * discount) AS b,
+  sum(discount * discount) + 0.5::DOUBLE AS c, sum(quantity * label) AS e, sum(discount * label) AS f FROM items)""") + f"""
+SELECT 0 AS a, {r('(c * e - b * f) / (a * c - b * b)', 9)} AS weight FROM g
+UNION ALL SELECT 1, {r('(a * f - b * e) / (a * c - b * b)', 9)} FROM g"""
 REPLICATE_SUM = EVAL_SCORES + "SELECT count(*) FILTER (WHERE score * label > 0) AS correct FROM sc"
 CONFUSION_MATRIX = with_(JUDGED) + """SELECT prediction AS predicted, count(*) FILTER (WHERE label = -1) AS actual_m1,
   count(*) FILTER (WHERE label = 1) AS actual_1 FROM ju GROUP BY prediction"""

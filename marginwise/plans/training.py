@@ -5,11 +5,12 @@ iteration is one pass over the pairs, stored as a table of the run, plus two sma
 """
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -210,6 +211,7 @@ def _per_cell(values: list[float | None], index: Column) -> Column:
     return F.element_at(F.expr(f"CAST(array({listed}) AS array<double>)"), index + 1)
 
 
+_LOG = "cell int, shift double, momentum double, delta double, sparsity double"
 _STEP_COLUMNS = [T.StructField("step", T.DoubleType()), T.StructField("in_batch", T.BooleanType())]
 
 
@@ -217,8 +219,10 @@ _STEP_COLUMNS = [T.StructField("step", T.DoubleType()), T.StructField("in_batch"
 class Run:
     """Stored steps of a training run and the few numbers that turn a step into coefficients.
 
-    Step ``n`` is the table ``path/iteration=n``: the coefficients before the iteration, the
-    gradient step, and whether the row is in the batch. Cells are numbered 0, 1, ...
+    Step ``n`` is the table ``path/steps/iteration=n``: the coefficients before the iteration, the
+    gradient step, and whether the row is in the batch. Cells are numbered 0, 1, ... An iteration
+    counts once its numbers are in ``path/log/iteration=n``, written last: from these tables a new
+    driver goes on.
     """
 
     problem: Problem
@@ -251,9 +255,30 @@ class Run:
         fields = [*self.initial.schema.fields, *_STEP_COLUMNS]
         if iteration is None:
             fields.append(T.StructField("iteration", T.IntegerType()))
-        path = self.path if iteration is None else f"{self.path}/iteration={iteration}"
+        path = f"{self.path}/steps" if iteration is None else f"{self.path}/steps/iteration={iteration}"
         return self.initial.sparkSession.read.schema(T.StructType(fields)).parquet(path)
 
+    def restore(self) -> dict[int, tuple[float, float]]:
+        """Takes over the finished iterations below ``path``; gives the health of the cells of the last one."""
+        try:
+            log = self.initial.sparkSession.read.schema(f"{_LOG}, iteration int").parquet(f"{self.path}/log")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return {}
+        # One row per cell and iteration.
+        found: dict[int, list] = {}
+        for r in log.collect():
+            found.setdefault(r["iteration"], []).append(r)
+        health = {}
+        for iteration in range(1, len(found) + 1):
+            rows = found[iteration]
+            self.shifts.append({r["cell"]: r["shift"] for r in rows})
+            self.momenta.append({r["cell"]: r["momentum"] for r in rows})
+            self.last |= {r["cell"]: iteration for r in rows}
+            health = {r["cell"]: (r["delta"], r["sparsity"]) for r in rows}
+        return health
+
     def history(self) -> DataFrame:
         """(cell, iteration, id, vid, label, alpha, alpha_after): before and after momentum."""
         keys = ["cell", "iteration", "id", "vid", "label"]
@@ -263,7 +288,8 @@ class Run:
         index = (F.col("iteration") - 1) * len(self.cells) + F.col("cell")
         pre = self._pre(self.shifts, index)
         after, _ = self._after(F.col("pre"), self.momenta, index)
-        mixed = self.step().withColumn("pre", pre)
+        # A step without its numbers is of an iteration that did not finish.
+        mixed = self.step().where(F.col("iteration") <= len(self.shifts)).withColumn("pre", pre)
         return mixed.select(*keys, F.col("pre").alias("alpha"), after.alias("alpha_after"))
 
     def state(self, iteration: int) -> DataFrame:
@@ -302,7 +328,7 @@ class Run:
             in_batch(self.algo, iteration).alias("in_batch"),
         )
         # Overwriting makes a repeated write of the same iteration harmless.
-        stored.write.mode("overwrite").parquet(f"{self.path}/iteration={iteration}")
+        stored.write.mode("overwrite").parquet(f"{self.path}/steps/iteration={iteration}")
 
         step = self.step(iteration)
         y = F.col("label")
@@ -330,6 +356,9 @@ class Run:
             # After a momentum step the change is m * alpha_old; coefficients are never negative.
             delta = r["delta"] if m is None else m * r["old_l1"]
             health[r["cell"]] = (delta, 100.0 * (r["both_zero"] if m else r["zero"]))
+        rows = [(c, shifts[c], momenta[c], *health[c]) for c in sorted(health)]
+        log = self.initial.sparkSession.createDataFrame(rows, _LOG).coalesce(1)
+        log.write.mode("overwrite").parquet(f"{self.path}/log/iteration={iteration}")
         self.shifts.append(shifts)
         self.momenta.append(momenta)
         for c in active:
@@ -360,22 +389,52 @@ def _health(state: DataFrame) -> dict[int, tuple[float, float]]:
     return {r["cell"]: (r["delta"], r["sparsity"]) for r in rows}
 
 
+def _same_settings(spark, path: str, cells: list[Cell], algo: AlgoParams) -> None:
+    """Keeps the settings beside a run's tables and refuses to go on with others; max_iter may change."""
+    said = [str(replace(algo, max_iter=1)), *map(str, cells)]
+    try:
+        known = [r["value"] for r in spark.read.parquet(f"{path}/settings").orderBy("n").collect()]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = said
+        table = spark.createDataFrame(list(enumerate(said)), "n int, value string").coalesce(1)
+        table.write.mode("overwrite").parquet(f"{path}/settings")
+    if known != said:
+        raise ValueError(f"the run at {path} has other settings")
+
+
 def train(
-    problem: Problem, cells: list[Cell], algo: AlgoParams, initial: DataFrame | None = None, strict: bool = True
+    problem: Problem,
+    cells: list[Cell],
+    algo: AlgoParams,
+    initial: DataFrame | None = None,
+    strict: bool = True,
+    path: str | None = None,
 ) -> Run:
     """Iterate until max_iter, or until a cell changes less than min_delta_alpha.
 
+    A run with a ``path`` of its own is taken up where it ended, also by another driver: finished
+    iterations are read, not repeated.
+
     ``strict`` stops with an error when 99 % of the coefficients of a cell are zero; otherwise
     the cell keeps its last state.
     """
     if [c.cell for c in cells] != list(range(len(cells))):
         raise ValueError("cells must be numbered 0, 1, ...")
     state = initial if initial is not None else initial_state(problem, cells, algo)
-    run = Run(problem, cells, algo, scratch_table(problem.rows.sparkSession, "training"), state)
+    spark = problem.rows.sparkSession
+    run = Run(problem, cells, algo, path or scratch_table(spark, "training"), state)
     run.last = {c.cell: 0 for c in cells}
-    health = _health(state)
-    active = [c.cell for c in cells]
-    for iteration in range(1, algo.max_iter + 1):
+    if path is not None:
+        _same_settings(spark, path, cells, algo)
+    health = run.restore() if path is not None else {}
+    if health:
+        state = run.state(len(run.shifts))
+    else:
+        health = _health(state)
+    active = sorted(health)
+    for iteration in range(len(run.shifts) + 1, algo.max_iter + 1):
         going = []
         for c in active:
             delta, sparsity = health[c]
@@ -396,5 +455,7 @@ def train(
     return run
 
 
-def train_one(problem: Problem, model: ModelParams, algo: AlgoParams, initial: DataFrame | None = None) -> Run:
-    return train(problem, [Cell(0, model)], algo, initial)
+def train_one(
+    problem: Problem, model: ModelParams, algo: AlgoParams, initial: DataFrame | None = None, path: str | None = None
+) -> Run:
+    return train(problem, [Cell(0, model)], algo, initial, path=path)

@@ -184,3 +184,42 @@ def test_hot_keys_are_bounded(spark, monkeypatch):
     left = spark.range(3000).select((F.col("id") % 60).alias("k"))
     left = left.unionAll(spark.range(1000).select(F.lit(7).cast("bigint").alias("k")))
     assert {r["k"]: r["n_salts"] for r in joins.hot_keys(left, ["k"], 10).collect()} == {7: 6}
+
+
+@pytest.mark.parametrize("d, size", [(1, 4), (7, 4), (8, 4), (13, 3), (30, 256)])
+def test_block_cholesky(spark, d, size):
+    from marginwise.operators.solve import solve_positive
+
+    rng = np.random.default_rng(d)
+    M = rng.normal(size=(d + 5, d))
+    G, h = M.T @ M + 0.5 * np.eye(d), rng.normal(size=d)
+    if d == 13:
+        # Blocks without any entry.
+        G[8:, :4] = G[:4, 8:] = 0.0
+        G += 50 * np.eye(d)
+    rows = [(a, b, float(G[a, b])) for a in range(d) for b in range(d) if G[a, b]] + [(a, d, float(h[a])) for a in range(d)]
+    entries = spark.createDataFrame(rows, "a int, b int, value double").repartition(4)
+    assert solve_positive(entries, d, size) == pytest.approx(np.linalg.solve(G, h))
+
+
+def test_indefinite_matrix_is_an_error(spark):
+    from marginwise.operators.solve import solve_positive
+
+    entries = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 0, 2.0), (1, 1, 1.0), (0, 2, 1.0)], "a int, b int, value double")
+    with pytest.raises(Exception, match="(?i)positive definite"):
+        solve_positive(entries, 2, 1)
+
+
+@pytest.mark.parametrize("strip", [4, 7, 512])
+def test_gram_by_strips(spark, strip):
+    rng = np.random.default_rng(8)
+    M, y = rng.normal(size=(40, 18)), rng.choice([-1, 1], 40)
+    rows = spark.createDataFrame([([float(v) for v in m], int(c)) for m, c in zip(M, y)], "x array<double>, label int")
+    cells = selection.gram_matrix_vector(rows.repartition(3), strip=strip).collect()
+    got = {(r["a"], r["b"]): r["value"] for r in cells}
+    want = np.column_stack([M.T @ M + 0.5 * np.eye(18), M.T @ y])
+    assert len(cells) == len(got) == 18 * 19
+    assert all(got[a, b] == pytest.approx(want[a, b]) for a in range(18) for b in range(19))
+    uneven = rows.unionByName(spark.createDataFrame([([1.0], 1)], "x array<double>, label int"))
+    with pytest.raises(ValueError, match="different length: 1 and 18"):
+        selection.gram_matrix_vector(uneven)

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from helpers import frame, kernel_table, train_dense
@@ -190,3 +192,27 @@ def test_named_builders_build_the_same_pairs(spark, name):
     usual = prepare(frame(spark, X, Y), KERNEL, EPSILON).pairs.collect()
     named = prepare(frame(spark, X, Y), KERNEL, EPSILON, builder=name).pairs.collect()
     assert {tuple(r)[:2] for r in named} == {tuple(r)[:2] for r in usual} and len(named) == len(usual)
+
+
+@pytest.mark.parametrize("after", [1, 2])
+def test_resumed_run_equals_an_unbroken_one(spark, tmp_path, after):
+    """A driver that is lost after an iteration, in the middle of the next: another one goes on."""
+    problem = prepare(frame(spark, X, Y), KERNEL, EPSILON, cells=3)
+    cells = [training.Cell(k, ModelParams(C, 0.1)) for k, C in enumerate((0.2, 0.5, 1.0))]
+    whole = training.train(problem, cells, ALGO)
+    path = str(tmp_path / "run")
+    first = training.train(problem, cells, replace(ALGO, max_iter=after), path=path)
+    # A step without its log entry: the iteration had not finished.
+    first.step(after).limit(3).write.parquet(f"{path}/steps/iteration={after + 1}")
+    again = prepare(frame(spark, X, Y), KERNEL, EPSILON, cells=3)
+    run = training.train(again, cells, replace(ALGO, max_iter=after), path=path)
+    assert run.shifts == first.shifts and run.last == first.last
+    assert run.history().count() == first.history().count() == after * 180
+    run = training.train(again, cells, ALGO, path=path)
+    assert run.last == whole.last and len(run.shifts) == ALGO.max_iter
+    keys = ["cell", "iteration", "id"]
+    got = {tuple(r[k] for k in keys): (r["alpha"], r["alpha_after"]) for r in run.history().collect()}
+    want = {tuple(r[k] for k in keys): (r["alpha"], r["alpha_after"]) for r in whole.history().collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    with pytest.raises(ValueError, match="other settings"):
+        training.train(again, cells[:2], ALGO, path=path)
