@@ -17,7 +17,7 @@ from marginwise.functions import columns as fc
 from marginwise.functions.kernels import GaussianKernel, Kernel, LinearKernel, PolynomialKernel
 from marginwise.operators import folds, matrix, metrics, pairs, ranks, sampling, scaling, selection
 from marginwise.params import AlgoParams, ModelParams
-from marginwise.plans import evaluation, training, tuning
+from marginwise.plans import evaluation, streaming, training, tuning
 from marginwise.plans.problem import prepare, prepare_eval
 from marginwise.session import scratch_table, settle
 from marginwise.sources import delimited, tables
@@ -875,6 +875,23 @@ def _distributed(spark, sf, threshold=None, clip_quantile=0.0) -> DataFrame:
     return called.select("id", "label", r("score", 6, "score"), "prediction")
 
 
+@query(sql.PREDICT_STREAM)
+def predict_stream(spark, sf):
+    """Test rows that arrive as files, scored a file at a time against the trained model."""
+    data = split_vectors(spark, sf)
+    problem = prepare(of(data, "train"), GAUSS, EPS)
+    final = training.train_one(problem, MODEL, ALGO).final()
+    z = final.groupBy(F.col("vid").alias("id")).agg(F.sum(F.col("alpha") * F.col("label")).alias("z"))
+    support = settle(problem.vectors.join(z, "id"))
+    arrived, scored = scratch_table(spark, "arrived"), scratch_table(spark, "scored")
+    of(data, "test").select("id", "x").repartition(3, "id").write.parquet(arrived)
+    run = streaming.score_stream(
+        spark, arrived, "id bigint, x array<double>", support, GAUSS, EPS, scored, scratch_table(spark, "offsets"), files_per_batch=1
+    )
+    run.awaitTermination()
+    return spark.read.schema("id bigint, score double").parquet(scored).select("id", r("score", 6, "score"))
+
+
 @query(sql.PREDICT_DISTRIBUTED)
 def predict_distributed(spark, sf):
     return _distributed(spark, sf)

@@ -494,6 +494,8 @@ _DISTRIBUTED = with_(
     "kept AS (SELECT * FROM s0, cut WHERE abs(alpha * label) > e)",
     scores("pt", "kept", "te"),
 )
+PREDICT_STREAM = TRAINED.rstrip() + f""",
+{scores('pt', f's{ITERATIONS}', 'te')} SELECT id, {r('score')} AS score FROM sc"""
 PREDICT_DISTRIBUTED = _DISTRIBUTED + f"SELECT id, label, {r('score')} AS score, sign(score)::DOUBLE AS prediction FROM sc"
 PREDICT_DISTRIBUTED_RAW = _DISTRIBUTED + f"""SELECT id, label, {r('score')} AS score,
   CASE WHEN score < 0.1::DOUBLE THEN 1::DOUBLE ELSE -1::DOUBLE END AS prediction FROM sc"""

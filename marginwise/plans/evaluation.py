@@ -92,6 +92,8 @@ def score_rows(
     n, d = size["n"], size["d"] or 0
     if n == 0:
         return rows.select("id", F.lit(float(bias)).alias("score")).unionByName(bare)
+    if n * d * 8 > MODEL_BYTES and rows.isStreaming:
+        raise ValueError("a stream is scored by a model that fits MODEL_BYTES")
     if n * d * 8 > MODEL_BYTES:
         weighted = active.select("id", "x", F.col("z").alias("weight"))
         named = rows.withColumn("vector", F.xxhash64("x"))
