@@ -20,7 +20,7 @@ from marginwise.params import AlgoParams, ModelParams
 from marginwise.plans import evaluation, streaming, training, tuning
 from marginwise.plans.problem import prepare, prepare_eval
 from marginwise.session import scratch_table, settle
-from marginwise.sources import delimited, tables
+from marginwise.sources import delimited, numeric, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -160,6 +160,14 @@ def scan_numeric_csv(spark, sf):
     return delimited.scan_numeric(spark, _numeric_file(spark, sf), 6)
 
 
+@query(sql.SCAN_NUMERIC_CSV)
+def scan_numeric_source(spark, sf):
+    """The same file through a data source of one's own: byte ranges, and no width given beforehand."""
+    numeric.register(spark)
+    rows = spark.read.format(numeric.NAME).load(_numeric_file(spark, sf))
+    return rows.select(*[F.get("x", F.lit(k)).alias(f"c{k}") for k in range(6)])
+
+
 @query(sql.CSV_SHAPE)
 def csv_shape(spark, sf):
     return delimited.file_shape(spark, _numeric_file(spark, sf))
