@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginwise.llm.text import lower_ascii, whole
+from marginwise.llm.text import fresh, lower_ascii, whole
 from marginwise.session import stored
 
 WINDOW = 13
@@ -154,28 +154,31 @@ def report(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
     return rows.select("id", "n_words", "n_hit", "items", contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
-def _joined_back(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
-    same = docs[id_col].eqNullSafe(found["_bad_id"]) & (F.xxhash64(whole(docs[text_col])) == found["_bad_hash"])
+def _joined_back(docs: DataFrame, found: DataFrame, p: str, id_col: str, text_col: str, how: str) -> DataFrame:
+    same = docs[id_col].eqNullSafe(found[f"{p}id"]) & (F.xxhash64(whole(docs[text_col])) == found[f"{p}hash"])
     return docs.join(found, same, how)
 
 
 def remove_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
-    """``docs`` without the contaminated ones."""
+    """``docs`` without the contaminated ones; other columns pass through, whatever their names."""
+    p = fresh(docs)
     found = hits(docs, items, id_col, text_col, **names)
     bad = found.where(contaminated(F.size("positions"), F.col("n_words")))
-    bad = bad.select(F.col("id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash"))
-    return _joined_back(docs, bad, id_col, text_col, "left_anti")
+    bad = bad.select(F.col("id").alias(f"{p}id"), F.col("text_hash").alias(f"{p}hash"))
+    return _joined_back(docs, bad, p, id_col, text_col, "left_anti")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
-    """``docs`` with every hit word, and what stands between it and the word before, cut out of the text."""
+    """``docs`` with every hit word, and what stands between it and the word before, cut out of the text;
+    other columns pass through, whatever their names."""
+    p = fresh(docs)
     found = hits(docs, items, id_col, text_col, **names).where(F.size("positions") > 0)
-    bad = found.select(F.col("id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash"), F.col("positions").alias("_bad_at"))
+    bad = found.select(F.col("id").alias(f"{p}id"), F.col("text_hash").alias(f"{p}hash"), F.col("positions").alias(f"{p}at"))
     letters = BREAKS.replace("[", "[^", 1)
     parts = F.regexp_extract_all(F.col(text_col), F.lit(f"{BREAKS}*{letters}+|{BREAKS}+"), F.lit(0))
-    rows = _joined_back(docs, bad, id_col, text_col, "left").withColumn("_bad_parts", parts)
+    rows = _joined_back(docs, bad, p, id_col, text_col, "left").withColumn(f"{p}parts", parts)
     # The k-th part holds the k-th word.
-    kept = F.array_except(F.sequence(F.lit(1), F.size("_bad_parts")), F.col("_bad_at"))
-    rest = F.transform(kept, lambda k: F.get("_bad_parts", k - 1))
-    text = F.when(F.col("_bad_at").isNull(), F.col(text_col)).otherwise(F.array_join(rest, ""))
+    kept = F.array_except(F.sequence(F.lit(1), F.size(f"{p}parts")), F.col(f"{p}at"))
+    rest = F.transform(kept, lambda k: F.get(f"{p}parts", k - 1))
+    text = F.when(F.col(f"{p}at").isNull(), F.col(text_col)).otherwise(F.array_join(rest, ""))
     return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -6,12 +6,14 @@ the end of the file, by way of the ZIP64 records where there are any, locates th
 the index and reads each record by its range. Nothing is extracted and no archive is read whole.
 
 Of records with equal payloads the one with the largest page id is the response, the others are
-revisits of it without payload. The deciding join moves ids and digests first; a payload that a
-third of all pages share is one row of it.
+revisits of it without payload. The aggregation that decides moves ids and digests only, and a
+payload that a third of all pages share is one row of its result; the join back moves the payloads, unless
+that result is small enough to be broadcast.
 
 Edge cases: a NULL page is an empty payload, and empty payloads are equal; repeated rows of a page
 are records of their own; a NULL page id never is the largest one, and where there is no other every
-record is a response; an empty table writes no archive.
+record is a response; columns other than the three named are not read, so their names cannot
+clash; pages of any length up to Spark's 2 GB for a value are written whole; an empty table writes no archive.
 """
 
 import base64
@@ -62,17 +64,18 @@ def record(page_id: str | None, url: str, payload: bytes, digest: str, refers_to
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def with_responses(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(page_id, url text, html, refers_to): the page whose record holds the payload, NULL for that one."""
-    rows = pages.withColumn("_html", whole(F.col(html_col)))
-    keyed = rows.withColumn("_digest", F.sha1(F.col("_html").cast("binary")))
+def with_responses(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(page_id, url, html, digest, refers_to): the page whose record holds the payload, NULL for that one."""
+    html = whole(F.col(html_col))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html"))
+    keyed = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     # Written, so that the join below can split a payload that many pages share.
     largest = stored(
-        keyed.groupBy("_digest").agg(F.max(id_col).alias("_largest"), F.count("*").alias("_n")).where("_n > 1").drop("_n"),
+        keyed.groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1").drop("n"),
         "responses",
     )
-    refers_to = F.when(~F.col(id_col).eqNullSafe(F.col("_largest")), F.col("_largest"))
-    return keyed.join(largest, "_digest", "left").withColumn("_refers_to", refers_to)
+    refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest"))
+    return keyed.join(largest, "digest", "left").select("page_id", "url", "html", "digest", refers_to.alias("refers_to"))
 
 
 def write_archives(
@@ -82,8 +85,8 @@ def write_archives(
 
     The result is a plan: store it once, as every run of it writes the archives anew.
     """
-    rows = with_responses(pages, id_col, html_col).select(
-        F.col(id_col).cast("string"), F.coalesce(F.col(url_col).cast("string"), F.lit("")), "_html", F.col("_refers_to").cast("string")
+    rows = with_responses(pages, id_col, url_col, html_col).select(
+        F.col("page_id").cast("string"), F.coalesce(F.col("url").cast("string"), F.lit("")), "html", F.col("refers_to").cast("string")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from marginwise.llm import decontaminate
 
@@ -75,3 +76,14 @@ def test_no_items_and_odd_documents(odd_docs, no_docs, frames):
     assert len(rows) == 10 and not any(r["contaminated"] for r in rows)
     assert decontaminate.remove_documents(odd_docs, items).columns == odd_docs.columns
     assert decontaminate.report(no_docs, items).count() == 0
+
+
+def test_columns_with_clashing_names(frames):
+    docs, items = frames
+    extra = docs
+    for k, c in enumerate(["_bad_at", "_bad_id", "_bad_hash", "_bad_parts", "_m0_at", "positions"]):
+        extra = extra.withColumn(c, F.lit(k))
+    for change in (decontaminate.remove_spans, decontaminate.remove_documents):
+        found = change(extra, items)
+        assert found.columns == extra.columns and {r["_bad_at"] for r in found.collect()} == {0}
+        assert sorted(map(str, found.select("doc_id", "text").collect())) == sorted(map(str, change(docs, items).collect()))

@@ -4,6 +4,7 @@ import zipfile
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from marginwise.llm import files, warc
 from marginwise.session import scratch_table, stored
@@ -72,3 +73,12 @@ def test_not_an_archive(tmp_path):
     (tmp_path / "x").write_bytes(b"no archive")
     with pytest.raises(ValueError, match="not a ZIP"):
         warc.directory(files.Reader(), str(tmp_path / "x"))
+
+
+def test_columns_with_clashing_names(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "<p>a"), (2, "u", "<p>a"), (3, "v", None)], "page_id bigint, url string, html string")
+    for k, c in enumerate(["_largest", "_digest", "_html", "_refers_to", "digest", "largest", "refers_to", "n"]):
+        pages = pages.withColumn(c, F.lit(k))
+    found = warc.with_responses(pages, "page_id", "url", "html").collect()
+    assert {(r["page_id"], r["html"], r["refers_to"]) for r in found} == {(1, "<p>a", 2), (2, "<p>a", None), (3, "", None)}
+    assert sum(r["records"] for r in warc.write_archives(pages, str(tmp_path)).collect()) == 3
