@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from marginwise.functions.kernels import Kernel
 from marginwise.operators.joins import keyed_join
 from marginwise.operators.ranks import positions
-from marginwise.operators.tiles import has_vector
+from marginwise.operators.partition import matrix
+from marginwise.operators.tiles import TILE_BYTES, TILE_ROWS, _extent, has_vector
 from marginwise.session import settle
 
+# From so many expected draws per row on, rows meet in tiles; fewer draws fetch their vectors by joins.
+TILED_DRAWS = 50
+# Blocks of draws that are evaluated at once.
+BLOCKS_AT_ONCE = 16
 # Expected draws of one block of pair numbers.
 BLOCK_DRAWS = 1000
 # Modulus and multipliers of the sampling hash (fixed values: 2^31 - 1, 48271, 69621).
@@ -102,6 +107,64 @@ def sampled_values(
     return both.select(kernel.expr(F.col("a"), F.col("b")).alias("k"))
 
 
+def _tile_counter(kernel: Kernel, epsilon: float, size: int, total: int, others: int | None, probability: float, seed: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        sides = []
+        for part in (table.filter(table["is_left"]), table.filter(pa.compute.invert(table["is_left"]))):
+            if not part.num_rows:
+                return
+            part = part.combine_chunks().sort_by("position")
+            sides.append((part["position"].to_numpy(), matrix(part["x"].combine_chunks())))
+        (left, X), (right, Y) = sides
+        # Positions of a tile are consecutive, and so are the numbers of a row of it.
+        if others is None:
+            first, last = right * (right - 1) // 2 + left[0], right * (right - 1) // 2 + np.minimum(left[-1] + 1, right)
+        else:
+            first, last = left * others + right[0], left * others + right[-1] + 1
+        first, last = first[last > first] // size, (last[last > first] - 1) // size
+        span = np.arange((last - first).max() + 1) if len(first) else np.zeros(0, np.int64)
+        blocks = np.unique(np.concatenate([first[first + k <= last] + k for k in span])) if len(span) else first
+        n_sampled = n_above = 0
+        for part in range(0, len(blocks), BLOCKS_AT_ONCE):
+            drawn = [drawn_numbers(int(b), size, total, probability, seed) for b in blocks[part : part + BLOCKS_AT_ONCE]]
+            numbers = np.concatenate(drawn)
+            i, j = unrank(numbers) if others is None else (numbers // others, numbers % others)
+            own = (i >= left[0]) & (i <= left[-1]) & (j >= right[0]) & (j <= right[-1])
+            with np.errstate(all="ignore"):
+                values = kernel.rows(X[i[own] - left[0]], Y[j[own] - right[0]])
+            n_sampled += len(values)
+            n_above += int((values > epsilon).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([n_sampled]), pa.array([n_above])], names=["n_sampled", "n_above"])
+
+    return count
+
+
+def sampled_counts(
+    rows: DataFrame, kernel: Kernel, epsilon: float, probability: float, evals: DataFrame | None, seed: int, tile_rows: int | None = None
+) -> DataFrame:
+    """(n_sampled, n_above) of every pair of tiles of consecutive rows.
+
+    A task draws the numbers of its own tiles anew, so a row is moved once per partner tile and a draw never.
+    """
+    frames = [df.where(has_vector("x")).select("id", "x") for df in ([rows] if evals is None else [rows, evals])]
+    extents = _extent(*frames)
+    (n, width), others = extents[0], None if evals is None else extents[1][0]
+    total = n * (n - 1) // 2 if others is None else n * others
+    tile_rows = tile_rows or max(64, min(TILE_ROWS, TILE_BYTES // (8 * width)))
+    tile = F.floor(F.col("position") / tile_rows).cast("int")
+    placed = [settle(positions(df, "id")).select("position", "x", tile.alias("tile")) for df in frames]
+    own, partners = -(-n // tile_rows), -(-(n if others is None else others) // tile_rows)
+    later = F.sequence(F.col("tile") if others is None else F.lit(0), F.lit(partners - 1))
+    earlier = F.sequence(F.lit(0), F.col("tile") if others is None else F.lit(own - 1))
+    left = placed[0].select(F.col("tile").alias("a"), F.explode(later).alias("b"), F.lit(True).alias("is_left"), "position", "x")
+    right = placed[-1].select(F.explode(earlier).alias("a"), F.col("tile").alias("b"), F.lit(False).alias("is_left"), "position", "x")
+    pairs = own * (own + 1) // 2 if others is None else own * partners
+    counter = _tile_counter(kernel, epsilon, block_size(probability), total, others, probability, seed)
+    met = left.unionAll(right).repartition(pairs, "a", "b").groupBy("a", "b")
+    return met.applyInArrow(counter, "n_sampled bigint, n_above bigint")
+
+
 def density_sampled(
     rows: DataFrame,
     kernel: Kernel,
@@ -115,6 +178,13 @@ def density_sampled(
     Rows whose vector is NULL or holds a NULL have no pairs; an undefined value is not above. Without
     any draw the share is NULL.
     """
+    n = rows.where(has_vector("x")).count()
+    m = n if evals is None else evals.where(has_vector("x")).count()
+    draws = probability * (n * (n - 1) // 2 if evals is None else n * m)
+    if draws > TILED_DRAWS * max(n, m):
+        counts = sampled_counts(rows, kernel, epsilon, probability, evals, seed)
+        found = counts.agg(F.coalesce(F.sum("n_sampled"), F.lit(0)).alias("n_sampled"), F.sum("n_above").alias("n_above"))
+        return found.select("n_sampled", F.try_divide("n_above", "n_sampled").alias("density"))
     above = (F.col("k") > epsilon) & ~F.isnan("k")
     values = sampled_values(rows, kernel, probability, evals, seed)
     return values.agg(F.count(F.lit(1)).alias("n_sampled"), F.avg(F.when(above, 1.0).otherwise(0.0)).alias("density"))
