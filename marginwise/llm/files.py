@@ -1,14 +1,10 @@
 """Raw files in the shared folder: range reads and streamed writes from inside tasks."""
 
-import re
 import uuid
 
-from pyarrow import fs
+from pyarrow import fs  # noqa: F401
 
-
-def locate(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system and the path of a URI: local, HDFS or an object store."""
-    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
+from marginwise.session import locate
 
 
 def create(folder: str, suffix: str):

@@ -1,6 +1,7 @@
 """Scores, validation, model choice and prediction reports."""
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,14 +11,17 @@ from pyspark.sql import functions as F
 from marginwise.functions.kernels import Kernel
 from marginwise.operators import metrics
 from marginwise.operators.joins import keyed_join
+from marginwise.operators.pairs import weighted_sums_between
 from marginwise.operators.ranks import grouped_order_statistics, order_statistics, score_quantile
 from marginwise.operators.tiles import emit_scores, has_vector, keep_mask, tile_join
 from marginwise.plans.problem import EvalSet, Problem
 from marginwise.plans.training import Run, clip_alphas, pair_sums, vector_coefficients
-from marginwise.session import settle
+from marginwise.session import settle, stored
 
 # A set of support vectors up to this size is sent to every executor.
 MODEL_BYTES = 64 * 1024 * 1024
+# Sums of a row that are formed at once where no pairs are stored.
+SUM_SLOTS = 512
 # Kernel cells evaluated at once by one task.
 STRIP_CELLS = 4_000_000
 _SCORE_DDL = "id bigint, score double"
@@ -62,14 +66,27 @@ def score_training(problem: Problem, alphas: DataFrame) -> DataFrame:
     return joined.select("id", "label", (F.coalesce("s", F.lit(0.0)) + own * kxx).alias("score"))
 
 
+def _eval_sums(evals: EvalSet, z: DataFrame, slots: int = 1) -> DataFrame:
+    """(slot, vid, part): sums of k * z over the training vectors i, without a pair table; z: (i, slot, z), one row for a
+    vector and slot, of which there are ``slots``. A training vector carries an array with a place for each."""
+    held = z.groupBy(F.col("i").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("slot", "z"))).alias("held"))
+    weight = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda k: F.coalesce(F.try_element_at("held", k), F.lit(0.0)))
+    problem = evals.problem
+    left = stored(problem.vectors.join(held.select("id", weight.alias("weight")), "id"), "weighted-vectors")
+    sums = weighted_sums_between(left, evals.vectors, problem.kernel, problem.epsilon, slots)
+    each = sums.select(F.col("id").alias("vid"), F.posexplode("sums").alias("slot", "part"))
+    return each.select("slot", "vid", "part").where("part <> 0")
+
+
 def score_eval(evals: EvalSet, alphas: DataFrame, n_vectors: int | None = None, bias: float = 0.0) -> DataFrame:
     """(id, label, score) of an evaluation set; alphas: (vid, label, alpha)."""
     z = alphas.groupBy(F.col("vid").alias("i")).agg(F.sum(F.col("alpha") * F.col("label")).alias("z"))
-    sums = (
-        keyed_join(evals.pairs, z.where(F.col("z") != 0), ["i"], right_rows=n_vectors)
-        .groupBy(F.col("j").alias("vid"))
-        .agg(F.sum(F.col("k") * F.col("z")).alias("score"))
-    )
+    z = z.where(F.col("z") != 0)
+    if evals.pairs is None:
+        sums = _eval_sums(evals, z.withColumn("slot", F.lit(0))).select("vid", F.col("part").alias("score"))
+    else:
+        joined = keyed_join(evals.pairs, z, ["i"], right_rows=n_vectors)
+        sums = joined.groupBy(F.col("j").alias("vid")).agg(F.sum(F.col("k") * F.col("z")).alias("score"))
     sizes = {"left_rows": evals.n_rows, "right_rows": evals.n_vectors, "hot": evals.hot_vectors}
     joined = keyed_join(evals.rows, sums, ["vid"], "left", **sizes)
     return joined.select("id", "label", (F.coalesce("score", F.lit(0.0)) + F.lit(bias)).alias("score"))
@@ -139,6 +156,20 @@ def _levels_upto(levels: Column, value: Column) -> Column:
     )
 
 
+def _level_sums(evals: EvalSet, z: DataFrame, iterations: list[int], max_quantile: int) -> DataFrame:
+    """(iteration, vid, q_max, part) without a pair table: of as many iterations at once as a row of sums may hold."""
+    some = max(1, SUM_SLOTS // max_quantile)
+    parts = []
+    for first in range(0, len(iterations), some):
+        numbers = F.array(*[F.lit(n) for n in iterations[first : first + some]])
+        place = (F.array_position(numbers, F.col("iteration")).cast("int") - 1) * max_quantile + F.col("q_max")
+        own = z.where(F.array_contains(numbers, F.col("iteration"))).select("i", place.alias("slot"), "z")
+        found = _eval_sums(evals, own, max_quantile * len(iterations[first : first + some]))
+        number = F.get(numbers, F.floor(F.col("slot") / max_quantile).cast("int"))
+        parts.append(found.select(number.alias("iteration"), "vid", (F.col("slot") % max_quantile).alias("q_max"), "part"))
+    return reduce(DataFrame.unionAll, parts)
+
+
 def sparsity_sweeps(
     alphas: DataFrame, iterations: list[int], evals: EvalSet, max_quantile: int = 99, n_rows: int | None = None
 ) -> DataFrame:
@@ -169,11 +200,14 @@ def sparsity_sweeps(
         .agg(F.sum("z").alias("z"))
     )
     z_rows = None if n_rows is None else n_rows * len(iterations)
-    sums = (
-        keyed_join(evals.pairs, z, ["i"], right_rows=z_rows, right_width=2)
-        .groupBy("iteration", F.col("j").alias("vid"), "q_max")
-        .agg(F.sum(F.col("k") * F.col("z")).alias("part"))
-    )
+    if evals.pairs is None:
+        sums = _level_sums(evals, z, iterations, max_quantile)
+    else:
+        sums = (
+            keyed_join(evals.pairs, z, ["i"], right_rows=z_rows, right_width=2)
+            .groupBy("iteration", F.col("j").alias("vid"), "q_max")
+            .agg(F.sum(F.col("k") * F.col("z")).alias("part"))
+        )
     # At most max_quantile rows per vector and iteration.
     from_top = Window.partitionBy("iteration", "vid").orderBy(F.col("q_max").desc())
     ranged = sums.select(
